@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferryload.plans import loading
+from ferryload.plans import expressions, joining, loading, quality
 from ferryload.plans.tables import Tables
 
-MODULES = [loading]
+MODULES = [loading, joining, expressions, quality]
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
