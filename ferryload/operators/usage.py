@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,10 +26,16 @@ def estimated_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / CHARS_PER_TOKEN)).cast("bigint")
 
 
-def price(model: Column, side: int) -> Column:
-    """L1: price per 1000 tokens (side 0 prompt, 1 completion); unknown models take the default."""
-    pairs = [F.lit(x) for name, prices in PRICES_PER_1K.items() for x in (name, prices[side])]
-    return F.coalesce(F.element_at(F.create_map(*pairs), model), F.lit(DEFAULT_PRICE[side]))
+def token_price(model: Column, side: int) -> Column:
+    """L1: price of one token (side 0 prompt, 1 completion); unknown models take the default.
+
+    Prices are decimals, so sums of costs do not depend on the order of the rows.
+    """
+    def exact(per_thousand: float) -> Column:
+        return F.lit(str(Decimal(str(per_thousand)) / 1000)).cast("decimal(12,8)")
+
+    pairs = [x for name, prices in PRICES_PER_1K.items() for x in (F.lit(name), exact(prices[side]))]
+    return F.coalesce(F.element_at(F.create_map(*pairs), model), exact(DEFAULT_PRICE[side]))
 
 
 def with_cost(calls: DataFrame) -> DataFrame:
@@ -43,9 +50,8 @@ def with_cost(calls: DataFrame) -> DataFrame:
         return F.coalesce(F.col(reported).cast("bigint"), estimate) if reported in calls.columns else estimate
 
     counted = calls.withColumn("prompt_tokens", tokens("prompt")).withColumn("completion_tokens", tokens("completion"))
-    cost = (
-        F.col("prompt_tokens") * price(F.col("model"), 0) + F.col("completion_tokens") * price(F.col("model"), 1)
-    ) / 1000.0
+    prompt, completion = (F.col(f"{side}_tokens").cast("decimal(18,0)") for side in ("prompt", "completion"))
+    cost = prompt * token_price(F.col("model"), 0) + completion * token_price(F.col("model"), 1)
     return counted.withColumn("cost", cost)
 
 
@@ -54,7 +60,7 @@ def usage_summary(log: DataFrame, *keys: str) -> DataFrame:
     tokens = F.sum("prompt_tokens"), F.sum("completion_tokens")
     figures = [
         F.count("*").alias("calls"), tokens[0].alias("prompt_tokens"), tokens[1].alias("completion_tokens"),
-        (tokens[0] + tokens[1]).alias("total_tokens"), F.round(F.sum("cost"), 6).alias("cost_usd"),
+        (tokens[0] + tokens[1]).alias("total_tokens"), F.round(F.sum("cost"), 6).cast("double").alias("cost_usd"),
     ]
     return log.groupBy(*keys).agg(*figures) if keys else log.agg(
         *figures, F.count_distinct("session_id").alias("unique_sessions")
