@@ -23,7 +23,7 @@ METRICS = {"total_price": F.sum, "mean_price": F.avg, "orders": F.count}
 
 
 def _metrics():
-    return {name: F.round(agg("o_totalprice"), 4) for name, agg in METRICS.items()}
+    return {name: F.round(agg("o_totalprice"), 2) for name, agg in METRICS.items()}
 
 
 def _shaped(df):
@@ -67,7 +67,7 @@ t AS (SELECT * REPLACE (CASE WHEN priority = '1-URGENT' THEN o_totalprice + 0.01
 def compare_sql(grain: str = "", alias: str = "") -> str:
     """Both sides aggregated, joined on the grain and turned into one row per metric."""
     keys, group = (f"{grain} AS g, ", " GROUP BY 1") if grain else ("1 AS g, ", "")
-    side = "SELECT {k}round(sum(o_totalprice), 4) AS total_price, round(avg(o_totalprice), 4) AS mean_price, CAST(count(o_totalprice) AS DOUBLE) AS orders FROM {f}{g}"
+    side = "SELECT {k}round(sum(o_totalprice), 2) AS total_price, round(avg(o_totalprice), 2) AS mean_price, CAST(count(o_totalprice) AS DOUBLE) AS orders FROM {f}{g}"
     out = f"coalesce(a.g, b.g) AS {alias}, " if grain else ""
     rows = " UNION ALL ".join(
         f"SELECT {out}'{m}' AS metric_name, a.{m} AS source_value, b.{m} AS target_value FROM a FULL JOIN b ON a.g IS NOT DISTINCT FROM b.g" for m in METRICS)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferryload.plans import expressions, joining, loading, logs, quality, reconciling
+from ferryload.plans import business, cataloging, expressions, joining, loading, logs, quality, reconciling
 from ferryload.plans.tables import Tables
 
-MODULES = [loading, joining, expressions, quality, reconciling, logs]
+MODULES = [loading, joining, expressions, quality, reconciling, logs, business, cataloging]
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
