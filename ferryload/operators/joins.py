@@ -109,26 +109,48 @@ def star_join(
 ) -> tuple[DataFrame, list[str]]:
     """Fact with every dimension that can be reached through joined tables.
 
-    ``dimensions`` maps an alias to (table, key columns). A dimension joins as soon as
-    all its keys are present, so a bridge makes the tables behind it reachable. New
-    columns are named ``alias_column``; key columns keep their name. Dimensions whose
-    keys never appear are left out and their aliases returned. Every table must have
-    one row per key; see ``checks.duplicate_keys``.
+    ``dimensions`` maps an alias to (table, key columns). Tables behind a bridge are joined
+    to the bridge first, so the fact is joined only with its direct dimensions. New columns
+    are named ``alias_column``; key columns keep their name. Dimensions whose keys never
+    appear are left out and their aliases returned. Every dimension must have one row per
+    key; see ``checks.duplicate_keys``.
     """
-    result, waiting = fact, dict(dimensions)
-    while True:
-        ready = next(
-            (a for a, (_, keys) in waiting.items() if set(keys) <= set(result.columns)), None
-        )
-        if ready is None:
-            return result, sorted(waiting)
-        table, keys = waiting.pop(ready)
-        links = {k for _, other in waiting.values() for k in other}
-        columns = [
-            F.col(f"`{c}`") if c in links else F.col(f"`{c}`").alias(f"{ready}_{c}".lower())
-            for c in table.columns if c not in keys and c not in result.columns
-        ]
-        result = result.join(table.select(*keys, *columns), list(keys), "left")
+    links = {k for _, keys in dimensions.values() for k in keys}
+    shaped = {
+        alias: table.select(*[
+            F.col(f"`{c}`").alias(c if c in links else f"{alias}_{c}".lower()) for c in table.columns
+        ])
+        for alias, (table, _) in dimensions.items()
+    }
+    reached = [a for a, (_, keys) in dimensions.items() if set(keys) <= set(fact.columns)]
+    host: dict[str, str] = {}
+    for parent in reached:  # grows while tables behind reached ones are found
+        for alias, (_, keys) in dimensions.items():
+            if alias not in reached and set(keys) <= set(shaped[parent].columns):
+                host[alias] = parent
+                reached.append(alias)
+    for alias in reversed(reached):
+        if alias in host:
+            shaped[host[alias]] = _look_up(shaped[host[alias]], shaped[alias], dimensions[alias][1])
+    result = fact
+    for alias in reached:
+        if alias not in host:
+            result = _look_up(result, shaped[alias], dimensions[alias][1])
+    # Keys may also come from several joined tables together.
+    waiting = [a for a in dimensions if a not in reached]
+    ready = [a for a in waiting if set(dimensions[a][1]) <= set(result.columns)]
+    while ready:
+        for alias in ready:
+            result = _look_up(result, shaped[alias], dimensions[alias][1])
+        waiting = [a for a in waiting if a not in ready]
+        ready = [a for a in waiting if set(dimensions[a][1]) <= set(result.columns)]
+    return result, sorted(waiting)
+
+
+def _look_up(df: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join with a table that has one row per key, without columns ``df`` already has."""
+    new = [c for c in dimension.columns if c in keys or c not in df.columns]
+    return df.join(dimension.select(*[F.col(f"`{c}`") for c in new]), list(keys), "left")
 
 
 def bridge_join(fact: DataFrame, bridge: DataFrame, dimension: DataFrame) -> DataFrame:

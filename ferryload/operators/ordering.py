@@ -9,13 +9,12 @@ answer is exact whatever the borders are; they only spread the work.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RANGE, CARRIED = "__range", "__carried"
+RANGE = "__range"
 
 
 def _sort_number(df: DataFrame, column: str) -> Column:
@@ -56,44 +55,49 @@ def _with_ranges(df: DataFrame, column: str, ranges: int) -> DataFrame:
     return df.withColumn(RANGE, range_number(_sort_number(df, column), borders))
 
 
-def _attach(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    on = [*keys, RANGE]
-    renamed = summary.select(*[F.col(f"`{k}`").alias(f"__r_{k}") for k in on], CARRIED)
-    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__r_{k}`")) for k in on])
-    return df.join(renamed, same, "left").drop(*[f"__r_{k}" for k in on])
+def _with_starts(cut: DataFrame, starts: DataFrame, real: str) -> DataFrame:
+    """Rows plus one start row per (key, range), marked by ``real`` = 0 so that it sorts first."""
+    return cut.withColumn(real, F.lit(1)).unionByName(
+        starts.withColumn(real, F.lit(0)), allowMissingColumns=True
+    )
 
 
 def previous_value(
     df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], output: str, ranges: int = 64
 ) -> DataFrame:
-    """``Previous(x)`` within ``keys``. ``order`` must identify a row within its key."""
+    """``Previous(x)`` within ``keys``. ``order`` must identify a row within its key.
+
+    The last value before a range enters the window as a start row, so the rows are
+    shuffled once and nothing is joined back to them.
+    """
     cut = _with_ranges(df, order[0], ranges)
-    inside = Window.partitionBy(*keys, RANGE).orderBy(*order)
-    rows = cut.withColumn(output, F.lag(value).over(inside)).withColumn(
-        "__first", F.row_number().over(inside) == 1
-    )
     last = cut.groupBy(*keys, RANGE).agg(
         F.max(F.struct(*order, F.col(f"`{value}`").alias("__value"))).alias("__last")
     )
     across = Window.partitionBy(*keys).orderBy(RANGE)
-    borders = last.select(*keys, RANGE, F.lag("__last.__value").over(across).alias(CARRIED))
-    filled = F.when(F.col("__first"), F.col(CARRIED)).otherwise(F.col(f"`{output}`"))
-    return _attach(rows, borders, keys).withColumn(output, filled).drop(RANGE, CARRIED, "__first")
+    starts = last.select(*keys, RANGE, F.lag("__last.__value").over(across).alias(value))
+    inside = Window.partitionBy(*keys, RANGE).orderBy("__real", *order)
+    rows = _with_starts(cut, starts, "__real").withColumn(output, F.lag(value).over(inside))
+    return rows.where("__real = 1").select(*df.columns, output)
 
 
 def row_numbers(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], output: str, ranges: int = 64
 ) -> DataFrame:
-    """``RowNo`` within ``keys``; with no keys it is ``RecNo`` over the whole table."""
-    cut = _with_ranges(df, order[0], ranges)
-    inside = Window.partitionBy(*keys, RANGE).orderBy(*order)
+    """``RowNo`` within ``keys``; with no keys it is ``RecNo`` over the whole table.
+
+    A range starts with a row that counts for all rows before it; the number is a running sum.
+    """
+    cut = _with_ranges(df, order[0], ranges).withColumn("__step", F.lit(1).cast("bigint"))
+    before = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     counts = cut.groupBy(*keys, RANGE).agg(F.count("*").alias("__rows"))
-    before = (
-        Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, RANGE, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__step"))
+    inside = (
+        Window.partitionBy(*keys, RANGE).orderBy("__real", *order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    starts = counts.select(*keys, RANGE, F.sum("__rows").over(before).alias(CARRIED))
-    rows = _attach(cut.withColumn(output, F.row_number().over(inside)), starts, keys)
-    return rows.withColumn(output, F.col(output) + F.coalesce(F.col(CARRIED), F.lit(0))).drop(RANGE, CARRIED)
+    rows = _with_starts(cut, starts, "__real").withColumn(output, F.sum("__step").over(inside))
+    return rows.where("__real = 1").select(*df.columns, output)
 
 
 def keep_latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

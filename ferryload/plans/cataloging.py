@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferryload.functions import classes
@@ -119,8 +119,10 @@ def trade_cycles(t: Tables):
 
 def label_edges(t: Tables) -> DataFrame:
     """A link from each navigation label to the next one of its page."""
-    following = Window.partitionBy("table_name").orderBy("position")
-    return page_fields(t).select(F.col("field_name").alias("src"), F.lead("field_name").over(following).alias("dst")).where("dst IS NOT NULL")
+    labels = F.regexp_extract_all("html", F.lit('<li><a href="/([^"<&]*)"'), F.lit(1))
+    rows = t.pages.select(labels.alias("l")).where(F.size("l") > 1)
+    pairs = F.transform(F.slice("l", 2, F.size("l")), lambda name, i: F.struct(F.element_at("l", i + 1).alias("src"), name.alias("dst")))
+    return rows.select(F.explode(pairs).alias("e")).select("e.src", "e.dst")
 
 
 def label_cycles(t: Tables):

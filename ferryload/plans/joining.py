@@ -12,19 +12,23 @@ from ferryload.plans.tables import Tables
 
 
 def month_region_sales(t: Tables):
-    """The flagship: lines with orders, customers and places, summed per month-region key."""
-    lines = t.plain("lineitem").select("orderkey", "quantity", "extendedprice", "discount")
-    orders = t.plain("orders").select("orderkey", "custkey", "orderdate")
-    customers = t.plain("customer").select("custkey", "nationkey")
-    nations = t.plain("nation").select("nationkey", "regionkey")
-    regions = t.plain("region").withColumnRenamed("name", "region")
-    rows = lines
-    for table in (orders, customers, nations, regions):
-        rows = J.natural_join(rows, table, "left", unique_right=True)
-    key = D.month_region_key(F.col("region"), F.col("orderdate").cast("date"), 12)
+    """The flagship: lines with orders, customers and places, summed per month-region key.
+
+    Lines are summed per order before any join and places are looked up on the customers,
+    so the large table is shuffled once and only one row per order goes on from there.
+    """
     net = F.col("extendedprice") * (1 - F.col("discount"))
+    per_order = t.plain("lineitem").groupBy("orderkey").agg(
+        F.count("*").alias("line_count"), F.sum("quantity").alias("quantity"), F.sum(net).alias("net_sales")
+    )
+    places = t.plain("customer").select("custkey", "nationkey")
+    for table in (t.plain("nation").select("nationkey", "regionkey"), t.plain("region").withColumnRenamed("name", "region")):
+        places = J.natural_join(places, table, "left", unique_right=True)
+    orders = t.plain("orders").select("orderkey", "custkey", F.col("orderdate").cast("date").alias("orderdate"))
+    rows = J.natural_join(J.natural_join(per_order, orders, "left", unique_right=True), places, "left", unique_right=True)
+    key = D.month_region_key(F.col("region"), F.col("orderdate"), 12)
     return rows.groupBy(key.alias("month_region_key")).agg(
-        F.count("*").alias("line_count"), F.sum("quantity").alias("sum_quantity"), F.round(F.sum(net), 4).alias("net_sales"),
+        F.sum("line_count").alias("line_count"), F.sum("quantity").alias("sum_quantity"), F.round(F.sum("net_sales"), 4).alias("net_sales"),
     ).orderBy("month_region_key")
 
 

@@ -9,7 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryload.fixed_values import HEADER_END, HEADER_FIELD_TAG, HEADER_ROW_TAG, HEADER_START
+from ferryload.fixed_values import (
+    HEADER_END,
+    HEADER_FIELD_TAG,
+    HEADER_ROW_TAG,
+    HEADER_SCAN_BYTES,
+    HEADER_START,
+)
 from ferryload.functions.classes import field_category
 
 NUMBER_FORMAT = "struct<Type:string,nDec:string,UseThou:string,Fmt:string,Dec:string,Thou:string>"
@@ -26,6 +32,40 @@ def read_extract_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
+def read_extract_heads(spark: SparkSession, path: str) -> DataFrame:
+    """Like :func:`read_extract_files`, but a file is read only up to the end of its header.
+
+    Files are listed by Spark and opened inside the tasks through Arrow's file systems, so
+    extracts far larger than a task's memory are fine. A header must end within 16 MB.
+    """
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+
+    def read_heads(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                yield pd.DataFrame({"path": [row.path], "length": [row.length], "content": [_read_head(row.path)]})
+
+    return listed.mapInPandas(read_heads, "path string, length bigint, content binary")
+
+
+def _read_head(path: str) -> bytes:
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if not path.startswith("file:///") else path)
+    head, marker = bytearray(), HEADER_END.encode()
+    with system.open_input_stream(name) as stream:
+        while len(head) < HEADER_SCAN_BYTES:
+            chunk = stream.read(64 * 1024)
+            if not chunk:
+                break
+            head.extend(chunk)
+            if marker in head:
+                break
+    return bytes(head)
+
+
 def cut_headers(files: DataFrame) -> DataFrame:
     """Header text of each file; files without a complete header get NULL.
 
