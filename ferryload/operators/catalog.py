@@ -158,29 +158,36 @@ def fields_by_class(fields: DataFrame) -> DataFrame:
 
 # --- cycles --------------------------------------------------------------------
 
+STEPS_PER_ROUND = 3
+
+
 def circular_relationships(edges: DataFrame) -> DataFrame:
     """Every edge ``(src, dst)`` with ``is_circular``: the end can reach the start again.
 
     An edge lies on a cycle when both ends are in the same strongly connected part of
-    the graph. Parts are found with a label per node, so the work per round is one
-    pass over the edges; reachable pairs are never listed. Each round is checkpointed.
+    the graph. Parts are found with a label per node, so the work per round is a few
+    passes over the edges; reachable pairs are never listed. Each round is checkpointed.
     """
     # The ends are compared within this job only, so text is a common type for all of them.
-    all_edges = edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    all_edges = cut_lineage(
+        edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    )
     links = cut_lineage(all_edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct())
     parts = None
     while True:
         links = _trim(links)
         if links.isEmpty():
             break
-        labels = _spread_largest(links)
-        found = cut_lineage(_back_from_roots(links, labels))
+        found = _parts(links)
         parts = found if parts is None else parts.unionByName(found)
         done = found.select(F.col("node").alias("__n"))
         links = links.join(done, F.col("src") == F.col("__n"), "left_anti")
         links = cut_lineage(links.join(done, F.col("dst") == F.col("__n"), "left_anti"))
     if parts is None:
         return all_edges.withColumn("is_circular", F.lit(False))
+    # A part of one node is no cycle; an edge from a node to itself needs a larger one, too.
+    larger = parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1")
+    parts = cut_lineage(parts.join(larger.select("part"), "part", "left_semi"))
     source = parts.select(F.col("node").alias("src"), F.col("part").alias("__src_part"))
     target = parts.select(F.col("node").alias("dst"), F.col("part").alias("__dst_part"))
     marked = all_edges.join(source, "src", "left").join(target, "dst", "left")
@@ -203,40 +210,38 @@ def _trim(links: DataFrame) -> DataFrame:
     return links
 
 
-def _spread_largest(links: DataFrame) -> DataFrame:
-    """Label of a node: the largest node that reaches it."""
-    labels = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().select(
-        "node", F.col("node").alias("label")
-    )
-    while True:
-        received = links.join(labels, F.col("src") == F.col("node")).select(
-            F.col("dst").alias("node"), "label", F.lit(None).cast("string").alias("own")
-        )
-        merged = labels.withColumn("own", F.col("label")).unionByName(received).groupBy("node").agg(
-            F.max("label").alias("label"), F.max("own").alias("own")
-        )
-        merged = cut_lineage(merged)
-        labels = merged.select("node", "label")
-        if merged.where("label <> own").isEmpty():
-            return labels
-
+def _parts(links: DataFrame) -> DataFrame:
+    """Strongly connected parts around the largest nodes, as ``(node, part)``.
 
-def _back_from_roots(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """Nodes that reach the root of their label: each label's strongly connected part."""
+    A node's label is the largest node that reaches it. Within the nodes of one label,
+    those that also reach that node form its part.
+    """
+    nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
+    labels = _spread_largest(links, nodes.select("node", F.col("node").alias("label")))
     source = labels.select(F.col("node").alias("src"), F.col("label").alias("__a"))
-    target = labels.select(F.col("node").alias("dst"), F.col("label").alias("part"))
-    inside = cut_lineage(
-        links.join(source, "src").join(target, "dst").where("__a = part").select("src", "dst", "part")
-    )
-    reached = cut_lineage(labels.where("node = label").select("node", F.col("label").alias("part")))
-    newest = reached
+    target = labels.select(F.col("node").alias("dst"), F.col("label").alias("__b"))
+    inside = links.join(source, "src").join(target, "dst").where("__a = __b")
+    backwards = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    is_root = labels.select("node", (F.col("node") == F.col("label")).cast("int").alias("label"))
+    reaches_root = _spread_largest(backwards, is_root).where("label = 1").select("node")
+    return cut_lineage(labels.withColumnRenamed("label", "part").join(reaches_root, "node", "left_semi"))
+
+
+def _spread_largest(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pass labels along the links, keeping the largest at each node, until nothing changes."""
+    # Each node is linked to itself, so that one join brings its own label, too.
+    loops = labels.select(F.col("node").alias("src"), F.col("node").alias("dst"))
+    links = cut_lineage(links.unionByName(loops))
+    labels = labels.select("node", "label")
     while True:
-        before = inside.join(newest.select(F.col("node").alias("dst")), "dst", "left_semi")
-        step = before.select(F.col("src").alias("node"), "part").distinct()
-        newest = cut_lineage(step.join(reached.select("node"), "node", "left_anti"))
-        if newest.isEmpty():
-            return reached
-        reached = cut_lineage(reached.unionByName(newest))
+        for _ in range(STEPS_PER_ROUND):
+            own = F.max(F.when(F.col("src") == F.col("dst"), F.col("label")))
+            labels = links.join(labels.select(F.col("node").alias("src"), "label"), "src").groupBy(
+                F.col("dst").alias("node")
+            ).agg(F.max("label").alias("label"), own.alias("own"))
+        labels = cut_lineage(labels)
+        if labels.where("label <> own").isEmpty():
+            return labels.select("node", "label")
 
 
 # --- expressions and lineage ------------------------------------------------------

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferryload.operators.ordering import range_borders, range_number
+
 
 def group_by(df: DataFrame, keys: Sequence[str | Column], **aggregates: Column) -> DataFrame:
     """A1: GROUP BY with named aggregates (combined before the shuffle by Spark)."""
@@ -37,38 +39,32 @@ def mode(df: DataFrame, keys: Sequence[str], value: str, output: str) -> DataFra
 def median(df: DataFrame, keys: Sequence[str], value: str, output: str, ranges: int = 256) -> DataFrame:
     """A3: exact median per group without sorting a group in one task.
 
-    Approximate quantiles cut each group's values into ranges. Counts per range
-    say which range holds the middle ranks, and only that range is sorted.
+    Quantiles of the whole column cut the values into ranges, so a range holds a bounded
+    share of all rows whichever group they belong to. Counts per (group, range) say where
+    the middle ranks are, and only those ranges are sorted.
     """
-    known = df.where(F.col(f"`{value}`").isNotNull()).select(*keys, F.col(f"`{value}`").cast("double").alias("__x"))
-    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    borders = known.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx("__x", steps, 10 * ranges)).alias("__borders"),
-        F.count("*").alias("__total"),
-    )
+    x = F.col(f"`{value}`").cast("double")
+    known = df.where(F.col(f"`{value}`").isNotNull()).select(*keys, x.alias("__x"))
     counts = known.groupBy(*keys, "__x").agg(F.count("*").alias("__n"))
-    cut = _join_groups(counts, borders, keys).withColumn(
-        "__range", F.size(F.filter("__borders", lambda b: b <= F.col("__x")))
-    )
-    per_range = cut.groupBy(*keys, "__range").agg(
-        F.sum("__n").alias("__rows"), F.max("__total").alias("__total")
+    cut = counts.withColumn("__range", range_number("__x", range_borders(df, value, ranges)))
+    per_range = cut.groupBy(*keys, "__range").agg(F.sum("__n").alias("__rows"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("__rows").over(group)
+    placed = per_range.select(
+        *keys, "__range", "__rows", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"),
+        F.floor((total + 1) / 2).alias("__low"), F.ceil((total + 1) / 2).alias("__high"),
     )
-    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    low, high = F.floor((F.col("__total") + 1) / 2), F.ceil((F.col("__total") + 1) / 2)
-    placed = per_range.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
-    placed = placed.withColumn("__low", low).withColumn("__high", high)
-    holds = lambda rank, start, rows: (start < rank) & (rank <= start + rows)
-    start, rows = F.col("__before"), F.col("__rows")
-    middle = placed.where(
-        holds(F.col("__low"), start, rows) | holds(F.col("__high"), start, rows)
-    ).select(*keys, "__range", "__before", "__low", "__high")
-    candidates = _join_groups(cut.select(*keys, "__range", "__x", "__n"), middle, [*keys, "__range"])
+
+    def holds(rank: str, start: str, rows: str) -> Column:
+        return (F.col(start) < F.col(rank)) & (F.col(rank) <= F.col(start) + F.col(rows))
+
+    middle = placed.where(holds("__low", "__before", "__rows") | holds("__high", "__before", "__rows")).drop("__rows")
+    candidates = _join_groups(cut, middle, [*keys, "__range"])
     running = Window.partitionBy(*keys, "__range").orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = candidates.withColumn(
-        "__start", F.col("__before") + F.coalesce(F.sum("__n").over(running), F.lit(0))
-    )
-    here = lambda rank: F.max(F.when(holds(F.col(rank), F.col("__start"), F.col("__n")), F.col("__x")))
-    return ranked.groupBy(*keys).agg(((here("__low") + here("__high")) / 2).alias(output))
+    ranked = candidates.withColumn("__start", F.col("__before") + F.coalesce(F.sum("__n").over(running), F.lit(0)))
+    low, high = (F.max(F.when(holds(rank, "__start", "__n"), F.col("__x"))) for rank in ("__low", "__high"))
+    return ranked.groupBy(*keys).agg(((low + high) / 2).alias(output))
 
 
 def concat_distinct(

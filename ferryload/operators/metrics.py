@@ -124,7 +124,7 @@ def hierarchies(found: DataFrame) -> DataFrame:
     hits = candidates.select("*", F.explode(levels).alias("l")).where(
         F.lower("source_column").contains(F.col("l.token"))
     )
-    columns = ["source_column", "target_column", "business_name", "distinct_count"]
+    columns = ["source_column", _target_name().alias("target_column"), "business_name", "distinct_count"]
     best = hits.groupBy("table_name", "l.pattern", "l.level").agg(
         F.min(F.struct("position", *columns)).alias("first")
     )

@@ -36,23 +36,22 @@ def range_borders(df: DataFrame, column: str, ranges: int) -> list[float]:
     return sorted(set(found))
 
 
-def range_number(value: Column, borders: Sequence[float]) -> Column:
-    """Number of borders at or below the value, found by halving; NULL sorts first."""
-    if not borders:
-        return F.lit(0)
+def range_number(column: str, borders: Sequence[float]) -> Column:
+    """Number of borders at or below a double column, found by halving; NULL sorts first."""
 
-    def halve(low: int, high: int) -> Column:
+    def halve(low: int, high: int) -> str:
         if low == high:
-            return F.lit(low)
+            return str(low)
         middle = (low + high) // 2
-        return F.when(value >= borders[middle], halve(middle + 1, high)).otherwise(halve(low, middle))
+        return f"CASE WHEN `{column}` >= {borders[middle]!r}D THEN {halve(middle + 1, high)} ELSE {halve(low, middle)} END"
 
-    return halve(0, len(borders))
+    return F.expr(halve(0, len(borders)))
 
 
 def _with_ranges(df: DataFrame, column: str, ranges: int) -> DataFrame:
     borders = range_borders(df, column, ranges) if ranges > 1 else []
-    return df.withColumn(RANGE, range_number(_sort_number(df, column), borders))
+    numbered = df.withColumn("__sort", _sort_number(df, column))
+    return numbered.withColumn(RANGE, range_number("__sort", borders)).drop("__sort")
 
 
 def _with_starts(cut: DataFrame, starts: DataFrame, real: str) -> DataFrame:

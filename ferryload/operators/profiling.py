@@ -29,27 +29,30 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 def column_facts(counts: DataFrame, keys: Sequence[str] = ("column_name",)) -> DataFrame:
     """Counts, distinct count, bounds and type evidence per column from :func:`value_counts`."""
-    text, n = F.col("text"), F.col("n")
-    trimmed = F.trim(text)
+    text, trimmed = F.col("text"), F.trim("text")
     numeric = reads_as_number(text)
-    number = F.when(numeric, trimmed.try_cast("double"))
-    exact = F.when(numeric, trimmed.try_cast("decimal(38,6)"))
-    by_number = F.when(numeric, F.struct(number.alias("d"), exact.alias("e"), trimmed.alias("t")))
+    seen = counts.select(
+        *keys, "text", "n", trimmed.alias("trimmed"), numeric.alias("numeric"),
+        F.when(numeric, trimmed.try_cast("double")).alias("number"),
+        F.when(numeric, trimmed.try_cast("decimal(38,6)")).alias("exact"),
+        F.lower(trimmed).isin(BOOLEAN_LIKE_WORDS).alias("word"), reads_as_whole_number(text).alias("whole"),
+    )
+    by_number = F.when(F.col("numeric"), F.struct("number", "exact", "trimmed"))
 
     def rows_where(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
-    serial = numeric & number.between(SERIAL_DATE_LOW, SERIAL_DATE_HIGH)
-    return counts.groupBy(*keys).agg(
-        F.sum(n).alias("row_count_checked"),
+    serial = F.col("numeric") & F.col("number").between(SERIAL_DATE_LOW, SERIAL_DATE_HIGH)
+    return seen.groupBy(*keys).agg(
+        F.sum("n").alias("row_count_checked"),
         rows_where(text.isNull()).alias("null_count"),
         rows_where(text.isNotNull()).alias("non_null_count"),
-        F.count(text).alias("distinct_count"),
-        F.coalesce(F.min(by_number)["t"], F.min(text), F.lit("")).alias("min_value"),
-        F.coalesce(F.max(by_number)["t"], F.max(text), F.lit("")).alias("max_value"),
-        rows_where(F.lower(trimmed).isin(BOOLEAN_LIKE_WORDS)).alias("boolean_rows"),
-        rows_where(reads_as_whole_number(text)).alias("whole_rows"),
-        rows_where(numeric).alias("number_rows"),
+        F.count("text").alias("distinct_count"),
+        F.coalesce(F.min(by_number)["trimmed"], F.min("text"), F.lit("")).alias("min_value"),
+        F.coalesce(F.max(by_number)["trimmed"], F.max("text"), F.lit("")).alias("max_value"),
+        rows_where(F.col("word")).alias("boolean_rows"),
+        rows_where(F.col("whole")).alias("whole_rows"),
+        rows_where(F.col("numeric")).alias("number_rows"),
         rows_where(serial).alias("serial_rows"),
     )
 

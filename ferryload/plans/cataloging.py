@@ -99,12 +99,11 @@ def business_names(t: Tables):
 def trade_edges(t: Tables) -> DataFrame:
     """Net flow of goods between nations, from the supplier's to the customer's nation."""
     lines = t.plain("lineitem").select("orderkey", "suppkey", "extendedprice")
-    flows = (
-        lines.join(t.plain("orders").select("orderkey", "custkey"), "orderkey")
-        .join(t.plain("customer").select("custkey", F.col("nationkey").alias("b")), "custkey")
-        .join(t.plain("supplier").select("suppkey", F.col("nationkey").alias("a")), "suppkey")
-        .where("a <> b")
+    buyers = t.plain("orders").select("orderkey", "custkey").join(
+        t.plain("customer").select("custkey", F.col("nationkey").alias("b")), "custkey"
     )
+    sellers = t.plain("supplier").select("suppkey", F.col("nationkey").alias("a"))
+    flows = lines.join(sellers, "suppkey").join(buyers.select("orderkey", "b"), "orderkey").where("a <> b")
     sign = F.when(F.col("a") < F.col("b"), F.col("extendedprice")).otherwise(-F.col("extendedprice"))
     net = flows.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.round(F.sum(sign), 2).alias("net"))
     return net.where("net <> 0").select(
