@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ferryload.fixed_values import AVG_TOKENS, SUM_TOKENS
+from ferryload.fixed_values import AVG_TOKENS, KPI_CHOICES, SUM_TOKENS
+from ferryload.functions.classes import choices
+from ferryload.functions.text import contains_any
 
 
 def selection(fields: dict[str, list]) -> Column:
@@ -74,21 +76,12 @@ def kpi_aggregation(entity_type: Column, names: Column, target_type: Column) ->
     before sums, because a margin rate must not be added up.
     """
 
-    def choice(aggregation: str, confidence: float, reason: str) -> Column:
-        return F.struct(
-            F.lit(aggregation).alias("aggregation_type"),
-            F.lit(confidence).alias("confidence"),
-            F.lit(reason).alias("reason"),
-        )
-
+    pick = choices(KPI_CHOICES, "aggregation_type", "confidence", "reason")
     flag = entity_type == "FLAG"
     return (
-        F.when(flag & (F.upper(target_type) == "BOOLEAN"),
-               choice("COUNT", 0.68, "Boolean flag can be counted for true/false population analysis."))
-        .when(flag, choice("SUM", 0.72, "Numeric flag can be summed to count positive indicators."))
-        .when(names.rlike("|".join(AVG_TOKENS)),
-              choice("AVG", 0.78, "Rate, percentage, or ratio naming suggests averaging."))
-        .when(names.rlike("|".join(SUM_TOKENS)),
-              choice("SUM", 0.86, "Additive business metric naming suggests summation."))
-        .otherwise(choice("SUM", 0.6, "Measure detected, defaulting to additive aggregation pending review."))
+        F.when(flag & (F.upper(target_type) == "BOOLEAN"), pick["boolean flag"])
+        .when(flag, pick["flag"])
+        .when(contains_any(names, AVG_TOKENS), pick["rate"])
+        .when(contains_any(names, SUM_TOKENS), pick["amount"])
+        .otherwise(pick["other"])
     )

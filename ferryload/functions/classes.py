@@ -21,6 +21,8 @@ from ferryload.fixed_values import (
     MONTH_NUMBER_NAME,
     NUMBER_FORMAT_TYPES,
     OTHER_THEME,
+    ROLE_CHOICES,
+    TYPE_CHOICES,
 )
 from ferryload.functions.text import contains_any
 
@@ -43,38 +45,29 @@ def field_category(name: Column, tags: Column, number_type: Column) -> Column:
     )
 
 
-def target_type(category: Column, name: Column, symbols: Column, decimals: Column) -> Column:
-    """Struct of target type, conversion rule, confidence and reason for a field class."""
+def choices(table: dict[str, tuple], *names: str) -> dict[str, Column]:
+    """Rows of a fixed table as struct constants with the given field names."""
+    return {
+        key: F.struct(*[F.lit(value).alias(name) for name, value in zip(names, row)]) for key, row in table.items()
+    }
 
-    def choice(kind: str, rule: str, confidence: float, reason: str) -> Column:
-        return F.struct(
-            F.lit(kind).alias("target_type"), F.lit(rule).alias("conversion_rule"),
-            F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"),
-        )
 
+def target_type(category: Column, name: Column, symbols: Column, decimals: Column) -> Column:
+    """Struct of target type, conversion rule, confidence and reason for a field class."""
+    pick = choices(TYPE_CHOICES, "target_type", "conversion_rule", "confidence", "reason")
     few_symbols = F.coalesce(symbols.try_cast("int") <= 2, F.lit(True))
     whole = contains_any(name, COUNT_TOKENS) | F.coalesce(decimals.try_cast("int") == 0, F.lit(False))
     flag, number = category == "FLAG_LIKE", category == "NUMERIC_LIKE"
-    flag_rule = "flag_to_boolean_or_int_review"
     return (
-        F.when(category == "DATE_LIKE",
-               choice("DATE", "qlik_serial_to_date", 0.90, "Date-like metadata or field name detected."))
-        .when(category == "TEXT_LIKE",
-              choice("STRING", "cast_string", 0.90, "Text/ascii QVD tags detected."))
-        .when(category == "KEY_LIKE",
-              choice("STRING", "cast_string", 0.90,
-                     "Identifier-like field name detected; preserving as string."))
-        .when(flag & contains_any(name, FLAG_TOKENS) & few_symbols,
-              choice("BOOLEAN", flag_rule, 0.90, "Flag-like name with low symbol cardinality."))
-        .when(flag, choice("INT", flag_rule, 0.50, "Flag-like field needs review before boolean conversion."))
-        .when(number & whole,
-              choice("BIGINT", "cast_bigint", 0.90, "Numeric count/quantity metadata suggests whole numbers."))
-        .when(number & contains_any(name, DECIMAL_TOKENS),
-              choice("DECIMAL(18,2)", "cast_decimal_18_2", 0.90,
-                     "Numeric business measure suggests decimal precision."))
-        .when(number, choice("DOUBLE", "cast_double", 0.70,
-                             "Numeric metadata detected without a stronger type hint."))
-        .otherwise(choice("STRING", "no_rule_review", 0.50, "No reliable metadata rule matched."))
+        F.when(category == "DATE_LIKE", pick["date"])
+        .when(category == "TEXT_LIKE", pick["text"])
+        .when(category == "KEY_LIKE", pick["key"])
+        .when(flag & contains_any(name, FLAG_TOKENS) & few_symbols, pick["clear flag"])
+        .when(flag, pick["flag"])
+        .when(number & whole, pick["count"])
+        .when(number & contains_any(name, DECIMAL_TOKENS), pick["amount"])
+        .when(number, pick["number"])
+        .otherwise(pick["other"])
     )
 
 
@@ -96,25 +89,19 @@ def date_storage(name: Column, used_in_month_shift: Column) -> Column:
 
 def column_role(name: Column, tags: Column, category: Column, runtime_type: Column) -> Column:
     """K1: struct of entity type, confidence and reason of a column."""
-
-    def role(kind: str, confidence: float, reason: str) -> Column:
-        return F.struct(
-            F.lit(kind).alias("entity_type"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason")
-        )
-
+    pick = choices(ROLE_CHOICES, "entity_type", "confidence", "reason")
     category, runtime = F.coalesce(category, F.lit("")), F.upper(F.coalesce(runtime_type, F.lit("")))
+    dated = has_tag(tags, "$date", "$timestamp") | contains_any(name, DATE_TOKENS)
     return (
-        F.when(has_tag(tags, "$date", "$timestamp") | contains_any(name, DATE_TOKENS) | (category == "DATE_LIKE"),
-               role("DATE", 0.92, "Date metadata, tags, or field name detected."))
-        .when(contains_any(name, FLAG_TOKENS) | (runtime == "BOOLEAN_LIKE") | (category == "FLAG_LIKE"),
-              role("FLAG", 0.88, "Flag-like name or boolean-like profile values detected."))
-        .when(contains_any(name, KEY_TOKENS) | (category == "KEY_LIKE"),
-              role("IDENTIFIER", 0.86, "Identifier-like field name detected."))
-        .when(contains_any(name, MEASURE_TOKENS) | (category == "NUMERIC_LIKE") | runtime.isin("INTEGER", "DECIMAL"),
-              role("MEASURE", 0.84, "Numeric metric naming or runtime profile detected."))
-        .when((category == "TEXT_LIKE") | contains_any(name, DIMENSION_TOKENS),
-              role("DIMENSION", 0.82, "Descriptive text or common business dimension name detected."))
-        .otherwise(role("DIMENSION", 0.55, "Defaulted to descriptive dimension pending review."))
+        F.when(dated | (category == "DATE_LIKE"), pick["date"])
+        .when(contains_any(name, FLAG_TOKENS) | (runtime == "BOOLEAN_LIKE") | (category == "FLAG_LIKE"), pick["flag"])
+        .when(contains_any(name, KEY_TOKENS) | (category == "KEY_LIKE"), pick["identifier"])
+        .when(
+            contains_any(name, MEASURE_TOKENS) | (category == "NUMERIC_LIKE") | runtime.isin("INTEGER", "DECIMAL"),
+            pick["measure"],
+        )
+        .when((category == "TEXT_LIKE") | contains_any(name, DIMENSION_TOKENS), pick["dimension"])
+        .otherwise(pick["other"])
     )
 
 

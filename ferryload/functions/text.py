@@ -126,15 +126,16 @@ def snake_words(value: Column) -> Column:
     for separator in (PATH_AND_SPACE, NOT_WORD, ACRONYM_EDGE, CAMEL_EDGE, "_+"):
         name = F.regexp_replace(name, separator, "_")
     name = F.lower(F.regexp_replace(name, "^_+|_+$", ""))
-    name = F.regexp_replace(name, SHORT_HEAD, "$1$2")
-    return F.when(name == "", F.lit("unnamed")).otherwise(name)
+    return F.regexp_replace(F.regexp_replace(name, SHORT_HEAD, "$1$2"), "^$", "unnamed")
 
 
 def column_name(value: Column, reserved_suffix: str = "_col") -> Column:
-    """Snake case plus the rules for leading digits and reserved words."""
-    name = snake_words(value)
-    name = F.when(name.rlike(r"^\d"), F.concat(F.lit("col_"), name)).otherwise(name)
-    return F.when(name.isin(RESERVED_WORDS), F.concat(name, F.lit(reserved_suffix))).otherwise(name)
+    """Snake case plus the rules for leading digits and reserved words.
+
+    Written as one chain, so that the plan holds the name once and not once per rule.
+    """
+    name = F.regexp_replace(snake_words(value), r"^(?=\d)", "col_")
+    return F.regexp_replace(name, "^(" + "|".join(RESERVED_WORDS) + ")$", "$1" + reserved_suffix)
 
 
 def title_case(value: Column) -> Column:
@@ -147,7 +148,7 @@ def business_name(value: Column) -> Column:
     """K5: readable name of a column: separators and camel case become spaces."""
     name = F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), NAME_SEPARATORS, " "))
     name = F.regexp_replace(F.regexp_replace(name, CAMEL_EDGE, " "), r"\s+", " ")
-    return F.when(name == "", F.lit("Unnamed")).otherwise(title_case(name))
+    return title_case(F.regexp_replace(name, "^$", "unnamed"))
 
 
 def display_name(value: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ferryload.fixed_values import REVIEW_STATUSES, TARGET_TYPES
+from ferryload.fixed_values import EMPTY_TARGET_COLUMN, EMPTY_TARGET_TABLE, REVIEW_STATUSES, TARGET_TYPES
 from ferryload.functions.classes import date_storage, field_category, review_status, target_type
 from ferryload.functions.numbers import KNOWN_RULES, convert, spark_type
 from ferryload.functions.text import column_name
@@ -65,8 +65,8 @@ def mapping_errors(mapping: DataFrame) -> DataFrame:
     )
     known_type, known_status = F.col("target_type").isin(TARGET_TYPES), F.col("review_status").isin(REVIEW_STATUSES)
     rules = [
-        (F.col("target_table") == "", "target_table", "target_table cannot be empty."),
-        (F.col("target_column") == "", "target_column", "target_column cannot be empty."),
+        (F.col("target_table") == "", "target_table", EMPTY_TARGET_TABLE),
+        (F.col("target_column") == "", "target_column", EMPTY_TARGET_COLUMN),
         (~known_type, "target_type", "Unsupported target_type."),
         (~known_status, "review_status", "Unsupported review_status."),
         (F.col("review_status") == "NEEDS_REVIEW", "review_status", "Row must be approved before saving."),

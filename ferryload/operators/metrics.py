@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ferryload.fixed_values import (
     DOMAIN_STOP_TOKENS,
     GLOSSARY_OWNER,
+    HIERARCHY_CONFIDENCE,
     HIERARCHY_PATTERNS,
+    HIERARCHY_REASON,
     READINESS_BASE,
     READINESS_POINTS,
 )
@@ -136,7 +138,7 @@ def hierarchies(found: DataFrame) -> DataFrame:
         "table_name", F.col("pattern").alias("pattern_number"), F.size("levels").alias("level_count"),
         join("business_name").alias("business_name"), join("source_column").alias("source_column"),
         join("target_column").alias("target_column"), join("distinct_count").alias("distinct_counts"),
-        F.lit(0.72).alias("confidence"),
+        F.lit(HIERARCHY_CONFIDENCE).alias("confidence"),
     )
 
 
@@ -170,7 +172,7 @@ def glossary(kpis: DataFrame, found: DataFrame, hierarchy: DataFrame) -> DataFra
         terms(found.where(F.col("entity_type") == "DIMENSION"), "DIMENSION", "business_name", F.col("reason"),
               "source_column", none, not_applicable),
         terms(hierarchy, "HIERARCHY", "business_name",
-              F.lit("Common business hierarchy token sequence detected from available fields."),
+              F.lit(HIERARCHY_REASON),
               "source_column", none, not_applicable),
     ])
 

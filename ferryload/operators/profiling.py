@@ -12,7 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ferryload.fixed_values import BOOLEAN_LIKE_WORDS, SERIAL_DATE_HIGH, SERIAL_DATE_LOW
+from ferryload.fixed_values import (
+    BOOLEAN_LIKE_WORDS,
+    NO_APPROVED_TYPE,
+    SERIAL_DATE_HIGH,
+    SERIAL_DATE_LOW,
+    TYPE_FIT,
+)
 from ferryload.functions.numbers import reads_as_number, reads_as_whole_number
 
 SAMPLES = 5
@@ -70,17 +76,6 @@ def runtime_type(approved: Column) -> Column:
     )
 
 
-# Which approved types fit a runtime type, and the verdict and reason otherwise.
-TYPE_FIT = {
-    "QLIK_DATE_SERIAL": (["DATE"], "MISMATCH", "Qlik date serial values do not match approved target type."),
-    "BOOLEAN_LIKE": (["BOOLEAN"], "NEEDS_REVIEW", "Boolean-like values may need target type review."),
-    "INTEGER": (["INT", "BIGINT"], "MISMATCH", "Integer runtime values do not match approved target type."),
-    "DECIMAL": (["DOUBLE", "DECIMAL(18,2)"], "MISMATCH", "Decimal runtime values do not match approved target type."),
-    "STRING": (["STRING"], "MISMATCH", "String runtime values do not match approved target type."),
-}
-NO_APPROVED_TYPE = "No approved mapping target type found for this source column."
-
-
 def match_status(detected: Column, approved: Column) -> tuple[Column, Column]:
     """Q3: status and reason of detected against approved type."""
     status = F.when(approved == "", F.lit("NEEDS_REVIEW"))

@@ -77,9 +77,11 @@ def differences(spark_frame, con, sql: str) -> str | None:
 
 def main(folder: str, names: list[str]) -> int:
     import __spark_entry__ as entry
+    from pyspark.sql import SparkSession
+
     from ferryload.session import local_session
 
-    spark = local_session()
+    spark = SparkSession.builder.master("local[8]").getOrCreate() if os.environ.get("PLAIN_SESSION") else local_session()
     spark.sparkContext.setLogLevel("ERROR")
     con, oracle, failed = duck(folder), entry.oracle_sql(), 0
     for name, query in entry.queries().items():
