@@ -8,7 +8,7 @@ from ferryload.functions import aggregates as A
 from ferryload.functions import dates as D
 from ferryload.operators import grouping as G
 from ferryload.operators import joins as J
-from ferryload.plans.tables import Tables
+from ferryload.plans.tables import Tables, exact_mean
 
 
 def month_region_sales(t: Tables):
@@ -106,7 +106,7 @@ def composite_grain_join(t: Tables):
     month = F.date_format("orderdate", "yyyyMM")
     orders = t.plain("orders").select("orderkey", month.alias("yyyymm"), F.col("orderstatus").alias("account"))
     plan = t.plain("orders").groupBy(month.alias("yyyymm"), F.col("orderstatus").alias("account")).agg(
-        F.round(F.avg("totalprice"), 4).alias("plan_price")
+        exact_mean("totalprice").alias("plan_price")
     ).where(F.col("account") != "F")
     return J.grain_join(orders, plan, ["yyyymm", "account"])
 
@@ -199,8 +199,8 @@ def first_last_sorted_value(t: Tables):
 def nested_aggr(t: Tables):
     month = t.orders.select("*", F.date_format("o_orderdate", "yyyyMM").alias("yyyymm"))
     return G.nested(
-        month, ["o_orderpriority", "yyyymm"], {"monthly": F.sum("o_totalprice")},
-        ["o_orderpriority"], {"best_month": F.round(F.max("monthly"), 2), "mean_month": F.round(F.avg("monthly"), 2), "months": F.count("*")},
+        month, ["o_orderpriority", "yyyymm"], {"monthly": F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")},
+        ["o_orderpriority"], {"best_month": F.max("monthly"), "mean_month": exact_mean("monthly"), "months": F.count("*")},
     )
 
 
@@ -260,7 +260,7 @@ ORACLE = {
       LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""",
     "composite_grain_join": """
       WITH o AS (SELECT o_orderkey AS orderkey, strftime(o_orderdate, '%Y%m') AS yyyymm, o_orderstatus AS account, o_totalprice FROM orders),
-           p AS (SELECT yyyymm, account, round(avg(o_totalprice), 4) AS plan_price FROM o WHERE account <> 'F' GROUP BY ALL)
+           p AS (SELECT yyyymm, account, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS plan_price FROM o WHERE account <> 'F' GROUP BY ALL)
       SELECT yyyymm, account, orderkey, plan_price FROM o LEFT JOIN p USING (yyyymm, account)""",
     "aggregate_before_join": f"""
       WITH {SIDES}, a AS (SELECT custkey, count(*) AS order_count, round(sum(totalprice), 2) AS order_total FROM o GROUP BY 1)
@@ -311,8 +311,8 @@ ORACLE = {
       SELECT o_custkey, first(o_orderkey ORDER BY o_totalprice, o_orderkey) AS cheapest_order,
              last(o_orderkey ORDER BY o_totalprice, o_orderkey) AS dearest_order FROM orders GROUP BY 1""",
     "nested_aggr": """
-      WITH m AS (SELECT o_orderpriority, strftime(o_orderdate, '%Y%m') AS yyyymm, sum(o_totalprice) AS monthly FROM orders GROUP BY ALL)
-      SELECT o_orderpriority, round(max(monthly), 2) AS best_month, round(avg(monthly), 2) AS mean_month, count(*) AS months FROM m GROUP BY 1""",
+      WITH m AS (SELECT o_orderpriority, strftime(o_orderdate, '%Y%m') AS yyyymm, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS monthly FROM orders GROUP BY ALL)
+      SELECT o_orderpriority, CAST(max(monthly) AS DOUBLE) AS best_month, CAST(sum(monthly) AS DOUBLE) / count(*) AS mean_month, count(*) AS months FROM m GROUP BY 1""",
     "distinct_count": "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1",
     "guarded_ratio": """
       SELECT o_custkey, round(u / nullif(f, 0), 6) AS urgent_to_closed FROM (

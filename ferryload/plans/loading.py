@@ -8,7 +8,7 @@ from ferryload.functions import conditions as C
 from ferryload.functions import dates as D
 from ferryload.functions import text as X
 from ferryload.operators import checks, combine, conversion, joins, ordering
-from ferryload.plans.tables import Tables, day
+from ferryload.plans.tables import Tables, day, exact_mean
 from ferryload.sources import headers, tables as S
 
 PRIORITY_MAP = """
@@ -38,7 +38,7 @@ def resident_groupby(t: Tables):
         shipped, group=["l_returnflag", "l_linestatus"],
         aggregates=[
             F.count("*").alias("line_count"), F.sum("l_quantity").alias("sum_qty"),
-            F.round(F.avg("l_extendedprice"), 4).alias("avg_price"),
+            exact_mean("l_extendedprice").alias("avg_price"),
             F.min(day("l_shipdate")).alias("first_ship"), F.max(day("l_shipdate")).alias("last_ship"),
         ],
     )
@@ -332,7 +332,7 @@ ORACLE = {
     "resident_groupby": """
       WITH shipped AS (SELECT * FROM lineitem WHERE l_returnflag <> 'N')
       SELECT l_returnflag, l_linestatus, count(*) AS line_count, sum(l_quantity) AS sum_qty,
-             round(avg(l_extendedprice), 4) AS avg_price, min(CAST(l_shipdate AS DATE)) AS first_ship, max(CAST(l_shipdate AS DATE)) AS last_ship
+             CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS avg_price, min(CAST(l_shipdate AS DATE)) AS first_ship, max(CAST(l_shipdate AS DATE)) AS last_ship
       FROM shipped GROUP BY ALL""",
     "distinct_load": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
     "sql_pass_through": """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferryload.operators import combine, reconcile
-from ferryload.plans.tables import Tables
+from ferryload.plans.tables import Tables, exact_mean
 
 
 def _sides(t: Tables):
@@ -19,11 +19,12 @@ def _sides(t: Tables):
     return source, target
 
 
-METRICS = {"total_price": F.sum, "mean_price": F.avg, "orders": F.count}
+METRICS = ["total_price", "mean_price", "orders"]
 
 
 def _metrics():
-    return {name: F.round(agg("o_totalprice"), 2) for name, agg in METRICS.items()}
+    exact = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
+    return {"total_price": exact, "mean_price": exact_mean("o_totalprice"), "orders": F.count("o_totalprice")}
 
 
 def _shaped(df):
@@ -67,7 +68,7 @@ t AS (SELECT * REPLACE (CASE WHEN priority = '1-URGENT' THEN o_totalprice + 0.01
 def compare_sql(grain: str = "", alias: str = "") -> str:
     """Both sides aggregated, joined on the grain and turned into one row per metric."""
     keys, group = (f"{grain} AS g, ", " GROUP BY 1") if grain else ("1 AS g, ", "")
-    side = "SELECT {k}round(sum(o_totalprice), 2) AS total_price, round(avg(o_totalprice), 2) AS mean_price, CAST(count(o_totalprice) AS DOUBLE) AS orders FROM {f}{g}"
+    side = "SELECT {k}CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total_price, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS mean_price, CAST(count(o_totalprice) AS DOUBLE) AS orders FROM {f}{g}"
     out = f"coalesce(a.g, b.g) AS {alias}, " if grain else ""
     rows = " UNION ALL ".join(
         f"SELECT {out}'{m}' AS metric_name, a.{m} AS source_value, b.{m} AS target_value FROM a FULL JOIN b ON a.g IS NOT DISTINCT FROM b.g" for m in METRICS)

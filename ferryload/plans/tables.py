@@ -30,3 +30,8 @@ def plain_name(column: str) -> str:
 def day(column: str):
     """Timestamp column as a date."""
     return F.col(column).cast("date")
+
+
+def exact_mean(column: str):
+    """Mean of an amount with two decimals: exact sum, one division, so it does not depend on row order."""
+    return F.sum(F.col(column).cast("decimal(18,2)")).cast("double") / F.count(column)
