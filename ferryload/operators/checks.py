@@ -191,16 +191,16 @@ def join_key_issues(left: DataFrame, right: DataFrame, left_key: str, right_key:
 def cardinality(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
     """Q16, Q18: measured cardinality of a join and the action it needs.
 
-    Rows are counted per (side, key) and only the maxima are compared, so a hot key is one row.
+    Rows are counted per key on each side and only the two maxima are compared, so a hot key is one row.
     """
-    keys = left.select(F.lit("l").alias("side"), F.col(f"`{left_key}`").cast("string").alias("k")).unionByName(
-        right.select(F.lit("r").alias("side"), F.col(f"`{right_key}`").cast("string").alias("k"))
-    )
-    counts = keys.where("k IS NOT NULL").groupBy("side", "k").agg(F.count("*").alias("n"))
-    most = counts.agg(
-        F.max(F.when(F.col("side") == "l", F.col("n"))).alias("max_left"),
-        F.max(F.when(F.col("side") == "r", F.col("n"))).alias("max_right"),
+    def most_rows(df: DataFrame, key: str, name: str) -> DataFrame:
+        counts = df.where(F.col(f"`{key}`").isNotNull()).groupBy(f"`{key}`").agg(F.count("*").alias("n"))
+        return counts.agg(F.max("n").alias(name))
+
+    both = most_rows(left, left_key, "max_left").unionByName(
+        most_rows(right, right_key, "max_right"), allowMissingColumns=True
     )
+    most = both.agg(F.max("max_left").alias("max_left"), F.max("max_right").alias("max_right"))
     many_left, many_right = F.col("max_left") > 1, F.col("max_right") > 1
     kind = (
         F.when(many_left & many_right, "*:*").when(many_left, "*:1").when(many_right, "1:*").otherwise("1:1")
