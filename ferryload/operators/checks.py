@@ -231,3 +231,8 @@ def grain_keys(df: DataFrame, candidates: Sequence[Sequence[str]]) -> DataFrame:
             F.count_if(F.col("n") > 1).alias("repeated_keys"), (F.max("n") == 1).alias("is_grain"),
         ))
     return reduce(DataFrame.unionByName, rows)
+
+
+def smallest_grain(df: DataFrame, candidates: Sequence[Sequence[str]]) -> DataFrame:
+    """The candidate with the fewest columns that identifies every row (no row if none does)."""
+    return grain_keys(df, candidates).where("is_grain").orderBy("key_count", "key_columns").limit(1)

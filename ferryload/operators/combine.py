@@ -59,8 +59,8 @@ def metric_rows(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return totals.unpivot([], list(metrics), "metric_name", "metric_total")
 
 
-def enrich(fact: DataFrame, dimension: DataFrame, alias: str, keys: Sequence[str]) -> list[Column]:
-    """Dimension columns the fact does not have yet, named ``alias_column``."""
+def enrichment(fact: DataFrame, dimension: DataFrame, alias: str, keys: Sequence[str]) -> list[Column]:
+    """Dimension columns the fact does not have yet, named ``alias_column``, each once."""
     known = {c.lower() for c in fact.columns}
     chosen = []
     for column in dimension.columns:

@@ -105,7 +105,7 @@ def exists_flag(df: DataFrame, key: str, other: DataFrame, other_key: str, outpu
 
 
 def star_join(
-    fact: DataFrame, dimensions: dict[str, tuple[DataFrame, Sequence[str]]]
+    fact: DataFrame, dimensions: dict[str, tuple[DataFrame, Sequence[str]]], verify: bool = False
 ) -> tuple[DataFrame, list[str]]:
     """Fact with every dimension that can be reached through joined tables.
 
@@ -113,8 +113,11 @@ def star_join(
     to the bridge first, so the fact is joined only with its direct dimensions. New columns
     are named ``alias_column``; key columns keep their name. Dimensions whose keys never
     appear are left out and their aliases returned. Every dimension must have one row per
-    key; see ``checks.duplicate_keys``.
+    key; with ``verify`` this is measured first, and tables that would multiply fact rows
+    are left out as well.
     """
+    unsafe = _repeated(dimensions) if verify else []
+    dimensions = {alias: d for alias, d in dimensions.items() if alias not in unsafe}
     links = {k for _, keys in dimensions.values() for k in keys}
     shaped = {
         alias: table.select(*[
@@ -144,7 +147,17 @@ def star_join(
             result = _look_up(result, shaped[alias], dimensions[alias][1])
         waiting = [a for a in waiting if a not in ready]
         ready = [a for a in waiting if set(dimensions[a][1]) <= set(result.columns)]
-    return result, sorted(waiting)
+    return result, sorted([*waiting, *unsafe])
+
+
+def _repeated(dimensions: dict[str, tuple[DataFrame, Sequence[str]]]) -> list[str]:
+    """Aliases of tables in which a key occurs more than once; one row per table reaches the driver."""
+    most = None
+    for alias, (table, keys) in dimensions.items():
+        counts = table.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("n"))
+        part = counts.agg(F.lit(alias).alias("alias"), F.max("n").alias("n"))
+        most = part if most is None else most.unionByName(part)
+    return [row["alias"] for row in most.where("n > 1").collect()] if most is not None else []
 
 
 def _look_up(df: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ferryload.functions import aggregates as A
 from ferryload.functions import dates as D
+from ferryload.operators import combine as U
 from ferryload.operators import grouping as G
 from ferryload.operators import joins as J
 from ferryload.plans.tables import Tables, exact_mean
@@ -95,6 +96,33 @@ def star_model(t: Tables):
     )
 
 
+def star_model_checked(t: Tables):
+    fact = t.plain("orders").select("orderkey", "custkey", "totalprice")
+    model, left_out = J.star_join(fact, {
+        "cust": (t.plain("customer").select("custkey", "nationkey", "mktsegment"), ["custkey"]),
+        "supp": (t.plain("supplier").select("nationkey", "suppkey"), ["nationkey"]),
+        "line": (t.plain("lineitem").select("orderkey", "quantity"), ["orderkey"]),
+        "nat": (t.plain("nation").select("nationkey", "name"), ["nationkey"]),
+    }, verify=True)
+    return model.groupBy("cust_mktsegment", "nat_name", F.lit(",".join(left_out)).alias("left_out")).agg(
+        F.count("*").alias("orders"), F.round(F.sum("totalprice"), 2).alias("total_price")
+    )
+
+
+def enrich_projection(t: Tables):
+    fact = t.plain("orders").select("orderkey", "custkey", F.col("totalprice").alias("acctbal"))
+    customers = t.plain("customer")
+    new = U.enrichment(fact, customers, "cust", ["custkey"])
+    return fact.join(customers.select("custkey", *new), "custkey", "left")
+
+
+def project_aliases(t: Tables):
+    named = t.customer.withColumnRenamed("c_name", "Customer Name")
+    return U.project(named, {
+        "Key": "c_custkey", "Customer": "[Customer Name]", "Balance Class": F.when(F.col("c_acctbal") < 0, "owes").otherwise("has"),
+    })
+
+
 def bridge_join(t: Tables):
     fact = t.plain("orders").select("orderkey", "custkey")
     bridge = t.plain("customer").select("custkey", "nationkey")
@@ -216,7 +244,7 @@ def guarded_ratio(t: Tables):
 
 QUERIES = {f.__name__: f for f in (
     month_region_sales, natural_left_join, join_inner, join_right, join_full, single_row_attach, keep_left, keep_inner,
-    exists_flag, star_model, bridge_join, composite_grain_join, aggregate_before_join, pivot_before_join,
+    exists_flag, star_model, star_model_checked, enrich_projection, project_aliases, bridge_join, composite_grain_join, aggregate_before_join, pivot_before_join,
     totals_side_by_side, full_outer_on_grain, orphans, join_match_ratio, set_analysis_sum, conditional_sum, only_value,
     stats_aggs, median_per_group, mode_per_group, concat_values, first_last_sorted_value, nested_aggr, distinct_count,
     guarded_ratio,
@@ -255,6 +283,14 @@ ORACLE = {
       FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey
            LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
       GROUP BY ALL""",
+    "star_model_checked": """
+      SELECT c_mktsegment AS cust_mktsegment, n_name AS nat_name, 'line,supp' AS left_out, count(*) AS orders, round(sum(o_totalprice), 2) AS total_price
+      FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""",
+    "enrich_projection": """
+      SELECT o_custkey AS custkey, o_orderkey AS orderkey, o_totalprice AS acctbal, c_name AS cust_name, c_nationkey AS cust_nationkey, c_mktsegment AS cust_mktsegment
+      FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
+    "project_aliases": """
+      SELECT c_custkey AS "Key", c_name AS "Customer", CASE WHEN c_acctbal < 0 THEN 'owes' ELSE 'has' END AS "Balance Class" FROM customer""",
     "bridge_join": """
       SELECT n_name AS nation, count(*) AS orders FROM orders LEFT JOIN customer ON o_custkey = c_custkey
       LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""",

@@ -85,7 +85,9 @@ def preview_rows(t: Tables):
 
 def part_file_rows(t: Tables):
     files = S.part_files(t.lineitem)
-    return files.agg((F.count("*") >= 1).alias("has_files"), (F.sum("file_size") > 0).alias("has_bytes"))
+    rows = t.lineitem.groupBy("_metadata.file_path").agg(F.count("*").alias("rows"))
+    listed = rows.join(files, "file_path").where("file_size > 0")
+    return listed.agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
 
 
 def page_extracts(t: Tables):
@@ -350,7 +352,7 @@ ORACLE = {
       SELECT page_id, regexp_replace(lower(CASE WHEN p = '' THEN url ELSE p END), '[^a-z0-9]+', '', 'g') AS identity
       FROM (SELECT page_id, url, regexp_extract(url, '([^/\\]+?)(?:\.[A-Za-z0-9_]+)?$', 1) AS p FROM pages)""",
     "preview_rows": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100",
-    "part_file_rows": "SELECT count(*) > 0 AS has_files, sum(l_quantity) > 0 AS has_bytes FROM lineitem",
+    "part_file_rows": "SELECT 1::BIGINT AS files, count(*) AS \"rows\" FROM lineitem",
     "extract_header_fields": f"""
       WITH {PAGE_FIELDS}
       SELECT file_name, table_name, no_of_records, position, field_name, tags, number_type,

@@ -176,9 +176,15 @@ def grain_keys(t: Tables):
     ).select("key_columns", F.col("key_count").cast("bigint").alias("key_count"), "repeated_keys", "is_grain")
 
 
+def smallest_grain(t: Tables):
+    found = checks.smallest_grain(t.conversations, [["conv_id", "role", "turn"], ["turn"], ["conv_id"], ["conv_id", "turn"]])
+    return found.select("key_columns", F.col("key_count").cast("bigint").alias("key_count"), "repeated_keys", "is_grain")
+
+
 QUERIES = {f.__name__: f for f in (
     convert_typed, flag_to_boolean, record_hash, typed_rows, column_profile, profile_match_status, profile_summary, quick_profile,
     quality_checks, check_verdict, null_pct, not_null, duplicate_keys, union_parity, load_status, branch_ownership, cardinality, grain_keys,
+    smallest_grain,
 )}
 
 RAW = """
@@ -322,6 +328,9 @@ ORACLE = {
       SELECT *, CASE WHEN max_left > 1 AND max_right > 1 THEN '*:*' WHEN max_left > 1 THEN '*:1' WHEN max_right > 1 THEN '1:*' ELSE '1:1' END AS cardinality,
         max_right <= 1 AS is_safe, CASE WHEN max_left > 1 AND max_right > 1 THEN 'aggregate_before_join' WHEN max_right > 1 THEN 'pivot_before_join' END AS required_action
       FROM s""",
+    "smallest_grain": """
+      SELECT 'conv_id,turn' AS key_columns, 2::BIGINT AS key_count, count(*) FILTER (n > 1) AS repeated_keys, max(n) = 1 AS is_grain
+      FROM (SELECT count(*) AS n FROM conversations GROUP BY conv_id, turn)""",
     "grain_keys": "SELECT key_columns, key_count, count(*) FILTER (n > 1) AS repeated_keys, max(n) = 1 AS is_grain FROM ("
         + " UNION ALL ".join(
             f"SELECT '{','.join(keys)}' AS key_columns, CAST({len(keys)} AS BIGINT) AS key_count, count(*) AS n FROM {table} GROUP BY {','.join(keys)}"
