@@ -38,8 +38,9 @@ def compare_with_number(name: str, operator: str, number: float) -> Column:
     if is_text_column(name):
         if operator in ("=", "==") and number == 0:
             return column.isNull() | (column == "")
-        if operator not in ("=", "=="):
-            return column.isNotNull() & (column != "")
+        if operator in ("=", "=="):
+            return column.try_cast("double") == number
+        return column.isNotNull() & (column != "")
     plain = {
         "=": column == number, "==": column == number, "<>": column != number, "!=": column != number,
         ">": column > number, "<": column < number, ">=": column >= number, "<=": column <= number,

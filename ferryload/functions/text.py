@@ -116,6 +116,7 @@ CAMEL_EDGE = r"(?<=[a-z0-9])(?=[A-Z])"
 SHORT_HEAD = r"^([a-z]{1,2})_([a-z])(?=_)"
 NAME_SEPARATORS = r"[%_/.\-]+"
 FORMAT_SUFFIX = r"\s*\([^)]*\)\s*$"
+SOURCE_CALL = r"(?i)\{\{\s*source\s*\(\s*['\"][^'\"]+['\"]\s*,\s*['\"]([^'\"]+)['\"]\s*\)\s*\}\}"
 LAST_PATH_PART = r"([^/\\]+?)(?:\.[A-Za-z0-9_]+)?$"
 
 
@@ -165,8 +166,10 @@ def display_name(value: Column) -> Column:
 
 
 def source_identity(path: Column) -> Column:
-    """Logical table name of a path, ``lib://`` reference, quoted name or name with a format."""
-    text = F.regexp_replace(F.trim(F.coalesce(path, F.lit(""))), FORMAT_SUFFIX, "")
+    """Logical table name of a path, ``lib://`` reference, quoted name, name with a format or source call."""
+    text = F.trim(F.coalesce(path, F.lit("")))
+    called = F.regexp_extract(text, SOURCE_CALL, 1)
+    text = F.regexp_replace(F.when(called != "", called).otherwise(text), FORMAT_SUFFIX, "")
     text = F.regexp_replace(F.trim(text), r"^[\[\]]+|[\[\]]+$", "")
     text = F.trim(F.regexp_replace(text, "^['\"]+|['\"]+$", ""))
     last = F.regexp_extract(text, LAST_PATH_PART, 1)

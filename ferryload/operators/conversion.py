@@ -12,7 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ferryload.fixed_values import EMPTY_TARGET_COLUMN, EMPTY_TARGET_TABLE, REVIEW_STATUSES, TARGET_TYPES
+from ferryload.fixed_values import (
+    EMPTY_TARGET_COLUMN,
+    EMPTY_TARGET_TABLE,
+    NO_MAPPING_ROWS,
+    REVIEW_STATUSES,
+    TARGET_TYPES,
+)
 from ferryload.functions.classes import date_storage, field_category, review_status, target_type
 from ferryload.functions.numbers import KNOWN_RULES, convert, spark_type
 from ferryload.functions.text import column_name
@@ -85,7 +91,11 @@ def mapping_errors(mapping: DataFrame) -> DataFrame:
         .select("target_table", "target_column", F.lit("target_column").alias("field"),
                 F.lit("Duplicate target column.").alias("error"))
     )
-    return per_row.unionByName(repeated)
+    empty = clean.agg(F.count("*").alias("n")).where("n = 0").select(
+        F.lit("").alias("target_table"), F.lit("").alias("target_column"), F.lit("mapping_rows").alias("field"),
+        F.lit(NO_MAPPING_ROWS).alias("error"),
+    )
+    return per_row.unionByName(repeated).unionByName(empty)
 
 
 def date_storage_registry(fields: DataFrame, shifted: DataFrame) -> DataFrame:

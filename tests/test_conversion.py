@@ -75,6 +75,7 @@ def test_mapping_errors(spark):
     rows = [("t", "a", "DATE", "AUTO_APPROVED"), ("T", "A", "date", "manually_approved"), ("t", "", "DATE", "AUTO_APPROVED"), ("t", "b", "GEOMETRY", "NEEDS_REVIEW"), ("t", "c", "INT", "maybe")]
     frame = spark.createDataFrame(rows, "target_table string, target_column string, target_type string, review_status string")
     got = sorted((r["target_column"], r["field"], r["error"].split(" ")[0]) for r in conversion.mapping_errors(frame).collect())
+    assert [r["field"] for r in conversion.mapping_errors(frame.limit(0)).collect()] == ["mapping_rows"]
     assert got == [("", "target_column", "target_column"), ("a", "target_column", "Duplicate"), ("b", "review_status", "Row"), ("b", "target_type", "Unsupported"), ("c", "review_status", "Unsupported")]
 
 

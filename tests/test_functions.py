@@ -114,6 +114,7 @@ def test_business_and_display_names(one):
 
 @pytest.mark.parametrize("path,expected", [
     ("lib://Data/Facts/FactTable.qvd", "facttable"), ("[..\\data\\AR Summary-1.qvd] (qvd)", "arsummary1"), ("'Orders'", "orders"), ("", ""), (None, ""),
+    ("{{ source('raw', 'Fact Table') }}", "facttable"), ("C:\\data\\x.y.csv", "xy"),
 ])
 def test_source_identity(one, path, expected):
     assert one(X.source_identity(x), x=path) == expected
@@ -125,6 +126,8 @@ def test_text_columns_compared_with_numbers(spark, name, op):
     rows = spark.createDataFrame([("a",), ("",), (None,)], f"{name} string")
     assert [r[0] for r in rows.where(C.compare_with_number(name, op, 0)).collect()] == ["a"]
     assert rows.where(C.compare_with_number(name, "=", 0)).count() == 2
+    numbers = spark.createDataFrame([("5.0",), ("x",), (None,)], f"{name} string")
+    assert [r[0] for r in numbers.where(C.compare_with_number(name, "=", 5)).collect()] == ["5.0"]
 
 
 @pytest.mark.parametrize("name", ["SalesAmount", "TotalCost", "Quantity", "Budget"])

@@ -108,6 +108,22 @@ def test_full_join_on_grain_matches_missing_keys(spark):
     assert got == {(None, 1, 3), ("x", 2, None), ("y", None, 4)}
 
 
+def test_star_join_leaves_out_tables_that_multiply_rows(spark):
+    fact = spark.createDataFrame([(1, 10), (2, 20)], "id int, branch int")
+    bucketed = spark.createDataFrame([(10, "a"), (10, "b")], "branch int, bucket string")
+    clean = spark.createDataFrame([(1, "x"), (2, "y")], "id int, name string")
+    model, left_out = joins.star_join(fact, {"ar": (bucketed, ["branch"]), "n": (clean, ["id"])}, verify=True)
+    assert left_out == ["ar"] and sorted(tuple(r) for r in model.select("id", "n_name").collect()) == [(1, "x"), (2, "y")]
+
+
+def test_enrichment_and_projection(spark):
+    fact = spark.createDataFrame([(1, 2)], "k int, city int")
+    dimension = spark.createDataFrame([(1, "c", "s")], "k int, City string, State string")
+    assert dimension.select("k", *combine.enrichment(fact, dimension, "adr", ["k"])).columns == ["k", "adr_state"]
+    named = combine.project(spark.createDataFrame([(1, 2)], "`A b` int, c int"), {"X": "[A b]", "Y Z": F.col("c") + 1})
+    assert tuple(named.first()) == (1, 3) and named.columns == ["X", "Y Z"]
+
+
 HEADER = (
     '<QvdTableHeader><TableName>SalesFact</TableName><NoOfRecords>42</NoOfRecords><CreatorDoc>app</CreatorDoc><Fields>'
     '<QvdFieldHeader><FieldName>OrderDate</FieldName><BitOffset>0</BitOffset><BitWidth>8</BitWidth><NumberFormat><Type>DATE</Type><Fmt>YYYY</Fmt></NumberFormat>'
