@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ferryload.fixed_values import TEXT_COLUMN_SUFFIXES
+from ferryload.functions.casting import cast_or_null
 
 
 def if_(condition: Column, then: Column, otherwise: Column) -> Column:
@@ -39,7 +40,7 @@ def compare_with_number(name: str, operator: str, number: float) -> Column:
         if operator in ("=", "==") and number == 0:
             return column.isNull() | (column == "")
         if operator in ("=", "=="):
-            return column.try_cast("double") == number
+            return cast_or_null(column, "double") == number
         return column.isNotNull() & (column != "")
     plain = {
         "=": column == number, "==": column == number, "<>": column != number, "!=": column != number,

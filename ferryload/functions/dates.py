@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ferryload.fixed_values import SERIAL_DATE_EPOCH
+from ferryload.functions.casting import cast_or_null
 
 
 def spark_pattern(pattern: str) -> str:
@@ -100,5 +101,5 @@ def month_region_key(region: Column, month: Column, months: int = 12) -> Column:
 
 def serial_to_date(value: Column) -> Column:
     """day serial to date. The fraction is cut towards zero; unreadable values give NULL."""
-    days = value.try_cast("double").try_cast("int")
+    days = cast_or_null(value, "double").try_cast("int")
     return F.date_add(F.lit(SERIAL_DATE_EPOCH).cast("date"), days)

@@ -6,13 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ferryload.fixed_values import FALSE_WORDS, TARGET_TYPES, TRUE_WORDS
+from ferryload.functions.casting import NUMBER_TEXT, WHOLE_TEXT, cast_or_null
 from ferryload.functions.dates import serial_to_date
 
-# Fixed value: text that reads as a decimal number.
-NUMBER_TEXT = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
-WHOLE_TEXT = r"^[+-]?\d+(\.0*)?$"
-
-
 def floor(value: Column) -> Column:
     """F20."""
     return F.floor(value)
@@ -30,12 +26,12 @@ def round_to(value: Column, digits: int = 0) -> Column:
 
 def num(value: Column, target: str = "int") -> Column:
     """``Num(x)``; values that do not read as ``target`` give NULL."""
-    return value.try_cast(target)
+    return cast_or_null(value, target)
 
 
 def text_number(value: Column) -> Column:
     """a text-typed column as an operand of arithmetic."""
-    return F.trim(value.cast("string")).try_cast("double")
+    return cast_or_null(value.cast("string"), "double")
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -44,32 +40,31 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def reads_as_number(text: Column) -> Column:
-    """Profile rule: trimmed text is a decimal number."""
-    return F.trim(text).rlike(NUMBER_TEXT)
+    """Profile rule: the text is a decimal number."""
+    return text.rlike(NUMBER_TEXT)
 
 
 def reads_as_whole_number(text: Column) -> Column:
-    """Profile rule: trimmed text is a number without a fractional part."""
-    trimmed = F.trim(text)
-    double = trimmed.try_cast("double")
-    return trimmed.rlike(WHOLE_TEXT) | (trimmed.rlike(NUMBER_TEXT) & (double == F.floor(double)))
+    """Profile rule: the text is a number without a fractional part."""
+    double = cast_or_null(text, "double")
+    return text.rlike(WHOLE_TEXT) | (text.rlike(NUMBER_TEXT) & (double == F.floor(double)))
 
 
 def to_bigint(value: Column) -> Column:
     """Whole numbers in any spelling (``2``, ``2.0``); everything else NULL."""
-    exact = F.trim(value.cast("string")).try_cast("decimal(38,6)")
+    exact = cast_or_null(value.cast("string"), "decimal(38,6)")
     whole = exact.try_cast("bigint")
     return F.when(exact == whole, whole)
 
 
 def to_double(value: Column) -> Column:
     """T7."""
-    return F.trim(value.cast("string")).try_cast("double")
+    return cast_or_null(value.cast("string"), "double")
 
 
 def to_decimal_18_2(value: Column) -> Column:
     """Half-up to two places."""
-    return F.trim(value.cast("string")).try_cast("decimal(18,2)")
+    return cast_or_null(value.cast("string"), "decimal(18,2)")
 
 
 def flag_to_boolean(value: Column) -> Column:
@@ -110,4 +105,4 @@ def spark_type(target_type: str) -> str:
 
 def typed(value: Column, target_type: str) -> Column:
     """Cast that nulls unreadable cells instead of stopping the load."""
-    return value.try_cast(spark_type(target_type))
+    return cast_or_null(value, spark_type(target_type))

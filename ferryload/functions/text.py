@@ -10,6 +10,7 @@ from ferryload.fixed_values import (
     LATEST_FORECAST_HINTS,
     RESERVED_WORDS,
 )
+from ferryload.functions.casting import cast_or_null
 
 
 def ampersand(*parts: Column | str) -> Column:
@@ -74,12 +75,12 @@ def is_empty(value: Column) -> Column:
 
 def is_numeric(value: Column) -> Column:
     """the value reads as a number. NULL is neither numeric nor textual."""
-    return value.isNotNull() & value.try_cast("double").isNotNull()
+    return value.isNotNull() & cast_or_null(value, "double").isNotNull()
 
 
 def is_textual(value: Column) -> Column:
     """a value that does not read as a number."""
-    return value.isNotNull() & value.try_cast("double").isNull()
+    return value.isNotNull() & cast_or_null(value, "double").isNull()
 
 
 def match(value: Column, *candidates: str) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferryload.fixed_values import AUDIT_COLUMNS, NULL_WARNING_PERCENT, NUMERIC_TARGET_TYPES
+from ferryload.functions.casting import cast_or_null
 
 
 def check_row(check_id: str, check_type: str, expected: Column, actual: Column) -> list[Column]:
@@ -72,7 +73,7 @@ def output_checks(df: DataFrame, mapping: Sequence[dict], expected_rows: int | N
         F.count("*").alias("row_count"),
         bad_cells(["DATE"], reads_as_date).alias("date_conversion"),
         bad_cells(["BOOLEAN"], lambda c: F.lower(text(c)).isin("true", "false")).alias("boolean_values"),
-        bad_cells(NUMERIC_TARGET_TYPES, lambda c: text(c).try_cast("double").isNotNull()).alias("numeric_values"),
+        bad_cells(NUMERIC_TARGET_TYPES, lambda c: cast_or_null(text(c), "double").isNotNull()).alias("numeric_values"),
     )
     missing = len([c for c in wanted if c not in present])
     missing_audit = len([c for c in AUDIT_COLUMNS if c not in present])
