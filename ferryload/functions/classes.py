@@ -114,9 +114,12 @@ def kpi_theme(text: Column) -> Column:
 
 
 def expression_class(expression: Column) -> Column:
-    """Class of a chart expression, by the calls it contains."""
+    """Class of a chart expression, by the calls it contains.
+
+    All calls hold a bracket, so text without one needs no search for them.
+    """
     text = F.coalesce(expression, F.lit(""))
-    result = F.when(text.contains("{<"), F.lit("set_analysis"))
+    result = F.when(text.contains("{<"), F.lit("set_analysis")).when(~text.contains("("), F.lit("expression"))
     for name, calls in CLASS_CALLS.items():
         result = result.when(contains_any(text, calls), F.lit(name))
     return result.otherwise(F.lit("expression"))
