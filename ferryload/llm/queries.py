@@ -4,22 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferryload.llm import exactdup, neardup
+from ferryload.llm import exactdup, neardup, quality, tokencount, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op4_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_groups(_table(spark, folder, "documents"), size=2, percent=80)
 
 
+def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.token_counts(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     return exactdup.exact_groups(_table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_near_copies, op8_exact_copies)}
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_near_copies, op7_token_counts, op8_exact_copies, op10_quality)}
 
 ORACLE = {
     "op8_exact_copies": """
