@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ferryload.llm import exactdup, neardup, quality, tokencount, toxicity
+from ferryload.llm import exactdup, licensescan, mixing, neardup, packing, quality, secretscan, tokencount, toxicity, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(_table(spark, folder, "documents"))
+
+
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(_table(spark, folder, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -19,6 +27,14 @@ def op4_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_groups(_table(spark, folder, "documents"), size=2, percent=80)
 
 
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(_table(spark, folder, "pages"))
+
+
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secretscan.secrets(_table(spark, folder, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,13 +45,37 @@ def op8_exact_copies(spark: SparkSession, folder: str) -> DataFrame:
     return exactdup.exact_groups(_table(spark, folder, "documents"))
 
 
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licensescan.licenses(_table(spark, folder, "documents"))
+
+
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_near_copies, op7_token_counts, op8_exact_copies, op10_quality)}
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_toxicity, op4_near_copies, op5_url_filter, op6_secrets, op7_token_counts,
+                                   op8_exact_copies, op9_licenses, op10_quality, pipeline)}
+
+_FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+_RULE_CASES = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+_URL_PARTS = r"""
+    WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest)"""
 
 ORACLE = {
+    "op5_url_filter": _URL_PARTS + f"""
+        SELECT page_id, host, path,
+               CASE {" ".join(f"WHEN {_FITS.format(h, p)} THEN '{h}{p}'" for _, h, p in _RULE_CASES)} END AS rule,
+               CASE {" ".join(f"WHEN {_FITS.format(h, p)} THEN '{v}'" for v, h, p in _RULE_CASES)}
+                    WHEN regexp_matches(host, '(^|[.-])({"|".join(urls.LISTED_WORDS)})([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict
+        FROM parts""",
     "op8_exact_copies": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
