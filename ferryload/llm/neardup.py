@@ -3,12 +3,15 @@
 1. Every document gets its set of word shingles, a MinHash signature and its band keys. Documents with the same
    set form a class; one member speaks for it.
 2. Classes that share a band key are candidates. Pairs within a bucket are not all emitted: in each round a row
-   meets the pivots of its bucket (one in the first round, at most 64 later). A pivot that has met its whole bucket
-   is done there. Rows that links have joined in the meantime need not meet any more, so a large group of near
-   copies falls together after the first round, and later pivots are taken from outside the bucket's largest
+   meets the pivots of its bucket: one in the first round, 8 in the next two, at most 256 later. A pivot that has met
+   its whole bucket is done there. Rows that links have joined in the meantime need not meet any more, so a large group
+   of near copies falls together in the first rounds, and later pivots are taken from outside the bucket's largest
    component. Rounds go on until no bucket holds two unjoined rows that have not met: no cap loses a link.
 3. A pair's signatures are compared batch by batch. With m of n equal values and a uniform prior, the pair goes on
    only if the posterior probability of a similarity at or above the threshold is at least the chosen miss probability.
+   The first batch is two bits of 192 values, which travel with the bucket's rows, so that the join itself prunes.
+   So do 512 parity bits of each set: a shingle that only one of two sets has flips one bit, so unequal bits never
+   outnumber the symmetric difference, and a pair with too many of them is surely below the threshold.
 4. Survivors are verified on their full sets.
 
 The chance that banding misses a pair of similarity 0.8 is (1 - 0.8^5)^40 = 1e-7.
@@ -29,10 +32,13 @@ from ferryload.llm.common import Workspace, WordHashes, mix, whole, window_hashe
 
 BANDS, ROWS, BATCH = 40, 5, 40
 MISS_PROBABILITY = 1e-7
-PIVOTS = 64
+PROBES = (1, 8, 8)
+PIVOTS = 256
+BIT_VALUES = 192
+PARITIES = 512
 
 _SKETCH = StructType([StructField("doc_id", LongType()), StructField("n_shingles", LongType()), StructField("fp", BinaryType()),
-                      StructField("bands", ArrayType(LongType())), StructField("sig", BinaryType())])
+                      StructField("bands", ArrayType(LongType())), StructField("sig", BinaryType()), StructField("bits", ArrayType(LongType()))])
 _SETS = StructType([StructField("fp", BinaryType()), StructField("shingles", BinaryType())])
 
 
@@ -66,17 +72,37 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def low_bits(values: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """64 bits to a number: the lowest bits of the first values, their second bits, and the parity of the number of
+    shingles in each of PARITIES parts."""
+    planes = [(values[:BIT_VALUES] >> np.uint64(i)).astype(np.uint8) & 1 for i in (0, 1)]
+    parts = np.bincount((shingles % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1
+    return np.packbits(np.concatenate([*planes, parts])).view(np.int64)
+
+
+def fewest_matches(n: int, threshold: float, miss: float) -> int:
+    """Fewest matches of n with which a pair goes on: with a uniform prior the posterior of the match rate is
+    Beta(m + 1, n - m + 1), and its mass above the threshold is a binomial distribution function."""
+    mass, m = 0.0, -1
+    while mass < miss:
+        m += 1
+        mass += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
+    return m
+
+
 def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
-    """(values compared, fewest matches to go on) after each batch: with a uniform prior the posterior of the
-    similarity is Beta(m + 1, n - m + 1), and its mass above the threshold is a binomial distribution function."""
-    out = []
-    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
-        mass, m = 0.0, -1
-        while mass < miss:
-            m += 1
-            mass += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
-        out.append((n, m))
-    return out
+    """(values compared, fewest matches) after each batch of whole values."""
+    return [(n, fewest_matches(n, threshold, miss)) for n in range(BATCH, BANDS * ROWS + 1, BATCH)]
+
+
+def bits_agree(percent: int, miss: float):
+    """Condition on columns n, bits, pn, pbits. Two unequal values agree in two bits by chance one time in four. At the
+    threshold the symmetric difference is (100 - percent) / (100 + percent) of both sizes together."""
+    words, threshold = BIT_VALUES // 64, percent / 100
+    unequal = " + ".join(f"bit_count((bits[{i}] ^ pbits[{i}]) | (bits[{i + words}] ^ pbits[{i + words}]))" for i in range(words))
+    parity = " + ".join(f"bit_count(bits[{i}] ^ pbits[{i}])" for i in range(2 * words, 2 * words + PARITIES // 64))
+    least = fewest_matches(BIT_VALUES, threshold + (1 - threshold) / 4, miss)
+    return F.expr(f"({100 + percent}) * ({parity}) <= {100 - percent} * (n + pn) and {unequal} <= {BIT_VALUES - least}")
 
 
 def _sketches(size: int):
@@ -87,11 +113,11 @@ def _sketches(size: int):
             for text in frame["text"]:
                 found = shingle_set(text, size, hashes)
                 if not len(found):
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None, None, None))
                     continue
                 values = signature(found, factor, offset)
-                rows.append((len(found), fingerprint(found), band_keys(values), values.astype(np.uint16).tobytes()))
-            out = pd.DataFrame(rows, columns=["n_shingles", "fp", "bands", "sig"])
+                rows.append((len(found), fingerprint(found), band_keys(values), values.astype(np.uint16).tobytes(), low_bits(values, found)))
+            out = pd.DataFrame(rows, columns=["n_shingles", "fp", "bands", "sig", "bits"])
             out.insert(0, "doc_id", frame["doc_id"].array)
             yield out
 
@@ -188,42 +214,41 @@ def near_groups(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
                          .select("doc_id", "row", "n_shingles", F.coalesce("cls", "row").alias("cls")), "members")
 
     speakers = members.where("row = cls and n_shingles > 0").select("cls")
-    speakers = all_rows.join(speakers, all_rows["row"] == speakers["cls"]).select("cls", F.col("n_shingles").alias("n"), "bands")
-    keys = speakers.select("cls", "n", F.explode("bands").alias("key"))
+    speakers = all_rows.join(speakers, all_rows["row"] == speakers["cls"])
+    keys = speakers.select("cls", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    buckets = work.write(keys.join(shared, "key"), "buckets")
-
+    buckets = work.write(keys.join(shared, "key"), "keys")
     sigs = all_rows.join(buckets.select("cls").distinct(), F.col("row") == F.col("cls"))
-    sigs = work.write(sigs.select("cls", F.col("n_shingles").alias("n"), "doc_id", "fp", "sig"), "sigs")
+    sigs = work.write(sigs.select("cls", F.col("n_shingles").alias("n"), "doc_id", "fp", "sig", "bits"), "sigs")
+    buckets = work.write(buckets.join(sigs.select("cls", "n", "bits"), "cls"), "buckets")
     wanted = sigs.select(F.col("doc_id").alias("id"))
     sets = texts.join(wanted, F.expr("doc_id <=> id"), "left_semi").mapInPandas(_sets(size), _SETS)
     sets = work.write(sigs.select("cls", "n", "fp").join(sets, "fp").dropDuplicates(["cls"]).select("cls", "n", "shingles"), "sets")
 
     fits = F.expr(f"100 * least(n, pn) >= {percent} * greatest(n, pn)")
     pair = [F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")]
-    pivots = buckets.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("p")).select("key", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pn"))
-    met = buckets.join(pivots, "key").where(F.col("cls") != F.col("pivot")).where(fits)
-    edges = _linked(work, met.select(*pair).distinct(), sigs, sets, percent, "edges0")
-    stars = components(work, edges, "stars0")
-    live = buckets.join(pivots.select("key", F.col("pivot").alias("cls")), ["key", "cls"], "left_anti")
-
-    step = 0
+    agree = bits_agree(percent, MISS_PROBABILITY)
+    stars = docs.sparkSession.createDataFrame([], "u long, v long")
+    live, step = buckets, 0
     while True:
-        step += 1
-        labelled = live.join(stars.select(F.col("u").alias("cls"), "v"), "cls", "left").select("key", "cls", "n", F.coalesce("v", "cls").alias("label"))
+        labelled = live.join(stars.select(F.col("u").alias("cls"), "v"), "cls", "left").select("key", "cls", "n", "bits", F.coalesce("v", "cls").alias("label"))
         labels = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(
-            F.count("*").alias("labels"), F.max_by("label", "c").alias("major"), (F.sum("c") - F.max("c")).alias("minor"))
+            F.count("*").alias("labels"), F.sum("c").alias("size"), F.max_by("label", "c").alias("major"), (F.sum("c") - F.max("c")).alias("minor"))
         live = work.write(labelled.join(labels.where("labels > 1").drop("labels"), "key"), f"live{step}")
         if live.isEmpty():
             break
-        slot = F.when(F.col("minor") <= PIVOTS, F.col("cls")).otherwise(F.pmod(F.xxhash64("cls", F.lit(step)), F.lit(PIVOTS)))
-        pivots = live.where("label != major").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("cls", "n", "label")).alias("p"))
-        pivots = pivots.select("key", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel"))
-        met = live.join(pivots, "key").where(F.col("label") != F.col("plabel")).where(fits)
+        most = PROBES[step] if step < len(PROBES) else PIVOTS
+        probing = step < len(PROBES)
+        choice = live if probing else live.where("label != major")
+        slot = F.when(F.col("size" if probing else "minor") <= most, F.col("cls")).otherwise(F.pmod(F.xxhash64("cls", F.lit(step)), F.lit(most)))
+        pivots = choice.groupBy("key", slot.alias("slot")).agg(F.min_by(F.struct("cls", "n", "label", "bits"), "cls").alias("p"))
+        pivots = pivots.select("key", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.label").alias("plabel"), F.col("p.bits").alias("pbits"))
+        met = live.join(pivots, "key").where((F.col("label") != F.col("plabel")) & fits & agree)
         edges = _linked(work, met.select(*pair).distinct(), sigs, sets, percent, f"edges{step}")
         if not edges.isEmpty():
             stars = components(work, edges.unionByName(stars.toDF("a", "b")), f"stars{step}")
-        live = live.join(pivots.select("key", F.col("pivot").alias("cls")), ["key", "cls"], "left_anti").select("key", "cls", "n")
+        live = live.join(pivots.select("key", F.col("pivot").alias("cls")), ["key", "cls"], "left_anti").select("key", "cls", "n", "bits")
+        step += 1
 
     rooted = members.join(stars.select(F.col("u").alias("cls"), F.col("v").alias("root")), "cls", "left")
     rooted = rooted.select("doc_id", "row", "n_shingles", F.coalesce("root", "cls").alias("root"))

@@ -40,3 +40,56 @@ def near_groups(rows, size=2, percent=80):
         for s in sets[i]:
             index[s].append(i)
     return {i: (len(sets[i]), root(i), root(i) == i) for i in sets}
+
+
+def repeated_words(w, size=3):
+    where = defaultdict(list)
+    for i in range(len(w) - size + 1):
+        where[tuple(w[i : i + size])].append(i)
+    return len({i + k for at in where.values() if len(at) > 1 for i in at for k in range(size)})
+
+
+def quality_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    repeats = repeated_words(w)
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), sum(x in lines[:i] for i, x in enumerate(lines)),
+            repeats, len(w) < 50 or 100 * repeats > 50 * len(w))
+
+
+SECRETS = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
+           ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile(r"[0-9a-f]+"), 0, 24)]
+
+
+def secrets(text):
+    found = [(m.start(), rank, kind, m.end()) for rank, (kind, pattern, group, fewest) in enumerate(SECRETS)
+             for m in pattern.finditer(text or "") if len(m[group]) >= fewest]
+    return [f"{kind}:{start}:{end}" for start, _, kind, end in sorted(found)]
+
+
+def entropy(text, size=20):
+    """Largest entropy of a window, each counted anew."""
+    import math
+
+    best = 0.0
+    for i in range(len(text) - size + 1):
+        counts = Counter(text[i : i + size])
+        best = max(best, -sum(n / size * math.log2(n / size) for n in counts.values()))
+    return best
+
+
+PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+
+
+def license_base(text):
+    """n_words, n_base, first_word, last_word, base_labels."""
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+    at, labels = [], set()
+    for phrase, label in PHRASES.items():
+        parts = phrase.split()
+        here = [i for i in range(len(w)) if w[i : i + len(parts)] == parts]
+        at += here
+        labels |= {label} if here else set()
+    return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
