@@ -73,7 +73,7 @@ def pieces(docs: DataFrame, how: Bins) -> DataFrame:
     last = F.ceil(F.col("tokens") / longest).cast("int") - 1
     rows = rows.withColumn("piece", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last))))
     start = (F.col("piece") * longest).cast("long")
-    return rows.select("doc_id", "row", "piece", start.alias("start"), F.least(F.lit(longest), F.col("tokens") - start).alias("n_tokens"))
+    return rows.select("doc_id", "row", "piece", start.alias("start"), F.when(F.col("piece").isNotNull(), F.least(F.lit(longest), F.col("tokens") - start)).alias("n_tokens"))
 
 
 def packed(docs: DataFrame, how: Bins = Bins()) -> DataFrame:

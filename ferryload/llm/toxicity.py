@@ -5,9 +5,11 @@ Features of a text: its distinct words, word pairs, and pairs with one word betw
 a coordinate falls with its own gradients, and a coordinate with |z| <= L1 has weight 0, so the model is a short
 list of weights.
 
-All labelled training rows are learned. They are dealt by a hash of doc_id to shards of about `shard_rows` rows; a
-shard is learned in one task, in an order that depends on the rows alone, and the shards' weights are averaged. A
-model has at most 2^20 weights, which bounds what is collected and broadcast (12 MB) whatever the corpus.
+The model is fitted on at most `most_rows` labelled rows, those with the smallest hashes of their doc_id. So the
+list of ids that picks their texts is small enough to be broadcast (1 MB), and no text is moved to find its label.
+The rows are dealt by that hash to shards of about `shard_rows`; a shard is learned in one task, in an order that
+depends on the rows alone, and the shards' weights are averaged. A model has at most 2^20 weights, which bounds what is
+collected and broadcast (12 MB) whatever the corpus. Every document is scored on its whole text.
 """
 
 from __future__ import annotations
@@ -32,13 +34,15 @@ _BIAS, _FIRST = np.zeros(1, np.uint64), np.ones(1, bool)
 @dataclass(frozen=True)
 class Ftrl:
     """alpha, beta: rate of a coordinate is alpha / (beta + sqrt(its squared gradients)). l1: penalty per square root of
-    the rows of a shard, as chance gradients grow with that; l2: penalty. passes over a shard of about shard_rows rows."""
+    the rows of a shard, as chance gradients grow with that; l2: penalty. most_rows: bound of the labelled rows that are
+    learned from; shard_rows: rows learned in one task, in this many passes."""
 
     alpha: float = 1.0
     beta: float = 1.0
     l1: float = 0.08
     l2: float = 1.0
     passes: int = 3
+    most_rows: int = 40_000
     shard_rows: int = 20_000
     threshold: float = 0.3
 
@@ -76,10 +80,12 @@ def _weights(z: np.ndarray, n: np.ndarray, how: Ftrl) -> np.ndarray:
     return -shrunk / ((how.beta + np.sqrt(n)) / how.alpha + how.l2)
 
 
-def fit(labelled: DataFrame, how: Ftrl = Ftrl()) -> np.ndarray:
-    """Weights from ``labelled`` (doc_id, text, label 0/1). No rows, or one class only, give what FTRL learns from that."""
-    rows = labelled.count()
-    shards = max(1, -(-rows // how.shard_rows))
+def fit(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl()) -> np.ndarray:
+    """Weights from the labelled rows of ``docs`` that are not held out. Without any, all weights are 0."""
+    chosen = labels_of(labels).where(~held_out("doc_id")).withColumn("order", F.xxhash64("doc_id", F.lit(7)))
+    chosen = chosen.orderBy("order", "doc_id").limit(how.most_rows)  # documented bound of the fit
+    shards = max(1, -(-chosen.count() // how.shard_rows))
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most most_rows ids
 
     def shard(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["order", "doc_id", "text"], ignore_index=True)
@@ -88,8 +94,7 @@ def fit(labelled: DataFrame, how: Ftrl = Ftrl()) -> np.ndarray:
         at = np.flatnonzero(weights)
         return pd.DataFrame({"at": at.astype(np.int32), "weight": weights[at]})
 
-    dealt = labelled.select("doc_id", whole("text").alias("text"), "label", F.xxhash64("doc_id", F.lit(7)).alias("order"))
-    dealt = dealt.withColumn("shard", F.pmod("order", F.lit(shards)))
+    dealt = labelled.select("doc_id", whole("text").alias("text"), "label", "order", F.pmod("order", F.lit(shards)).alias("shard"))
     found = dealt.groupBy("shard").applyInPandas(shard, _WEIGHTS).groupBy("at").agg(F.sum("weight").alias("weight")).toPandas()
     weights = np.zeros(DIMENSIONS, np.float64)
     weights[found["at"].to_numpy(np.int64)] = found["weight"].to_numpy(np.float64) / shards
@@ -127,14 +132,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl()) -> DataFram
     score is 0.5.
     """
     texts = docs.select("doc_id", "text")
-    learned = texts.where(~held_out("doc_id")).join(labels_of(labels), "doc_id")
-    return scored(texts, fit(learned, how)).select(
+    return scored(texts, fit(docs, labels, how)).select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= how.threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl()) -> DataFrame:
     """``docs`` with all its columns, without the rows scored at or above the threshold."""
-    learned = docs.select("doc_id", "text").where(~held_out("doc_id")).join(labels_of(labels), "doc_id")
     columns = [F.col(c) for c in docs.columns]
     body = docs.select(F.struct(*columns).alias("_row"), F.col("text"))
-    return scored(body, fit(learned, how)).where(F.col("score") < how.threshold).select("_row.*")
+    return scored(body, fit(docs, labels, how)).where(F.col("score") < how.threshold).select("_row.*")
