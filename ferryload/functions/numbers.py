@@ -52,9 +52,11 @@ def reads_as_whole_number(text: Column) -> Column:
 
 def to_bigint(value: Column) -> Column:
     """Whole numbers in any spelling (``2``, ``2.0``); everything else NULL."""
-    exact = cast_or_null(value.cast("string"), "decimal(38,6)")
+    text = value.cast("string")
+    exact = cast_or_null(text, "decimal(38,18)")
     whole = exact.try_cast("bigint")
-    return F.when(exact == whole, whole)
+    # a fraction too small for 18 places still shows in the double
+    return F.when((exact == whole) & ((whole != 0) | (cast_or_null(text, "double") == 0)), whole)
 
 
 def to_double(value: Column) -> Column:

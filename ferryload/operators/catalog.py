@@ -15,34 +15,19 @@ from pyspark.sql import functions as F
 from ferryload.fixed_values import (
     ASSOCIATION_STOP_FIELDS,
     CHECKLIST,
-    ENTITY_KEY_SUFFIXES,
     FACT_NAME_TOKENS,
-    FACT_ROW_COUNT,
-    MANY_SIDE_TOKENS,
-    ONE_SIDE_TOKENS,
 )
 from ferryload.functions.classes import expression_class
 from ferryload.functions.text import contains_any, is_key_name
 from ferryload.operators.ordering import keep_first
 from ferryload.session import cut_lineage
 
-PAIR_LIMIT = 20
-
 
 def with_key_flag(fields: DataFrame) -> DataFrame:
     """Adds ``is_key`` by name."""
     return fields.withColumn("is_key", is_key_name(F.col("field_name")))
 
 
-def field_uses(fields: DataFrame) -> DataFrame:
-    """Fields that may link tables, once per table: keys, and names that are not everyday words."""
-    name = F.lower("field_name")
-    return (
-        fields.where((name != "") & (F.col("is_key") | ~name.isin(ASSOCIATION_STOP_FIELDS)))
-        .groupBy("app_id", name.alias("field"), "table_name").agg(F.min("field_name").alias("field_name"))
-    )
-
-
 def field_registry(fields: DataFrame) -> DataFrame:
     """Field → tables, one row per pair, with the number of tables of the field.
 
@@ -53,67 +38,34 @@ def field_registry(fields: DataFrame) -> DataFrame:
     return uses.join(counts, ["app_id", "field"])
 
 
-def associations(fields: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """G1: tables of an app that share a field.
+def associations(fields: DataFrame) -> DataFrame:
+    """G1: tables of an app that share a field, one row per (field, table).
 
-    A field used by up to ``pair_limit`` tables gives every table pair once. A field used
-    by more links each of its tables to one hub, the first by name: the same tables are
-    connected, with one row per table instead of one per pair.
+    All tables with the same ``(app_id, field)`` are associated with each other; ``hub_table`` is the first by name. This
+    form says the same at every size and grows with the catalogue, where a list of table pairs grows with its square.
+    ``side`` is measured per (field, table): ``one`` where the field occurs once in the table, else ``many``.
     """
-    uses = field_uses(fields)
-    sizes = uses.groupBy("app_id", "field").agg(
-        F.count("*").alias("table_count"), F.min(F.struct("table_name", "field_name")).alias("hub")
-    )
-    shared = uses.join(sizes.where("table_count > 1"), ["app_id", "field"])
-    few = shared.where(F.col("table_count") <= pair_limit)
-    one = few.select("app_id", "field", "table_count", F.col("table_name").alias("from_table"), F.col("field_name").alias("from_field"))
-    two = few.select("app_id", "field", F.col("table_name").alias("to_table"), F.col("field_name").alias("to_field"))
-    pairs = one.join(two, ["app_id", "field"]).where("from_table < to_table").withColumn("link_kind", F.lit("pair"))
-    hubs = shared.where(
-        (F.col("table_count") > pair_limit) & (F.col("hub.table_name") != F.col("table_name"))
-    ).select(
-        "app_id", "field", "table_count", F.col("hub.table_name").alias("from_table"),
-        F.col("hub.field_name").alias("from_field"), F.col("table_name").alias("to_table"),
-        F.col("field_name").alias("to_field"), F.lit("hub").alias("link_kind"),
-    )
-    links = pairs.unionByName(hubs)
-    return links.withColumn(
-        "relationship", named_relationship(F.col("from_table"), F.col("to_table"), F.col("field"))
-    )
-
-
-def _singular(name: Column) -> Column:
-    lowered, longer = F.lower(name), F.length(name) > 3
-    return (
-        F.when(longer & lowered.endswith("ies"), F.concat(F.left(name, F.length(name) - 3), F.lit("y")))
-        .when(longer & lowered.endswith("ses"), F.left(name, F.length(name) - 2))
-        .when(longer & lowered.endswith("s"), F.left(name, F.length(name) - 1))
-        .otherwise(name)
+    linked = fields.where((F.lower("field_name") != "") & (F.col("is_key") | ~F.lower("field_name").isin(ASSOCIATION_STOP_FIELDS)))
+    uses = linked.groupBy("app_id", F.lower("field_name").alias("field"), "table_name").agg(
+        F.min("field_name").alias("field_name"), F.count("*").alias("occurrences")
     )
-
-
-def named_relationship(source: Column, target: Column, field: Column) -> Column:
-    """Cardinality guessed from names; measure it with ``checks.cardinality`` when data is at hand."""
-    entity = F.regexp_replace(F.lower(field), "^[%_]+|[%_]+$", "")
-    entity = F.regexp_replace(F.regexp_replace(entity, "(" + "|".join(ENTITY_KEY_SUFFIXES) + ")$", ""), "^[%_]+|[%_]+$", "")
-    source, target = F.lower(source), F.lower(target)
-    source_is = (_singular(source) == _singular(entity)) | (source == entity)
-    target_is = (_singular(target) == _singular(entity)) | (target == entity)
-    dim_s, dim_t = contains_any(source, ONE_SIDE_TOKENS), contains_any(target, ONE_SIDE_TOKENS)
-    fact_s, fact_t = contains_any(source, MANY_SIDE_TOKENS), contains_any(target, MANY_SIDE_TOKENS)
-    return (
-        F.when(source_is & target_is, "1:1").when(source_is, "1:*").when(target_is, "*:1")
-        .when(dim_s & (fact_t | ~dim_t), "1:*").when(dim_t & (fact_s | ~dim_s), "*:1")
-        .otherwise("shared_field")
+    sizes = uses.groupBy("app_id", "field").agg(F.count("*").alias("table_count"), F.min("table_name").alias("hub_table"))
+    return uses.join(sizes.where("table_count > 1"), ["app_id", "field"]).withColumn(
+        "side", F.when(F.col("occurrences") == 1, "one").otherwise("many")
     )
 
 
 def synthetic_keys(fields: DataFrame) -> DataFrame:
-    """Tables that share a ``%`` field, each table pair (or hub link) once."""
+    """Tables of an app that share ``%`` fields, one row per (combination of shared fields, table).
+
+    A table's combination holds its ``%`` fields that another table has, too; it is as long as the table has such fields.
+    """
     marked = fields.where(F.col("field_name").startswith("%")).withColumn("is_key", F.lit(True))
-    return associations(marked).groupBy("app_id", "from_table", "to_table").agg(
-        F.min("field").alias("field"), F.count("*").alias("shared_fields")
-    ).withColumn("relationship", F.lit("synthetic_key"))
+    combined = associations(marked).groupBy("app_id", "table_name").agg(
+        F.array_join(F.array_sort(F.collect_list("field")), ", ").alias("shared_fields"), F.count("*").alias("field_count")
+    )
+    sizes = combined.groupBy("app_id", "shared_fields").agg(F.count("*").alias("table_count"))
+    return combined.join(sizes, ["app_id", "shared_fields"]).withColumn("relationship", F.lit("synthetic_key"))
 
 
 def composite_keys(fields: DataFrame) -> DataFrame:
@@ -126,12 +78,13 @@ def composite_keys(fields: DataFrame) -> DataFrame:
 
 
 def table_roles(fields: DataFrame, row_counts: DataFrame) -> DataFrame:
-    """Bridge, fact, calendar or dimension, from key counts, name and rows."""
+    """Bridge, fact, calendar or dimension, from key counts and name; the row count is reported, a role does not
+    change with a table's size."""
     counts = fields.groupBy("app_id", "table_name").agg(
         F.count_if("is_key").alias("key_count"), F.count_if(~F.col("is_key")).alias("other_count")
     ).join(row_counts.select("app_id", "table_name", "row_count"), ["app_id", "table_name"], "left")
     name = F.lower("table_name")
-    fact = contains_any(name, FACT_NAME_TOKENS) | (F.coalesce("row_count", F.lit(0)) > FACT_ROW_COUNT) | (F.col("key_count") >= 3)
+    fact = contains_any(name, FACT_NAME_TOKENS) | (F.col("key_count") >= 3)
     role = (
         F.when((F.col("key_count") >= 2) & (F.col("other_count") <= 1), "bridge").when(fact, "fact")
         .when(name.contains("calendar") | name.endswith("date"), "canonical_calendar").otherwise("dimension")

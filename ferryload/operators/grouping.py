@@ -31,8 +31,9 @@ def distinct_count(df: DataFrame, keys: Sequence[str], value: str, output: str)
 
 def mode(df: DataFrame, keys: Sequence[str], value: str, output: str) -> DataFrame:
     """A3: most frequent known value per group; equal counts take the smallest value."""
-    counts = df.where(F.col(f"`{value}`").isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    best = counts.groupBy(*keys).agg(F.min(F.struct(-F.col("__n"), F.col(f"`{value}`").alias("v"))).alias("__b"))
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    known = F.when(F.col(f"`{value}`").isNotNull(), F.struct(-F.col("__n"), F.col(f"`{value}`").alias("v")))
+    best = counts.groupBy(*keys).agg(F.min(known).alias("__b"))  # a group of NULLs only has no mode, but stays
     return best.select(*keys, F.col("__b.v").alias(output))
 
 
@@ -41,13 +42,12 @@ def median(df: DataFrame, keys: Sequence[str], value: str, output: str, ranges:
 
     Quantiles of the whole column cut the values into ranges, so a range holds a bounded
     share of all rows whichever group they belong to. Counts per (group, range) say where
-    the middle ranks are, and only those ranges are sorted.
+    the middle ranks are, and only the rows of those ranges are shuffled and sorted. A group of NULLs only has a NULL median.
     """
     x = F.col(f"`{value}`").cast("double")
     known = df.where(F.col(f"`{value}`").isNotNull()).select(*keys, x.alias("__x"))
-    counts = known.groupBy(*keys, "__x").agg(F.count("*").alias("__n"))
-    cut = counts.withColumn("__range", range_number("__x", range_borders(df, value, ranges)))
-    per_range = cut.groupBy(*keys, "__range").agg(F.sum("__n").alias("__rows"))
+    cut = known.withColumn("__range", range_number("__x", range_borders(df, value, ranges)))
+    per_range = cut.groupBy(*keys, "__range").agg(F.count("*").alias("__rows"))  # combined before the shuffle
     group = Window.partitionBy(*keys)
     before = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("__rows").over(group)
@@ -60,11 +60,14 @@ def median(df: DataFrame, keys: Sequence[str], value: str, output: str, ranges:
         return (F.col(start) < F.col(rank)) & (F.col(rank) <= F.col(start) + F.col(rows))
 
     middle = placed.where(holds("__low", "__before", "__rows") | holds("__high", "__before", "__rows")).drop("__rows")
-    candidates = _join_groups(cut, middle, [*keys, "__range"])
+    candidates = _join_groups(cut, middle, [*keys, "__range"]).groupBy(
+        *keys, "__range", "__before", "__low", "__high", "__x").agg(F.count("*").alias("__n"))
     running = Window.partitionBy(*keys, "__range").orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
     ranked = candidates.withColumn("__start", F.col("__before") + F.coalesce(F.sum("__n").over(running), F.lit(0)))
     low, high = (F.max(F.when(holds(rank, "__start", "__n"), F.col("__x"))) for rank in ("__low", "__high"))
-    return ranked.groupBy(*keys).agg(((low + high) / 2).alias(output))
+    medians = ranked.groupBy(*keys).agg(((low + high) / 2).alias(output))
+    none = df.groupBy(*keys).agg(F.count(F.col(f"`{value}`")).alias("__n")).where("__n = 0")
+    return medians.unionByName(none.select(*keys, F.lit(None).cast("double").alias(output)))
 
 
 def concat_distinct(
@@ -74,9 +77,23 @@ def concat_distinct(
 
     Repeats are removed before the values meet, so the cell holds each value once.
     """
-    values = df.where(F.col(f"`{value}`").isNotNull()).select(*keys, F.col(f"`{value}`").cast("string").alias("__v"))
+    values = df.select(*keys, F.col(f"`{value}`").cast("string").alias("__v"))
     joined = F.array_join(F.array_sort(F.collect_list("__v")), separator)
-    return values.distinct().groupBy(*keys).agg(joined.alias(output))
+    return values.distinct().groupBy(*keys).agg(F.when(F.count("__v") > 0, joined).alias(output))
+
+
+def concat(
+    df: DataFrame, keys: Sequence[str], value: str, output: str, separator: str = ",", weight: str | None = None
+) -> DataFrame:
+    """A4: all values of a group as one text, repeats too, by ``weight`` and then by value; NULL for NULLs only.
+
+    Equal values meet as one row with their number. The cell itself holds the group's values: that is what is asked for.
+    """
+    by = [F.col(f"`{weight}`")] if weight else []
+    counts = df.groupBy(*keys, *[b.alias("__w") for b in by], F.col(f"`{value}`").cast("string").alias("__v")).agg(F.count("*").alias("__n"))
+    rows = F.array_sort(F.collect_list(F.when(F.col("__v").isNotNull(), F.struct(*(["__w"] if weight else []), "__v", "__n"))))
+    texts = F.flatten(F.transform(rows, lambda r: F.array_repeat(r["__v"], r["__n"].cast("int"))))
+    return counts.groupBy(*keys).agg(F.when(F.count("__v") > 0, F.array_join(texts, separator)).alias(output))
 
 
 def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

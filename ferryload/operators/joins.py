@@ -18,8 +18,15 @@ from pyspark.sql import functions as F
 
 
 def shared_fields(left: DataFrame, right: DataFrame) -> list[str]:
-    """The natural-join keys: all field names both tables have, sorted."""
-    return sorted(set(left.columns) & set(right.columns))
+    """The natural-join keys: all field names both tables have, whatever their case, as the left table spells them."""
+    known = {c.lower() for c in right.columns}
+    return sorted(c for c in left.columns if c.lower() in known)
+
+
+def spelled_like(right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The table with the given names in the given spelling."""
+    spelling = {c.lower(): c for c in reversed(names)}  # the first spelling counts
+    return right.toDF(*[spelling.get(c.lower(), c) for c in right.columns])
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "left", unique_right: bool = False) -> DataFrame:
@@ -32,6 +39,7 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "left", unique_ri
     keys = shared_fields(left, right)
     if not keys:
         raise ValueError("No shared field. Use attach_single_row for a one-row table.")
+    right = spelled_like(right, keys)
     how = {"outer": "full", "full_outer": "full", "left_outer": "left", "right_outer": "right"}.get(how.lower(), how.lower())
     if how == "inner" or (how == "left" and unique_right):
         return left.join(right, keys, how)
@@ -69,7 +77,9 @@ def attach_single_row(df: DataFrame, single: DataFrame) -> DataFrame:
 def keep(left: DataFrame, right: DataFrame, how: str = "inner") -> tuple[DataFrame, DataFrame]:
     """KEEP: reduce tables to rows with matching keys; they stay two tables."""
     keys = shared_fields(left, right)
-    kept_left = left.join(distinct_keys(right, keys), keys, "left_semi") if how in ("left", "inner") else left
+    if not keys:
+        raise ValueError("No shared field: KEEP needs one to compare rows by.")
+    kept_left = left.join(distinct_keys(spelled_like(right, keys), keys), keys, "left_semi") if how in ("left", "inner") else left
     kept_right = right.join(distinct_keys(left, keys), keys, "left_semi") if how in ("right", "inner") else right
     return kept_left, kept_right
 
@@ -105,18 +115,23 @@ def exists_flag(df: DataFrame, key: str, other: DataFrame, other_key: str, outpu
 
 
 def star_join(
-    fact: DataFrame, dimensions: dict[str, tuple[DataFrame, Sequence[str]]], verify: bool = False
+    fact: DataFrame, dimensions: dict[str, tuple[DataFrame, Sequence[str] | dict[str, str]]], verify: bool = False
 ) -> tuple[DataFrame, list[str]]:
     """Fact with every dimension that can be reached through joined tables.
 
     ``dimensions`` maps an alias to (table, key columns). Tables behind a bridge are joined
     to the bridge first, so the fact is joined only with its direct dimensions. New columns
-    are named ``alias_column``; key columns keep their name. Dimensions whose keys never
+    are named ``alias_column``; key columns keep their name, unless the fact side has a column of that name already:
+    then they, too, are named ``alias_column``, and nothing is lost. Names are compared without case. A dimension that is
+    reached twice is given twice, each time with key pairs ``{"parent.column": "column"}``. Dimensions whose keys never
     appear are left out and their aliases returned. Every dimension must have one row per
     key; with ``verify`` this is measured first, and tables that would multiply fact rows
     are left out as well.
     """
-    unsafe = _repeated(dimensions) if verify else []
+    paired = {a: (table, keys) for a, (table, keys) in dimensions.items() if isinstance(keys, dict)}
+    names = list(dict.fromkeys([*fact.columns, *(k for _, keys in dimensions.values() if not isinstance(keys, dict) for k in keys)]))
+    dimensions = {a: (spelled_like(table, names), list(spelled_like(table, names).select(*keys).columns)) for a, (table, keys) in dimensions.items() if a not in paired}
+    unsafe = _repeated({**dimensions, **{a: (table, list(keys.values())) for a, (table, keys) in paired.items()}}) if verify else []
     dimensions = {alias: d for alias, d in dimensions.items() if alias not in unsafe}
     links = {k for _, keys in dimensions.values() for k in keys}
     shaped = {
@@ -134,19 +149,33 @@ def star_join(
                 reached.append(alias)
     for alias in reversed(reached):
         if alias in host:
-            shaped[host[alias]] = _look_up(shaped[host[alias]], shaped[alias], dimensions[alias][1])
+            shaped[host[alias]] = _look_up(shaped[host[alias]], shaped[alias], dimensions[alias][1], alias)
     result = fact
     for alias in reached:
         if alias not in host:
-            result = _look_up(result, shaped[alias], dimensions[alias][1])
+            result = _look_up(result, shaped[alias], dimensions[alias][1], alias)
     # Keys may also come from several joined tables together.
     waiting = [a for a in dimensions if a not in reached]
     ready = [a for a in waiting if set(dimensions[a][1]) <= set(result.columns)]
     while ready:
         for alias in ready:
-            result = _look_up(result, shaped[alias], dimensions[alias][1])
+            result = _look_up(result, shaped[alias], dimensions[alias][1], alias)
         waiting = [a for a in waiting if a not in ready]
         ready = [a for a in waiting if set(dimensions[a][1]) <= set(result.columns)]
+    for alias, (table, pairs) in paired.items():
+        if alias in unsafe:
+            continue
+        here = {c.lower(): c for c in result.columns}
+        ends = {own: here.get(end.replace(".", "_").lower()) or here.get(end.split(".")[-1].lower()) for end, own in pairs.items()}
+        if None in ends.values():
+            waiting.append(alias)
+            continue
+        renamed = table.select(*[F.col(f"`{c}`").alias(f"{alias}_{c}".lower()) for c in table.columns])
+        same = None
+        for own, end in ends.items():
+            test = result[f"`{end}`"] == renamed[f"`{alias}_{own}`".lower()]
+            same = test if same is None else same & test
+        result = result.join(renamed, same, "left")
     return result, sorted([*waiting, *unsafe])
 
 
@@ -160,23 +189,40 @@ def _repeated(dimensions: dict[str, tuple[DataFrame, Sequence[str]]]) -> list[st
     return [row["alias"] for row in most.where("n > 1").collect()] if most is not None else []
 
 
-def _look_up(df: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join with a table that has one row per key, without columns ``df`` already has."""
-    new = [c for c in dimension.columns if c in keys or c not in df.columns]
-    return df.join(dimension.select(*[F.col(f"`{c}`") for c in new]), list(keys), "left")
+def _look_up(df: DataFrame, dimension: DataFrame, keys: Sequence[str], alias: str) -> DataFrame:
+    """Left join with a table that has one row per key; a column that ``df`` has already is named after the table."""
+    taken = {c.lower() for c in df.columns} - {k.lower() for k in keys}
+    shaped = dimension.select(*[F.col(f"`{c}`").alias(f"{alias}_{c}".lower() if c.lower() in taken else c) for c in dimension.columns])
+    return df.join(shaped, list(keys), "left")
+
+
+def require_unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
+    """Raise where a key occurs more than once, before a join multiplies rows by it."""
+    most = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > 1:
+        raise ValueError(f"{what} has up to {most} rows for one key of {list(keys)}; aggregate it first.")
 
 
-def bridge_join(fact: DataFrame, bridge: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Fact to dimension through a bridge; all three are joined on their shared fields."""
+def bridge_join(fact: DataFrame, bridge: DataFrame, dimension: DataFrame, check: bool = True) -> DataFrame:
+    """Fact to dimension through a bridge; all three are joined on their shared fields. With ``check`` the keys of
+    bridge and dimension are proven unique first, so that no fact row is multiplied."""
+    if check:
+        require_unique(bridge, [c for c in bridge.columns if c.lower() in {k.lower() for k in fact.columns}], "The bridge")
+        beyond = {k.lower() for k in [*fact.columns, *bridge.columns]}
+        require_unique(dimension, [c for c in dimension.columns if c.lower() in beyond], "The dimension")
     return natural_join(natural_join(fact, bridge, "left", unique_right=True), dimension, "left", unique_right=True)
 
 
-def grain_join(left: DataFrame, right: DataFrame, grain: Sequence[str], how: str = "left") -> DataFrame:
-    """Join on the whole grain. Joining on part of it is refused."""
+def grain_join(left: DataFrame, right: DataFrame, grain: Sequence[str], how: str = "left", check: bool = True) -> DataFrame:
+    """Join on the whole grain. Joining on part of it is refused, and with ``check`` so is a right side in which a
+    grain key repeats."""
+    left, right = spelled_like(left, grain), spelled_like(right, grain)
     missing = [k for k in grain if k not in left.columns or k not in right.columns]
     extra = [k for k in shared_fields(left, right) if k not in grain]
     if missing or extra:
         raise ValueError(f"Join must use the whole grain; missing {missing}, unlisted shared fields {extra}.")
+    if check:
+        require_unique(right, list(grain), "The right side")
     return left.join(right, list(grain), how)
 
 

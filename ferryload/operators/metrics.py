@@ -52,25 +52,23 @@ def _target_name() -> Column:
     return F.when(known, F.col("target_column")).otherwise(snake_words(F.col("source_column")))
 
 
-def _first(found: DataFrame, kind: str, limit: int) -> DataFrame:
-    """First fields of a role per table; each task passes on only its own first ones."""
+def _ranked(found: DataFrame, kind: str, limit: int | None = None) -> DataFrame:
+    """Fields of a role, numbered per table; only the first ``limit``, if one is given."""
     order = Window.partitionBy("table_name").orderBy("position")
-    return (
-        found.where(F.col("entity_type") == kind)
-        .withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= limit)
-    )
+    ranked = found.where(F.col("entity_type") == kind).withColumn("__r", F.row_number().over(order))
+    return ranked.where(F.col("__r") <= limit) if limit else ranked
 
 
-def kpi_catalog(found: DataFrame) -> DataFrame:
-    """A KPI per measure and flag with formula, grain, up to eight dimensions and date column."""
-    dimensions = _first(found, "DIMENSION", 8).groupBy("table_name").agg(
+def kpi_catalog(found: DataFrame, limit: int | None = None) -> DataFrame:
+    """A KPI per measure and flag with formula, grain, dimensions (all, or the first ``limit``) and date column."""
+    dimensions = _ranked(found, "DIMENSION", limit).groupBy("table_name").agg(
         F.array_sort(F.collect_list(F.struct("__r", "business_name", _target_name().alias("target")))).alias("d")
     )
-    dates = _first(found, "DATE", 1).select(
+    dates = _ranked(found, "DATE", 1).select(
         "table_name", F.col("business_name").alias("date_name"), _target_name().alias("date_column")
     )
     names = F.concat(
-        F.transform(F.slice("d", 1, 4), lambda s: s["business_name"]),
+        F.transform("d", lambda s: s["business_name"]),
         F.when(F.col("date_name").isNotNull(), F.array("date_name")).otherwise(F.array().cast("array<string>")),
     )
     context = dimensions.join(dates, "table_name", "full").withColumn(

@@ -48,10 +48,33 @@ def range_number(column: str, borders: Sequence[float]) -> Column:
     return F.expr(halve(0, len(borders)))
 
 
-def _with_ranges(df: DataFrame, column: str, ranges: int) -> DataFrame:
-    borders = range_borders(df, column, ranges) if ranges > 1 else []
-    numbered = df.withColumn("__sort", _sort_number(df, column))
-    return numbered.withColumn(RANGE, range_number("__sort", borders)).drop("__sort")
+SAMPLE_PER_RANGE = 20
+
+
+def _with_ranges(df: DataFrame, order: Sequence[str], ranges: int | None) -> DataFrame:
+    """Rows with the number of their range of the whole order, in the columns' own types and with NULL first.
+
+    Borders are taken from a bounded sample of the sort keys, ``SAMPLE_PER_RANGE`` for each range; there are as many ranges
+    as the session has shuffle partitions. All columns of the order count, so rows of one date are still spread.
+    """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(*[F.col(f"`{c}`") for c in order])
+    sample = keys.orderBy(F.xxhash64(*keys.columns)).limit(ranges * SAMPLE_PER_RANGE)
+    place = F.row_number().over(Window.orderBy(*[F.col(f"`{c}`") for c in order]))  # over the bounded sample
+    step = max(1, sample.count() // ranges) if ranges > 1 else 0
+    rows = sample.withColumn("__place", place).where(F.col("__place") % step == 0).drop("__place").distinct().collect() if step else []
+    types = [df.schema[c].dataType for c in order]
+    key = F.struct(*[F.col(f"`{c}`") for c in order])
+    borders = [F.struct(*[F.lit(v).cast(kind).alias(c) for c, v, kind in zip(order, row, types)]) for row in
+               sorted(rows, key=lambda row: [(v is not None, v) for v in row])]
+
+    def halve(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key >= borders[middle], halve(middle + 1, high)).otherwise(halve(low, middle))
+
+    return df.withColumn(RANGE, halve(0, len(borders)))
 
 
 def _with_starts(cut: DataFrame, starts: DataFrame, real: str) -> DataFrame:
@@ -62,14 +85,14 @@ def _with_starts(cut: DataFrame, starts: DataFrame, real: str) -> DataFrame:
 
 
 def previous_value(
-    df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], output: str, ranges: int = 64
+    df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], output: str, ranges: int | None = None
 ) -> DataFrame:
-    """``Previous(x)`` within ``keys``. ``order`` must identify a row within its key.
+    """``Previous(x)`` within ``keys``. ``order`` (of any types) must identify a row within its key.
 
     The last value before a range enters the window as a start row, so the rows are
     shuffled once and nothing is joined back to them.
     """
-    cut = _with_ranges(df, order[0], ranges)
+    cut = _with_ranges(df, order, ranges)
     last = cut.groupBy(*keys, RANGE).agg(
         F.max(F.struct(*order, F.col(f"`{value}`").alias("__value"))).alias("__last")
     )
@@ -80,14 +103,27 @@ def previous_value(
     return rows.where("__real = 1").select(*df.columns, output)
 
 
+def peek(
+    df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], offset: int, output: str, ranges: int | None = None
+) -> DataFrame:
+    """``Peek(x, -offset)``: the value ``offset`` rows back within ``keys``, found by row number."""
+    numbered = row_numbers(df, keys, order, "__row", ranges)
+    earlier = numbered.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)],
+                              (F.col("__row") + offset).alias("__at"), F.col(f"`{value}`").alias(output))
+    same = F.col("__row") == F.col("__at")
+    for i, k in enumerate(keys):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
+    return numbered.join(earlier, same, "left").select(*df.columns, output)
+
+
 def row_numbers(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], output: str, ranges: int = 64
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], output: str, ranges: int | None = None
 ) -> DataFrame:
     """``RowNo`` within ``keys``; with no keys it is ``RecNo`` over the whole table.
 
     A range starts with a row that counts for all rows before it; the number is a running sum.
     """
-    cut = _with_ranges(df, order[0], ranges).withColumn("__step", F.lit(1).cast("bigint"))
+    cut = _with_ranges(df, order, ranges).withColumn("__step", F.lit(1).cast("bigint"))
     before = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     counts = cut.groupBy(*keys, RANGE).agg(F.count("*").alias("__rows"))
     starts = counts.select(*keys, RANGE, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__step"))
@@ -128,6 +164,7 @@ def most_recent(df: DataFrame, newest: str, tie_break: Sequence[str], rows: int
 
 
 def preview(df: DataFrame, rows: int = 100, order: Sequence[str] = ()) -> DataFrame:
-    """First rows; the count is held within 1 and 10000."""
-    rows = max(1, min(int(rows), 10000))
+    """The first ``rows`` rows."""
+    if rows < 1:
+        raise ValueError(f"Asked for {rows} rows; a preview has at least one.")
     return (df.orderBy(*order) if order else df).limit(rows)

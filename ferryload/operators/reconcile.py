@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferryload.fixed_values import (
@@ -75,17 +75,13 @@ def compare_by_dimension(source: DataFrame, target: DataFrame, metrics: dict[str
 
 
 def major_dimensions(dimensions: DataFrame) -> DataFrame:
-    """Up to four dimensions per table whose names hold a major token, in token order."""
+    """The dimensions of a table whose names hold a major token."""
     name = F.lower("dimension")
     token = F.least(*[
         F.when(name.contains(t), F.lit(i)).otherwise(F.lit(len(MAJOR_DIMENSION_TOKENS)))
         for i, t in enumerate(MAJOR_DIMENSION_TOKENS)
     ])
-    first = Window.partitionBy("table_name").orderBy("__token", "position")
-    return (
-        dimensions.withColumn("__token", token).where(F.col("__token") < len(MAJOR_DIMENSION_TOKENS))
-        .withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= 4).drop("__r", "__token")
-    )
+    return dimensions.where(token < len(MAJOR_DIMENSION_TOKENS))
 
 
 def reconciliation_rules(kpis: DataFrame, dimensions: DataFrame) -> DataFrame:

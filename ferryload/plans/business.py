@@ -222,7 +222,7 @@ dims AS (
   FROM found WHERE entity_type = 'DIMENSION' GROUP BY 1),
 dates AS (SELECT table_name, first(target_column ORDER BY position) AS date_column, first(business_name ORDER BY position) AS date_name FROM found WHERE entity_type = 'DATE' GROUP BY 1),
 kpi0 AS (
-  SELECT f.*, d.targets, date_column, 'By ' || array_to_string(list_append(d.names[1:4], date_name), ', ') AS grain,
+  SELECT f.*, d.targets, date_column, 'By ' || array_to_string(list_append(d.names, date_name), ', ') AS grain,
     CASE WHEN entity_type = 'FLAG' THEN CASE WHEN target_type = 'BOOLEAN' THEN 'COUNT' ELSE 'SUM' END
          WHEN {_any(_F, 'rate percentage percent ratio')} THEN 'AVG' ELSE 'SUM' END AS aggregation_type,
     list_aggregate(list_transform(string_split(s, '_'), lambda w: CASE w WHEN 'py' THEN 'Prior Year' WHEN 'qty' THEN 'Quantity' ELSE upper(w[1]) || w[2:] END), 'string_agg', ' ') AS kpi_name
@@ -231,7 +231,7 @@ kpis AS (
   SELECT *, kpi_name || ' derived from `' || source_column || '`.' AS business_description, aggregation_type || '(' || target_column || ')' AS recommended_formula,
     CAST(CASE WHEN entity_type = 'FLAG' THEN CASE aggregation_type WHEN 'COUNT' THEN 0.68 ELSE 0.72 END WHEN aggregation_type = 'AVG' THEN 0.78
       WHEN {_any(_F, 'sales amount revenue cost price value margin difference quantity qty units budget forecast ops')} THEN 0.86 ELSE 0.6 END AS DOUBLE) AS kpi_confidence,
-    targets[1:8] AS dimensions FROM kpi0),
+    targets AS dimensions FROM kpi0),
 patterns(p, l, token) AS (VALUES (0, 0, 'region'), (0, 1, 'country'), (0, 2, 'state'), (1, 0, 'area'), (1, 1, 'tier'), (2, 0, 'category'), (2, 1, 'franchise'),
   (2, 2, 'platform'), (3, 0, 'customer'), (3, 1, 'segment'), (3, 2, 'channel')),
 hits AS (
@@ -245,7 +245,7 @@ hier AS (
 major AS (
   SELECT table_name, target_column AS dimension FROM (SELECT *, CASE WHEN contains(target_column, 'region') THEN 0 WHEN contains(target_column, 'country') THEN 1
     WHEN contains(target_column, 'category') THEN 2 WHEN contains(target_column, 'franchise') THEN 3 END AS k FROM found WHERE entity_type = 'DIMENSION')
-  WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY k, position) <= 4),
+  WHERE k IS NOT NULL),
 rules AS (
   SELECT table_name, kpi_name AS metric_name, 'reconcile_' || lower(replace(kpi_name, ' ', '_')) AS rule_name, 'overall' AS date_grain, CAST(NULL AS VARCHAR) AS dimension FROM kpis
   UNION ALL SELECT table_name, kpi_name, 'reconcile_' || lower(replace(kpi_name, ' ', '_')) || '_by_month', 'month', date_column FROM kpis

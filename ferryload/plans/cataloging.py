@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferryload.fixed_values import ASSOCIATION_STOP_FIELDS
 from ferryload.functions import classes
 from ferryload.functions import text as X
 from ferryload.operators import catalog, checks, conversion
@@ -41,25 +42,25 @@ def field_associations(t: Tables):
 
 
 def model_associations(t: Tables):
-    fields = model_fields(t)
-    rows = fields.groupBy("table_name").agg(F.max("row_count").alias("n"))
-    links = catalog.associations(fields).drop("link_kind", "table_count", "app_id")
-    return links.join(rows.select(F.col("table_name").alias("from_table"), F.col("n").alias("from_rows")), "from_table").join(
-        rows.select(F.col("table_name").alias("to_table"), F.col("n").alias("to_rows")), "to_table"
+    """Tables and occurrences per shared field."""
+    return catalog.associations(page_fields(t)).groupBy("app_id", "field").agg(
+        F.max("table_count").alias("tables"), F.sum("occurrences").alias("occurrences"), F.min("hub_table").alias("hub_table"),
+        F.count_if(F.col("side") == "many").alias("many_sides"),
     )
 
 
+def marked_fields(t: Tables):
+    """Page fields with every field of five or more letters marked as a link field."""
+    long = F.length("field_name") >= 5
+    return page_fields(t).withColumn("field_name", F.when(long, F.concat(F.lit("%"), "field_name")).otherwise(F.col("field_name"))).withColumn("is_key", long)
+
+
 def synthetic_keys(t: Tables):
-    marked = model_fields(t).withColumn("field_name", F.when(F.col("is_key"), F.concat(F.lit("%"), "field_name")).otherwise(F.col("field_name")))
-    links = catalog.synthetic_keys(marked)
-    rows = marked.groupBy("table_name").agg(F.max("row_count").alias("from_rows"))
-    return links.join(rows.withColumnRenamed("table_name", "from_table"), "from_table").drop("app_id")
+    return catalog.synthetic_keys(marked_fields(t))
 
 
 def composite_keys(t: Tables):
-    fields = model_fields(t)
-    rows = fields.groupBy("table_name").agg(F.max("row_count").alias("row_count"))
-    return catalog.composite_keys(fields).join(rows, "table_name").drop("app_id")
+    return catalog.composite_keys(marked_fields(t))
 
 
 def table_roles(t: Tables):
@@ -184,8 +185,9 @@ def lineage_edges(t: Tables):
 def broken_references(t: Tables):
     measures = t.part.select(F.concat(F.lit("meas_"), "p_partkey").alias("node_id"))
     visuals = t.part.select(F.concat(F.lit("viz_"), "p_brand").alias("node_id")).where("node_id <> 'viz_Brand#3'").distinct()
-    edges = lineage_edges(t).where("edge_type = 'uses_measure'")
-    return catalog.broken_references(edges, measures.unionByName(visuals))
+    fields = expression_targets(t).where("field_name <> 'p_size'").select(F.concat(F.lit("fld_"), "table_name", F.lit("."), "field_name").alias("node_id")).distinct()
+    tables = t.spark.createDataFrame([("tbl_part",)], "node_id string")
+    return catalog.broken_references(lineage_edges(t), measures.unionByName(visuals).unionByName(fields).unionByName(tables))
 
 
 def duplicate_ids(t: Tables):
@@ -219,15 +221,13 @@ f AS (
   SELECT regexp_extract(url, 'example\\.([a-z]+)', 1) AS app_id, 'page_' || page_id AS table_name, page_id, u.i AS position, u.name AS field_name,
     lower(u.name) AS field, regexp_matches(lower(u.name), '(id|key)$|^%') AS is_key
   FROM pages, LATERAL (SELECT unnest(l) AS name, unnest(range(0, len(l))) AS i FROM (SELECT regexp_extract_all(html, '<li><a href="/([^"<&]*)"', 1) AS l)) u)"""
-STOP = "'name','description','desc','comment','value','amount','quantity','date','time','datetime','timestamp','year','month','day','status','state','type','active','deleted','created_by','updated_by','created_at','updated_at','created_date','updated_date','row_id','rows','fields','info','flag','yesno','index','number','no','f1','f2','f3','f4','f5','f6','f7','f8','f9','f10'"
+STOP = ", ".join(f"'{name}'" for name in ASSOCIATION_STOP_FIELDS)
 LINKS = f"""
-uses AS (SELECT app_id, field, table_name, min(field_name) AS field_name FROM f WHERE field <> '' AND (is_key OR field NOT IN ({STOP})) GROUP BY 1, 2, 3),
-sized AS (SELECT *, count(*) OVER (PARTITION BY app_id, field) AS table_count, first(table_name) OVER w AS hub, first(field_name) OVER w AS hub_field
-  FROM uses WINDOW w AS (PARTITION BY app_id, field ORDER BY table_name, field_name)),
-links AS (
-  SELECT a.app_id, a.field, a.table_count, a.table_name AS from_table, a.field_name AS from_field, b.table_name AS to_table, b.field_name AS to_field, 'pair' AS link_kind
-  FROM sized a JOIN sized b ON a.app_id = b.app_id AND a.field = b.field AND a.table_name < b.table_name WHERE a.table_count <= 20
-  UNION ALL SELECT app_id, field, table_count, hub, hub_field, table_name, field_name, 'hub' FROM sized WHERE table_count > 20 AND table_name <> hub)"""
+uses AS (SELECT app_id, field, table_name, min(field_name) AS field_name, count(*) AS occurrences FROM f WHERE field <> '' AND (is_key OR field NOT IN ({STOP})) GROUP BY 1, 2, 3),
+links AS (SELECT *, count(*) OVER (PARTITION BY app_id, field) AS table_count, min(table_name) OVER (PARTITION BY app_id, field) AS hub_table,
+  CASE WHEN occurrences = 1 THEN 'one' ELSE 'many' END AS side FROM uses QUALIFY table_count > 1)"""
+MARKED = """
+m AS (SELECT app_id, table_name, position, '%' || lower(field_name) AS field, '%' || field_name AS field_name FROM f WHERE length(field_name) >= 5)"""
 _MODEL_COLUMNS = {
     "region": "regionkey name", "nation": "nationkey name regionkey", "customer": "custkey name nationkey acctbal mktsegment",
     "supplier": "suppkey name nationkey acctbal", "part": "partkey name brand type size retailprice",
@@ -265,24 +265,21 @@ edges AS (
   UNION ALL SELECT 'viz_' || p_brand, 'meas_' || (p_partkey + 7), 'uses_measure' FROM part)"""
 
 ORACLE = {
-    "field_associations": f"WITH {PAGE_FIELDS}, {LINKS} SELECT *, 'shared_field' AS relationship FROM links",
+    "field_associations": f"WITH {PAGE_FIELDS}, {LINKS} SELECT * FROM links",
     "model_associations": f"""
-      WITH {MODEL}, {LINKS} SELECT field, from_table, from_field, to_table, to_field, a.row_count AS from_rows, b.row_count AS to_rows,
-        CASE WHEN field = 'regionkey' AND from_table = 'region' THEN '1:*' WHEN field = 'regionkey' AND to_table = 'region' THEN '*:1'
-             WHEN field = 'nationkey' AND from_table = 'nation' THEN '1:*' WHEN field = 'nationkey' AND to_table = 'nation' THEN '*:1'
-             WHEN field = 'partkey' AND from_table = 'part' THEN '1:*' WHEN field = 'partkey' AND to_table = 'part' THEN '*:1'
-             WHEN field = 'orderkey' AND from_table = 'orders' THEN '1:*' WHEN field = 'orderkey' AND to_table = 'orders' THEN '*:1' ELSE 'shared_field' END AS relationship
-      FROM links JOIN sizes a ON from_table = a.table_name JOIN sizes b ON to_table = b.table_name""",
+      WITH {PAGE_FIELDS}, {LINKS} SELECT app_id, field, max(table_count) AS tables, CAST(sum(occurrences) AS BIGINT) AS occurrences, min(hub_table) AS hub_table,
+        count(*) FILTER (side = 'many') AS many_sides FROM links GROUP BY 1, 2""",
     "synthetic_keys": f"""
-      WITH {MODEL.replace("lower(field_name) AS field", "'%' || lower(field_name) AS field")}, k AS (SELECT * FROM f WHERE is_key)
-      SELECT a.table_name AS from_table, b.table_name AS to_table, min(a.field) AS field, count(*) AS shared_fields, 'synthetic_key' AS relationship, max(a.row_count) AS from_rows
-      FROM k a JOIN k b ON a.field = b.field AND a.table_name < b.table_name GROUP BY 1, 2""",
+      WITH {PAGE_FIELDS}, {MARKED}, u AS (SELECT DISTINCT app_id, field, table_name FROM m),
+      s AS (SELECT * FROM u QUALIFY count(*) OVER (PARTITION BY app_id, field) > 1),
+      c AS (SELECT app_id, table_name, string_agg(field, ', ' ORDER BY field) AS shared_fields, count(*) AS field_count FROM s GROUP BY 1, 2)
+      SELECT *, count(*) OVER (PARTITION BY app_id, shared_fields) AS table_count, 'synthetic_key' AS relationship FROM c""",
     "composite_keys": f"""
-      WITH {MODEL} SELECT table_name, count(*) AS key_count, string_agg(field_name, ', ' ORDER BY position) AS key_fields, 'composite_key' AS relationship, max(row_count) AS row_count
-      FROM f WHERE is_key GROUP BY 1 HAVING count(*) > 1""",
+      WITH {PAGE_FIELDS}, {MARKED} SELECT app_id, table_name, count(*) AS key_count, string_agg(field_name, ', ' ORDER BY position) AS key_fields, 'composite_key' AS relationship
+      FROM m GROUP BY 1, 2 HAVING count(*) > 1""",
     "table_roles": f"""
       WITH {MODEL}, k AS (SELECT table_name, count(*) FILTER (is_key) AS key_count, count(*) FILTER (NOT is_key) AS other_count, max(row_count) AS row_count FROM f GROUP BY 1)
-      SELECT *, CASE WHEN key_count >= 2 AND other_count <= 1 THEN 'bridge' WHEN row_count > 10000 OR key_count >= 3 THEN 'fact' ELSE 'dimension' END AS table_role FROM k""",
+      SELECT *, CASE WHEN key_count >= 2 AND other_count <= 1 THEN 'bridge' WHEN key_count >= 3 THEN 'fact' ELSE 'dimension' END AS table_role FROM k""",
     "field_registry": f"""
       WITH {PAGE_FIELDS}, d AS (SELECT DISTINCT app_id, field, table_name FROM f) SELECT *, count(*) OVER (PARTITION BY app_id, field) AS table_count FROM d""",
     "field_statistics": f"""
@@ -325,7 +322,8 @@ ORACLE = {
       SELECT position, context_id, expression, {CLASS} AS classification FROM d""",
     "lineage_edges": f"WITH {LINEAGE} SELECT * FROM edges",
     "broken_references": f"""
-      WITH {LINEAGE} SELECT * FROM edges WHERE edge_type = 'uses_measure' AND (source = 'viz_Brand#3' OR target NOT IN (SELECT 'meas_' || p_partkey FROM part))""",
+      WITH {LINEAGE} SELECT * FROM edges
+      WHERE source IN ('viz_Brand#3', 'fld_part.p_size') OR target IN ('fld_part.p_size', 'tbl_words') OR (edge_type = 'uses_measure' AND target NOT IN (SELECT 'meas_' || p_partkey FROM part))""",
     "duplicate_ids": """
       SELECT 'app' AS app_id, doc_id AS object_id, count(*) AS uses FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels) GROUP BY 2 HAVING count(*) > 1""",
     "completeness": """

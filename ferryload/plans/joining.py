@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ferryload.functions import aggregates as A
 from ferryload.functions import dates as D
+from ferryload.functions import numbers as N
 from ferryload.operators import combine as U
 from ferryload.operators import grouping as G
 from ferryload.operators import joins as J
@@ -38,11 +39,9 @@ def _customer(t: Tables):
 
 
 def _some_orders(t: Tables):
-    """Orders of a part of the customers plus one foreign key, so that every join type differs."""
-    shifted = F.when(F.col("orderpriority") == "1-URGENT", F.col("custkey") + 700).otherwise(F.col("custkey"))
-    return t.plain("orders").where(F.col("orderstatus") == "P").select(
-        "orderkey", shifted.alias("custkey"), "totalprice"
-    )
+    """All orders; every seventh customer's orders name a customer that does not exist, so both sides keep unmatched rows."""
+    shifted = F.when(F.col("custkey") % 7 == 0, -F.col("custkey")).otherwise(F.col("custkey"))
+    return t.plain("orders").select("orderkey", shifted.alias("custkey"), "totalprice")
 
 
 def natural_left_join(t: Tables):
@@ -77,6 +76,24 @@ def keep_inner(t: Tables):
     return rows(customers, "customers").unionByName(rows(orders, "orders"))
 
 
+def keep_right(t: Tables):
+    _, orders = J.keep(_customer(t), _some_orders(t), "right")
+    return orders
+
+
+def two_nations(t: Tables):
+    """One dimension reached twice: the customer's and the supplier's nation of each order line."""
+    fact = t.plain("lineitem").select("orderkey", "suppkey", "quantity")
+    orders = t.plain("orders").select("orderkey", "custkey")
+    nations = t.plain("nation").select("nationkey", "name")
+    model, _ = J.star_join(fact, {
+        "ord": (orders, ["ORDERKEY"]), "cust": (t.plain("customer").select("custkey", "nationkey"), ["custkey"]),
+        "supp": (t.plain("supplier").select("suppkey", "nationkey"), ["suppkey"]),
+        "buyer": (nations, {"cust.nationkey": "nationkey"}), "seller": (nations, {"supp.nationkey": "nationkey"}),
+    })
+    return model.groupBy("buyer_name", "seller_name").agg(F.count("*").alias("lines"), F.sum("quantity").alias("quantity"))
+
+
 def exists_flag(t: Tables):
     return J.exists_flag(_customer(t).select("custkey"), "custkey", _some_orders(t), "custkey", "has_order")
 
@@ -135,7 +152,7 @@ def composite_grain_join(t: Tables):
     orders = t.plain("orders").select("orderkey", month.alias("yyyymm"), F.col("orderstatus").alias("account"))
     plan = t.plain("orders").groupBy(month.alias("yyyymm"), F.col("orderstatus").alias("account")).agg(
         exact_mean("totalprice").alias("plan_price")
-    ).where(F.col("account") != "F")
+    ).withColumn("account", F.when(F.col("account") == "F", "closed").otherwise(F.col("account")))
     return J.grain_join(orders, plan, ["yyyymm", "account"])
 
 
@@ -161,12 +178,13 @@ def full_outer_on_grain(t: Tables):
     nation = F.when(F.col("c_nationkey") != 3, F.col("c_nationkey"))
     customers = t.customer.groupBy(nation.alias("nationkey")).agg(F.count("*").alias("customers"))
     place = F.when(F.col("s_nationkey") != 3, F.col("s_nationkey"))
-    suppliers = t.supplier.where(F.col("s_nationkey") != 7).groupBy(place.alias("nationkey")).agg(F.count("*").alias("suppliers"))
+    place = F.when(F.col("s_nationkey") == 7, 107).otherwise(place)
+    suppliers = t.supplier.groupBy(place.alias("nationkey")).agg(F.count("*").alias("suppliers"))
     return J.full_on_grain(customers, suppliers, ["nationkey"])
 
 
 def orphans(t: Tables):
-    nations = t.nation.where(F.col("n_regionkey") != 2)
+    nations = t.nation.withColumn("n_nationkey", F.when(F.col("n_regionkey") == 2, -F.col("n_nationkey") - 1).otherwise(F.col("n_nationkey")))
     return J.orphans(t.supplier.select("s_suppkey", "s_nationkey"), ["s_nationkey"], nations, ["n_nationkey"])
 
 
@@ -239,12 +257,12 @@ def distinct_count(t: Tables):
 def guarded_ratio(t: Tables):
     urgent = F.sum(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice")).otherwise(0))
     closed = F.sum(F.when((F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 3 == 0), F.col("o_totalprice")).otherwise(0))
-    return t.orders.groupBy("o_custkey").agg(F.round(F.try_divide(urgent, closed), 6).alias("urgent_to_closed"))
+    return t.orders.groupBy("o_custkey").agg(F.round(N.ratio(urgent, closed), 6).alias("urgent_to_closed"))
 
 
 QUERIES = {f.__name__: f for f in (
     month_region_sales, natural_left_join, join_inner, join_right, join_full, single_row_attach, keep_left, keep_inner,
-    exists_flag, star_model, star_model_checked, enrich_projection, project_aliases, bridge_join, composite_grain_join, aggregate_before_join, pivot_before_join,
+    keep_right, two_nations, exists_flag, star_model, star_model_checked, enrich_projection, project_aliases, bridge_join, composite_grain_join, aggregate_before_join, pivot_before_join,
     totals_side_by_side, full_outer_on_grain, orphans, join_match_ratio, set_analysis_sum, conditional_sum, only_value,
     stats_aggs, median_per_group, mode_per_group, concat_values, first_last_sorted_value, nested_aggr, distinct_count,
     guarded_ratio,
@@ -252,8 +270,7 @@ QUERIES = {f.__name__: f for f in (
 
 SIDES = """
 c AS (SELECT c_custkey AS custkey, c_name AS customer, c_mktsegment AS mktsegment FROM customer),
-o AS (SELECT o_orderkey AS orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey + 700 ELSE o_custkey END AS custkey,
-             o_totalprice AS totalprice FROM orders WHERE o_orderstatus = 'P')"""
+o AS (SELECT o_orderkey AS orderkey, CASE WHEN o_custkey % 7 = 0 THEN -o_custkey ELSE o_custkey END AS custkey, o_totalprice AS totalprice FROM orders)"""
 
 _JOIN = "WITH " + SIDES + " SELECT custkey, customer, mktsegment, orderkey, totalprice FROM c {how} JOIN o USING (custkey)"
 
@@ -276,6 +293,11 @@ ORACLE = {
            ko AS (SELECT * FROM o WHERE EXISTS (SELECT 1 FROM c WHERE o.custkey = c.custkey))
       SELECT 'customers' AS table_name, count(*) AS "rows", count(DISTINCT custkey) AS keys FROM kc
       UNION ALL SELECT 'orders', count(*), count(DISTINCT custkey) FROM ko""",
+    "keep_right": f"WITH {SIDES} SELECT * FROM o WHERE EXISTS (SELECT 1 FROM c WHERE o.custkey = c.custkey)",
+    "two_nations": """
+      SELECT b.n_name AS buyer_name, s.n_name AS seller_name, count(*) AS lines, sum(l_quantity) AS quantity
+      FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON l_suppkey = s_suppkey
+      LEFT JOIN nation b ON c_nationkey = b.n_nationkey LEFT JOIN nation s ON s_nationkey = s.n_nationkey GROUP BY 1, 2""",
     "exists_flag": f"WITH {SIDES} SELECT custkey, EXISTS (SELECT 1 FROM o WHERE o.custkey = c.custkey) AS has_order FROM c",
     "star_model": """
       SELECT r_name AS reg_name, p_type AS part_type, o_orderpriority AS ord_orderpriority, 'lab' AS left_out,
@@ -284,7 +306,8 @@ ORACLE = {
            LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
       GROUP BY ALL""",
     "star_model_checked": """
-      SELECT c_mktsegment AS cust_mktsegment, n_name AS nat_name, 'line,supp' AS left_out, count(*) AS orders, round(sum(o_totalprice), 2) AS total_price
+      SELECT c_mktsegment AS cust_mktsegment, n_name AS nat_name, (SELECT string_agg(a, ',' ORDER BY a) FROM (SELECT 'line' AS a FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey) HAVING max(n) > 1
+        UNION ALL SELECT 'supp' FROM (SELECT count(*) AS n FROM supplier GROUP BY s_nationkey) HAVING max(n) > 1)) AS left_out, count(*) AS orders, round(sum(o_totalprice), 2) AS total_price
       FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""",
     "enrich_projection": """
       SELECT o_custkey AS custkey, o_orderkey AS orderkey, o_totalprice AS acctbal, c_name AS cust_name, c_nationkey AS cust_nationkey, c_mktsegment AS cust_mktsegment
@@ -312,7 +335,7 @@ ORACLE = {
            (SELECT count(*) AS n, round(sum(o_totalprice), 2) AS v FROM orders) o""",
     "full_outer_on_grain": """
       WITH c AS (SELECT nullif(c_nationkey, 3) AS k, count(*) AS customers FROM customer GROUP BY 1),
-           s AS (SELECT nullif(s_nationkey, 3) AS k, count(*) AS suppliers FROM supplier WHERE s_nationkey <> 7 GROUP BY 1)
+           s AS (SELECT CASE WHEN s_nationkey = 7 THEN 107 WHEN s_nationkey <> 3 THEN s_nationkey END AS k, count(*) AS suppliers FROM supplier GROUP BY 1)
       SELECT coalesce(c.k, s.k) AS nationkey, customers, suppliers FROM c FULL JOIN s ON c.k IS NOT DISTINCT FROM s.k""",
     "orphans": """
       SELECT s_suppkey, s_nationkey FROM supplier

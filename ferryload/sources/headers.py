@@ -6,6 +6,8 @@ read as text; the pages are never decoded.
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,6 @@ from ferryload.fixed_values import (
     HEADER_END,
     HEADER_FIELD_TAG,
     HEADER_ROW_TAG,
-    HEADER_SCAN_BYTES,
     HEADER_START,
 )
 from ferryload.functions.classes import field_category
@@ -36,7 +37,7 @@ def read_extract_heads(spark: SparkSession, path: str) -> DataFrame:
     """Like :func:`read_extract_files`, but a file is read only up to the end of its header.
 
     Files are listed by Spark and opened inside the tasks through Arrow's file systems, so
-    extracts far larger than a task's memory are fine. A header must end within 16 MB.
+    extracts far larger than a task's memory are fine, and a header may be of any length.
     """
     listed = spark.read.format("binaryFile").load(path).select("path", "length")
 
@@ -53,15 +54,20 @@ def read_extract_heads(spark: SparkSession, path: str) -> DataFrame:
 def _read_head(path: str) -> bytes:
     from pyarrow import fs
 
-    system, name = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if not path.startswith("file:///") else path)
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":  # Spark lists local files as file:/folder/name, blanks and all
+        system, name = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        system, name = fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + quote(rest, safe="/:@"))
     head, marker = bytearray(), HEADER_END.encode()
     with system.open_input_stream(name) as stream:
-        while len(head) < HEADER_SCAN_BYTES:
+        while True:
             chunk = stream.read(64 * 1024)
             if not chunk:
                 break
+            start = max(0, len(head) - len(marker))
             head.extend(chunk)
-            if marker in head:
+            if head.find(marker, start) >= 0:
                 break
     return bytes(head)
 

@@ -116,24 +116,16 @@ def test_cycles_without_any(spark):
 FIELDS = "app_id string, table_name string, position int, field_name string"
 
 
-def test_associations_pairs_and_hubs(spark):
-    rows = [("a", f"t{i:02d}", 0, "OrderID" if i % 2 else "orderid") for i in range(6)] + [("a", f"t{i:02d}", 1, "Name") for i in range(6)] + [("b", "t00", 0, "OrderID")]
-    fields = catalog.with_key_flag(spark.createDataFrame(rows, FIELDS))
-    pairs = catalog.associations(fields)
-    assert pairs.count() == 15 and {r["field"] for r in pairs.collect()} == {"orderid"}
-    hubs = catalog.associations(fields, pair_limit=5).collect()
-    assert {(r["from_table"], r["to_table"]) for r in hubs} == {("t00", f"t{i:02d}") for i in range(1, 6)} and {r["link_kind"] for r in hubs} == {"hub"}
+@pytest.mark.parametrize("tables", [6, 20, 21, 200])
+def test_associations_say_the_same_at_every_size(spark, tables):
+    rows = [("a", f"t{i:03d}", p, n) for i in range(tables) for p, n in enumerate(["OrderID" if i % 2 else "orderid", "Name", "x"])] + [("b", "t00", 0, "OrderID"), ("a", "t000", 7, "ORDERID")]
+    fields = catalog.with_key_flag(spark.createDataFrame(rows, FIELDS)).where("field_name <> 'x'")
+    links = catalog.associations(fields).collect()
+    assert len(links) == tables and {(r["app_id"], r["field"], r["table_count"], r["hub_table"]) for r in links} == {("a", "orderid", tables, "t000")}
+    assert {r["table_name"]: r["side"] for r in links if r["side"] == "many"} == {"t000": "many"}
     marked = fields.withColumn("field_name", F.concat(F.lit("%"), "field_name"))
-    assert catalog.synthetic_keys(marked).where("from_table = 't00' AND to_table = 't01'").first()["shared_fields"] == 2
-
-
-@pytest.mark.parametrize("source,target,field,expected", [
-    ("Customers", "Orders", "CustomerID", "1:*"), ("Orders", "Customers", "%CustomerKey", "*:1"), ("Category", "Categories", "category_id", "1:1"),
-    ("ItemMaster", "FactSales", "short", "1:*"), ("FactSales", "DimDate", "d", "*:1"), ("A", "B", "c", "shared_field"),
-])
-def test_named_relationship(spark, source, target, field, expected):
-    row = spark.createDataFrame([(source, target, field)], "s string, t string, f string")
-    assert row.select(catalog.named_relationship(F.col("s"), F.col("t"), F.col("f"))).first()[0] == expected
+    keys = catalog.synthetic_keys(marked).collect()
+    assert len(keys) == tables and {(r["shared_fields"], r["field_count"], r["table_count"]) for r in keys} == {("%name, %orderid", 2, tables)}
 
 
 def test_table_roles_and_composite_keys(spark):
@@ -141,7 +133,7 @@ def test_table_roles_and_composite_keys(spark):
     fields = catalog.with_key_flag(spark.createDataFrame(rows, FIELDS))
     sizes = spark.createDataFrame([("a", "Big", 10001), ("a", "Plain", 10000)], "app_id string, table_name string, row_count bigint")
     assert {r["table_name"]: r["table_role"] for r in catalog.table_roles(fields, sizes).collect()} == {
-        "Bridge": "bridge", "Sales": "fact", "MasterCalendar": "canonical_calendar", "Big": "fact", "Plain": "dimension"}
+        "Bridge": "bridge", "Sales": "fact", "MasterCalendar": "canonical_calendar", "Big": "dimension", "Plain": "dimension"}
     assert [r["key_fields"] for r in catalog.composite_keys(fields).collect()] == ["XID, YID"]
 
 
@@ -177,3 +169,13 @@ def test_checkpoint_folder_is_set_once(spark):
     first = spark.sparkContext.getCheckpointDir()
     ensure_checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir() == first
+
+
+def test_no_dimension_is_cut_off(spark):
+    rows = [("t", i, f"col_{i}", f"col_{i}", "STRING", "DIMENSION", f"Col {i}") for i in range(12)] + [("t", 12, "amount", "amount", "DOUBLE", "MEASURE", "Amount")]
+    found = spark.createDataFrame(rows, "table_name string, position int, source_column string, target_column string, target_type string, entity_type string, business_name string")
+    (kpi,) = metrics.kpi_catalog(found).collect()
+    assert len(kpi["dimensions"]) == 12 and kpi["grain"].count(",") == 11
+    assert len(metrics.kpi_catalog(found, limit=3).first()["dimensions"]) == 3
+    regions = spark.createDataFrame([("t", f"region_{i}", i) for i in range(7)], "table_name string, dimension string, position int")
+    assert reconcile.major_dimensions(regions).count() == 7

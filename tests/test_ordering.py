@@ -5,6 +5,7 @@ import statistics
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from ferryload.operators import grouping as G
 from ferryload.operators import ordering as O
@@ -70,18 +71,40 @@ def test_median_is_exact(frame, rows, ranges):
 
 def test_mode_concat_and_distinct(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y"), ("b", "z"), ("b", "w"), ("b", None)], "g string, v string")
-    assert {r["g"]: r["m"] for r in G.mode(df, ["g"], "v", "m").collect()} == {"a": "y", "b": "w"}
-    assert {r["g"]: r["c"] for r in G.concat_distinct(df, ["g"], "v", "c", "-").collect()} == {"a": "x-y", "b": "w-z"}
+    df = df.unionByName(spark.createDataFrame([("n", None)], "g string, v string"))
+    assert {r["g"]: r["m"] for r in G.mode(df, ["g"], "v", "m").collect()} == {"a": "y", "b": "w", "n": None}
+    assert {r["g"]: r["c"] for r in G.concat_distinct(df, ["g"], "v", "c", "-").collect()} == {"a": "x-y", "b": "w-z", "n": None}
+    assert {r["g"]: r["c"] for r in G.concat(df, ["g"], "v", "c", "-").collect()} == {"a": "x-y-y", "b": "w-z", "n": None}
+    by = df.withColumn("w", F.when(F.col("v") == "y", 1).otherwise(2))
+    assert {r["g"]: r["c"] for r in G.concat(by, ["g"], "v", "c", "-", "w").collect()} == {"a": "y-y-x", "b": "w-z", "n": None}
+    numbers = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("n", None)], "g string, x double")
+    assert {r["g"]: r["m"] for r in G.median(numbers, ["g"], "x", "m").collect()} == {"a": 2.5, "n": None}
+    df = df.where("g <> 'n'")
     assert {r["g"]: r["n"] for r in G.distinct_count(df, ["g"], "v", "n").collect()} == {"a": 2, "b": 2}
 
 
 def test_sort_rules_and_preview(spark):
     df = spark.createDataFrame([(1, "b"), (2, "a"), (3, "a")], "n int, s string")
     assert [r["n"] for r in O.sort_by(df, [("s", "asc"), ("n", "desc")]).collect()] == [3, 2, 1]
-    assert O.preview(df, 0, ["n"]).collect()[0]["n"] == 1 and O.preview(df, 0).count() == 1
+    assert O.preview(df, 2, ["n"]).count() == 2 and O.preview(spark.range(20_001), 20_000).count() == 20_000
+    with pytest.raises(ValueError):
+        O.preview(df, 0)
     assert [r["n"] for r in O.most_recent(df, "n", ["s"], 2).collect()] == [3, 2]
 
 
 def test_range_number(spark):
     df = spark.createDataFrame([(None,), (0.0,), (1.0,), (4.9,), (5.0,), (99.0,)], "x double")
     assert [r[0] for r in df.select(O.range_number("x", [1.0, 5.0, 9.0])).collect()] == [0, 0, 1, 1, 2, 3]
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(20,4)", "timestamp", "int"])
+def test_row_access_over_any_order(spark, kind):
+    """One key on one value of the first order column: the second column spreads it over ranges."""
+    texts = {"string": "x", "date": "2024-01-02", "decimal(20,4)": "1.5", "timestamp": "2024-01-02 03:04:05", "int": "7"}
+    df = spark.range(500).select(F.lit("k").alias("k"), F.when(F.col("id") % 50 == 0, None).otherwise(F.lit(texts[kind])).cast(kind).alias("o"), (499 - F.col("id")).alias("n"))
+    want = [r["n"] for r in df.orderBy("o", "n").collect()]
+    before = {r["n"]: r["p"] for r in O.previous_value(df, "n", ["k"], ["o", "n"], "p", 16).collect()}
+    assert before == dict(zip(want, [None, *want]))
+    assert {r["n"]: r["p"] for r in O.peek(df, "n", ["k"], ["o", "n"], 3, "p", 16).collect()} == dict(zip(want, [None] * 3 + want))
+    assert {r["n"]: r["p"] for r in O.row_numbers(df, [], ["o", "n"], "p", 16).collect()} == {n: i + 1 for i, n in enumerate(want)}
+    assert O._with_ranges(df, ["o", "n"], 16).select(O.RANGE).distinct().count() > 8

@@ -177,3 +177,32 @@ def test_table_loads(spark, tmp_path):
     sinks.raw_load(spark.table("loads.target").select("id"), "loads.raw")
     assert spark.table("loads.raw").count() == 2
     spark.sql("DROP DATABASE loads CASCADE")
+
+
+def test_names_are_compared_without_case(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "CustKey int, r string")
+    right = spark.createDataFrame([(2, "a"), (1, "a")], "custkey int, R string")
+    joined = joins.natural_join(left, right, "left")
+    assert joined.columns == ["CustKey", "r"] and joined.count() == 2
+    assert joins.keep(left, right, "left")[0].collect() == [(1, "a")]
+    with pytest.raises(ValueError, match="KEEP"):
+        joins.keep(left, spark.createDataFrame([(1,)], "other int"))
+
+
+def test_star_join_loses_no_column_and_reaches_a_dimension_twice(spark):
+    fact = spark.createDataFrame([(1, 5)], "custkey int, suppkey int")
+    cust, supp = spark.createDataFrame([(1, 10)], "custkey int, nationkey int"), spark.createDataFrame([(5, 20)], "SuppKey int, nationkey int")
+    nation = spark.createDataFrame([(10, "x"), (20, "y")], "nationkey int, name string")
+    model, left_out = joins.star_join(fact, {
+        "cust": (cust, ["custkey"]), "supp": (supp, ["suppkey"]), "buyer": (nation, {"cust.nationkey": "nationkey"}), "seller": (nation, {"supp.nationkey": "nationkey"}),
+        "gone": (nation, {"cust.zone": "nationkey"})})
+    row = model.first().asDict()
+    assert left_out == ["gone"] and (row["buyer_name"], row["seller_name"], row["cust_nationkey"], row["supp_nationkey"]) == ("x", "y", 10, 20)
+
+
+def test_grain_and_bridge_joins_refuse_repeated_keys(spark):
+    left, right = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string")
+    with pytest.raises(ValueError, match="aggregate"):
+        joins.grain_join(left, right, ["k"])
+    with pytest.raises(ValueError, match="bridge"):
+        joins.bridge_join(left, right, spark.createDataFrame([("a", 1)], "v string, x int"))
