@@ -130,7 +130,8 @@ def star_join(
     """
     paired = {a: (table, keys) for a, (table, keys) in dimensions.items() if isinstance(keys, dict)}
     names = list(dict.fromkeys([*fact.columns, *(k for _, keys in dimensions.values() if not isinstance(keys, dict) for k in keys)]))
-    dimensions = {a: (spelled_like(table, names), list(spelled_like(table, names).select(*keys).columns)) for a, (table, keys) in dimensions.items() if a not in paired}
+    spelling = {c.lower(): c for c in reversed(names)}
+    dimensions = {a: (spelled_like(table, names), [spelling[k.lower()] for k in keys]) for a, (table, keys) in dimensions.items() if a not in paired}
     unsafe = _repeated({**dimensions, **{a: (table, list(keys.values())) for a, (table, keys) in paired.items()}}) if verify else []
     dimensions = {alias: d for alias, d in dimensions.items() if alias not in unsafe}
     links = {k for _, keys in dimensions.values() for k in keys}
