@@ -114,6 +114,22 @@ def run_kpis(df: DataFrame, kpis: Sequence[tuple[str, str, str]], grain: dict[st
     return wide.unpivot(list(grain), [name for name, _, _ in kpis], "kpi_name", "kpi_value")
 
 
+def run_kpis_by_grain(df: DataFrame, kpis: Sequence[tuple[str, str, str]], grains: dict[str, Column]) -> DataFrame:
+    """K3: values of all KPIs overall and per grain, each grain alone, in one pass over the rows: ``grain`` ('overall' or
+    its name), ``grain_key``, ``kpi_name``, ``kpi_value``."""
+    names = list(grains)
+    keyed = df.select("*", *[value.cast("string").alias(f"__{name}") for name, value in grains.items()])
+    keys = [F.col(f"__{name}") for name in names]
+    values = [kpi_value(aggregation, column).alias(name) for name, aggregation, column in kpis]
+    wide = keyed.groupingSets([[], *[[key] for key in keys]], *keys).agg(F.grouping_id().alias("__set"), *values)
+    grain, grain_key = F.lit("overall"), F.lit(None).cast("string")
+    for i, name in enumerate(names):  # a bit per key is set where it is folded
+        alone = F.col("__set") == 2 ** len(names) - 1 - 2 ** (len(names) - 1 - i)
+        grain, grain_key = F.when(alone, F.lit(name)).otherwise(grain), F.when(alone, F.col(f"__{name}")).otherwise(grain_key)
+    shaped = wide.select(grain.alias("grain"), grain_key.alias("grain_key"), *[name for name, _, _ in kpis])
+    return shaped.unpivot(["grain", "grain_key"], [name for name, _, _ in kpis], "kpi_name", "kpi_value")
+
+
 def hierarchies(found: DataFrame) -> DataFrame:
     """K4: token sequences present in a table's dimensions and identifiers, two levels at least."""
     levels = F.array(*[

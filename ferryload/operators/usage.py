@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from decimal import Decimal
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,21 +90,18 @@ def job_rates(jobs: DataFrame) -> DataFrame:
 
 def job_alerts(jobs: DataFrame, phases: DataFrame) -> DataFrame:
     """One row per job and broken limit. A confidence of 0 means it was not measured."""
-    rated = job_rates(jobs)
-    slow = phases.where(F.col("duration_ms") / 1000 > SLOW_PHASE_SECONDS)
-    confidence = F.col("confidence")
-
-    def alert(df: DataFrame, kind: str, value: Column, where: Column | None = None, detail: Column | None = None) -> DataFrame:
-        rows = df if where is None else df.where(where)
-        return rows.select(
-            "job_id", F.lit(kind).alias("alert"), (detail if detail is not None else F.lit("")).alias("detail"),
-            value.cast("double").alias("measured"),
-        )
-
-    return reduce(DataFrame.unionByName, [
-        alert(rated, "high_fallback_rate", F.col("fallback_rate"), F.col("fallback_rate") > FALLBACK_RATE_LIMIT),
-        alert(rated, "failed_translations", F.col("failed"), F.col("failed") > 0),
-        alert(rated, "low_confidence", confidence, (confidence < CONFIDENCE_FLOOR) & (confidence > 0)),
-        alert(slow, "slow_phase", F.col("duration_ms") / 1000, detail=F.col("phase")),
-        alert(rated, "many_repairs", F.col("repair_iterations"), F.col("repair_iterations") > REPAIR_LIMIT),
-    ])
+    rated, confidence = job_rates(jobs), F.col("confidence")
+
+    def alert(kind: str, value: Column, broken: Column) -> Column:
+        return F.when(broken, F.struct(F.lit(kind).alias("alert"), value.cast("double").alias("measured")))
+
+    broken = F.array_compact(F.array(
+        alert("high_fallback_rate", F.col("fallback_rate"), F.col("fallback_rate") > FALLBACK_RATE_LIMIT),
+        alert("failed_translations", F.col("failed"), F.col("failed") > 0),
+        alert("low_confidence", confidence, (confidence < CONFIDENCE_FLOOR) & (confidence > 0)),
+        alert("many_repairs", F.col("repair_iterations"), F.col("repair_iterations") > REPAIR_LIMIT),
+    ))
+    of_jobs = rated.select("job_id", F.explode(broken).alias("a")).select("job_id", "a.alert", F.lit("").alias("detail"), "a.measured")
+    seconds = F.col("duration_ms") / 1000
+    slow = phases.where(seconds > SLOW_PHASE_SECONDS).select("job_id", F.lit("slow_phase").alias("alert"), F.col("phase").alias("detail"), seconds.cast("double").alias("measured"))
+    return of_jobs.unionByName(slow)

@@ -105,16 +105,8 @@ KPIS = [("sales_sum", "SUM", "ActualSales"), ("margin_avg", "AVG", "GrossMarginR
 
 
 def kpi_run(t: Tables):
-    rows, year = sales(t), F.date_format("OrderDate", "yyyy")
-    rounded = lambda df, key: df.select(
-        F.lit(key).alias("grain"), (F.col(key) if key in df.columns else F.lit(None).cast("string")).alias("grain_key"), "kpi_name", F.round("kpi_value", 2).alias("kpi_value")
-    )
-    return (
-        rounded(metrics.run_kpis(rows, KPIS), "overall")
-        .unionByName(rounded(metrics.run_kpis(rows, KPIS, {"region": F.col("Region")}), "region"))
-        .unionByName(rounded(metrics.run_kpis(rows, KPIS, {"year": year}), "year"))
-        .unionByName(rounded(metrics.run_kpis(rows, KPIS, {"month": F.date_format("OrderDate", "yyyy-MM")}), "month"))
-    )
+    grains = {"region": F.col("Region"), "year": F.date_format("OrderDate", "yyyy"), "month": F.date_format("OrderDate", "yyyy-MM")}
+    return metrics.run_kpis_by_grain(sales(t), KPIS, grains).withColumn("kpi_value", F.round("kpi_value", 2))
 
 
 def hierarchy_levels(t: Tables):
