@@ -146,7 +146,7 @@ def test_url_hand_cases(spark, most):
     assert sorted(map(str, map(tuple, rows))) == sorted(str(plain_verdict(u)) for u in URLS)
 
 
-@pytest.mark.parametrize("bits", [12, 1])
+@pytest.mark.parametrize("bits", [12, 4])
 def test_cascade_is_exact_over_its_universe(spark, monkeypatch, bits):
     """Small filters give many false positives and so several levels; membership stays exact."""
     from ferryload.llm.common import Workspace
