@@ -2,9 +2,13 @@
 
 The cache is a table (content, tokenizer, n_tokens): the SHA-256 of a normalised text, the SHA-256 of the tokenizer's
 file with the settings that change counts, and the count. A call looks up the digests of its texts, encodes each
-missing text once however often it occurs, appends what it has counted, and reads every count from the cache. Texts
-are only moved for digests that are missing; copies are combined before they are shuffled. Cached rows may repeat
-(two jobs at once, or a lost job that is run again): they agree, and one of them is read.
+missing text once however often it occurs, appends what it has counted, and reads every count from the cache.
+
+Digests are counted first. A Bloom filter holds those that occur more than once and those that are cached; it has at
+most MAX_FILTER_BITS, whatever the corpus. A text that it does not hold is surely new and the only one of its kind, so
+it is encoded where it lies. Only the others are shuffled, combined by digest beforehand, and encoded once each if they
+are missing; a fuller filter sends more of them that way and changes no count. Cached rows may repeat (two jobs at
+once, or a lost job that is run again): they agree, and one of them is read.
 """
 
 from __future__ import annotations
@@ -12,16 +16,20 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from ferryload.llm.bloom import HASHES, positions, set_words
 from ferryload.llm.common import Workspace, whole
 from ferryload.session import folder_exists
 
 _CACHE = "content binary, tokenizer string, n_tokens long"
 _SLICE_CHARS = 400_000
+BITS_PER_KEY = 12
+MAX_FILTER_BITS = 1 << 26
 
 
 def load_tokenizer(path: str):
@@ -69,19 +77,43 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
         table = spark.read.schema(_CACHE).parquet(cache) if folder_exists(spark, cache) else spark.createDataFrame([], _CACHE)
         return table.where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
+    body = normalise(whole("text"))
+    content = F.unhex(F.sha2(body.cast("binary"), 256))
+    work = Workspace(spark, "tokencount")
+    often = docs.select(content.alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    often = work.write(often.unionByName(known().select(F.col("content").alias("key"))), "often")
+    bits = min(MAX_FILTER_BITS, max(64, -(-often.count() * BITS_PER_KEY // 64) * 64))
+    words = np.zeros(bits // 64, np.int64)
+    for at, value in set_words(often, 0, bits).items():
+        words[at] = value
+    shared = spark.sparkContext.broadcast(words.view(np.uint64))  # at most MAX_FILTER_BITS / 8 bytes
+
+    def encode_new(frames):
+        tokenizer = load_tokenizer(tokenizer_path)
+        for frame in frames:
+            at = np.array(frame["at"].tolist(), np.int64).reshape(len(frame), HASHES)
+            held = (((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)) == 1).all(axis=1)
+            counts = np.array([None] * len(frame), object)
+            counts[~held] = count_tokens(tokenizer, frame["body"][~held].tolist())
+            yield pd.DataFrame({"content": frame["content"], "n_tokens": pd.array(counts, "Int64"), "body": frame["body"].where(held, None)})
+
     @F.pandas_udf(LongType())
     def counted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = load_tokenizer(tokenizer_path)
         for bodies in parts:
             yield pd.Series(count_tokens(tokenizer, bodies.tolist()), dtype="int64")
 
-    body = normalise(whole("text"))
-    content = F.unhex(F.sha2(body.cast("binary"), 256))
-    missing = docs.select(content.alias("content")).distinct().join(known(), "content", "left_anti")
-    missing = Workspace(spark, "tokencount").write(missing, "missing")
-    texts = docs.select(content.alias("content"), body.alias("body")).groupBy("content").agg(F.first("body").alias("body"))
-    new = texts.join(missing, "content", "left_semi")
-    new.select("content", F.lit(version).alias("tokenizer"), counted("body").alias("n_tokens")).write.mode("append").parquet(cache)
+    def append(rows: DataFrame) -> None:
+        rows.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+
+    place = F.array(*positions(F.col("content"), 0, bits))
+    texts = docs.select(content.alias("content"), body.alias("body")).select("content", "body", place.alias("at"))
+    parted = work.write(texts.mapInPandas(encode_new, "content binary, n_tokens long, body string"), "parted")
+    rest = parted.where("n_tokens is null")
+    missing = work.write(rest.select("content").distinct().join(known(), "content", "left_anti"), "missing")
+    once = rest.groupBy("content").agg(F.first("body").alias("body")).join(missing, "content", "left_semi")
+    append(parted.where("n_tokens is not null"))
+    append(once.select("content", counted("body").alias("n_tokens")))
 
     rows = docs.select("doc_id", F.octet_length(whole("text")).cast("long").alias("n_bytes"), content.alias("content"))
     return rows.join(known(), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -14,10 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferryload.llm.bloom import positions, set_words
 from ferryload.llm.common import Workspace, ascii_lower
 
 BITS_PER_KEY = 12
-HASHES = 6
 MAX_FILTER_BYTES = 16 << 20
 MAX_LEVELS = 64
 
@@ -62,17 +62,10 @@ class Level:
         return out
 
 
-def positions(key: Column, level: int, bits: int) -> list[Column]:
-    first, second = F.pmod(F.xxhash64(key, F.lit(2 * level)), F.lit(bits)), F.pmod(F.xxhash64(key, F.lit(2 * level + 1)), F.lit(bits - 1)) + 1
-    return [F.pmod(first + F.lit(i) * second, F.lit(bits)) for i in range(HASHES)]
-
-
 def build_level(keys: DataFrame, number: int, count: int) -> Level:
     """The filter of ``keys`` (key): bits are set by an aggregate per word, so the result has at most bits / 64 rows."""
     bits = max(64, -(-count * BITS_PER_KEY // 64) * 64)
-    at = keys.select(F.explode(F.array(*positions(F.col("key"), number, bits))).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("set"))
-    return Level(number, bits, {r["word"]: r["set"] for r in words.collect()})
+    return Level(number, bits, set_words(keys, number, bits))
 
 
 def listed_by(levels: list[Level], key: Column) -> Column:
