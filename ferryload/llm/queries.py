@@ -76,6 +76,18 @@ ORACLE = {
                CASE {" ".join(f"WHEN {_FITS.format(h, p)} THEN '{v}'" for v, h, p in _RULE_CASES)}
                     WHEN regexp_matches(host, '(^|[.-])({"|".join(urls.LISTED_WORDS)})([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict
         FROM parts""",
+    "op4_near_copies": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM t),
+        each AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+        links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM each a JOIN each b ON a.g = b.g AND a.doc_id < b.doc_id
+                  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT a, b FROM ends UNION SELECT reach.a, ends.b FROM reach JOIN ends ON reach.b = ends.a),
+        least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept
+        FROM sets LEFT JOIN least ON doc_id = a""",
     "op8_exact_copies": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents)
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
