@@ -2,7 +2,8 @@
 
 Every text is read once for its statistics. The forest is grown from a bounded sample of labelled rows: `trees` times
 `sample` of them (100 x 256 by default, documented bounds), the classical size at which more rows add nothing. Its
-anomaly score is 2^(-mean path length / expected path length). The threshold is calibrated on all labelled rows: the
+anomaly score is 2^(-mean path length / expected path length). It looks at the shape of the words; repeats are judged by the
+base rule, and repeated boilerplate in clean texts must not make them odd. The threshold is calibrated on all labelled rows: the
 lowest score that rejects at most `clean_loss` of the rows labelled good, read from a histogram of scores that Spark
 counts.
 """
@@ -23,8 +24,10 @@ from ferryload.llm.common import Workspace, WordHashes, window_hashes
 
 BLANKS = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits"]
-SHARES = ["word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper"]
+SHARES = ["word_length", "symbol_share", "upper_share"]
+#: Statistics are rounded to these steps: ordinary texts then look alike, and only real departures are split off early.
+STEPS = {"word_length": 2.0, "symbol_share": 0.05, "upper_share": 0.2}
 _COUNTS = StructType([StructField("doc_id", LongType())] + [StructField(c, LongType()) for c in COUNTS])
 
 
@@ -34,20 +37,19 @@ class Forest:
 
     trees: int = 100
     sample: int = 256
-    clean_loss: float = 0.002
+    clean_loss: float = 0.003
     bins: int = 10_000
     seed: int = 11
 
 
 def statistics(text: str | None, hashes: WordHashes) -> tuple[int, ...]:
-    """COUNTS of one text. A word is a run without ASCII blanks; a line has a word."""
+    """COUNTS of one text. A word is a run without ASCII blanks; a line counts if it has a word."""
     text = text or ""
     words = text.encode("utf-8", "surrogatepass").split()
     n = len(words)
-    seen, copies, lines = set(), 0, 0
+    seen, copies = set(), 0
     for line in text.split("\n"):
         if line.strip(BLANKS):
-            lines += 1
             copies += line in seen
             seen.add(line)
     repeated = 0
@@ -61,8 +63,7 @@ def statistics(text: str | None, hashes: WordHashes) -> tuple[int, ...]:
     letters = Counter(text)
     blanks, symbols = sum(letters[c] for c in BLANKS), sum(letters[c] for c in SYMBOLS)
     upper = sum(k for c, k in letters.items() if c.isupper())
-    digits = sum(letters[c] for c in "0123456789")
-    return n, len(text) - blanks, symbols, copies, repeated, lines, upper, digits
+    return n, len(text) - blanks, symbols, copies, repeated, upper
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -77,12 +78,10 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def shares(counts: DataFrame) -> DataFrame:
-    """Adds SHARES, which do not grow with a text's length; all 0 for a text without words."""
-    part = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
-    return counts.withColumns({
-        "word_length": part("word_chars", "n_words"), "symbol_share": part("n_symbols", "word_chars"),
-        "dup_line_share": part("n_dup_lines", "n_lines"), "repeat_share": part("n_repeat_words", "n_words"),
-        "upper_share": part("n_upper", "word_chars"), "digit_share": part("n_digits", "word_chars")})
+    """Adds SHARES, rounded, which do not grow with a text's length; all 0 for a text without words."""
+    parts = {"word_length": ("word_chars", "n_words"), "symbol_share": ("n_symbols", "word_chars"), "upper_share": ("n_upper", "word_chars")}
+    share = {name: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0)) for name, (a, b) in parts.items()}
+    return counts.withColumns({name: F.round(share[name] / step) * step for name, step in STEPS.items()})
 
 
 def expected_path(n: int) -> float:
