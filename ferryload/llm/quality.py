@@ -154,12 +154,12 @@ def quality(docs: DataFrame, labels: DataFrame, how: Forest = Forest()) -> DataF
     table = table.withColumn("anomaly", scored(F.struct(*SHARES)))
     binned = judged.where("good = 1").select(F.floor(scored(F.struct(*SHARES)) * how.bins).cast("int").alias("bin"))
     counts = sorted((r["bin"], r["count"]) for r in binned.groupBy("bin").count().collect())
-    threshold, loss = 1.0, how.clean_loss * sum(n for _, n in counts)
+    threshold, loss = 0.0, how.clean_loss * sum(n for _, n in counts)
     for at, n in reversed(counts):
         loss -= n
-        if loss < 0:
+        if loss < 0:  # this bin stays whole
+            threshold = (at + 1) / how.bins
             break
-        threshold = at / how.bins
     kept = ~failed & (F.col("anomaly") < threshold if counts else F.lit(True))
     return table.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                         failed.alias("base_failed"), "anomaly", kept.alias("kept"))
