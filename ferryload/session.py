@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "ferryload") -> SparkSession:
+def local_session(
+    cores: str = "8", shuffle_partitions: int = 8, app: str = "ferryload", checkpoint_dir: str | None = None
+) -> SparkSession:
     """Session for tests and the bench. On a cluster the caller's session is used as it is."""
+    builder = SparkSession.builder
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")

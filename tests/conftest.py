@@ -8,10 +8,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from ferryload.session import local_session
 
-    session = local_session(cores="8", shuffle_partitions=8, app="tests")
+    session = local_session(cores="8", shuffle_partitions=8, app="tests", checkpoint_dir=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     return session
 
