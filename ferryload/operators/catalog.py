@@ -115,12 +115,19 @@ STEPS_PER_ROUND = 3
 
 
 def circular_relationships(edges: DataFrame) -> DataFrame:
-    """Every edge ``(src, dst)`` with ``is_circular``: the end can reach the start again.
+    """Every edge ``(src, dst)`` with ``is_circular``: the end can reach the start again. With an ``app_id``, nodes of
+    different apps are different nodes, and the result has it, too.
 
     An edge lies on a cycle when both ends are in the same strongly connected part of
     the graph. Parts are found with a label per node, so the work per round is a few
     passes over the edges; reachable pairs are never listed. Each round is checkpointed.
     """
+    if "app_id" in edges.columns:
+        inside = lambda c: F.when(F.col(c).isNotNull(), F.to_json(F.struct("app_id", F.col(c).cast("string").alias("node"))))
+        marked = circular_relationships(edges.select(inside("src").alias("src"), inside("dst").alias("dst")))
+        part = lambda c, name: F.get_json_object(c, f"$.{name}")
+        return marked.select(F.coalesce(part("src", "app_id"), part("dst", "app_id")).alias("app_id"), part("src", "node").alias("src"),
+                             part("dst", "node").alias("dst"), "is_circular")
     # The ends are compared within this job only, so text is a common type for all of them.
     all_edges = cut_lineage(
         edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
@@ -200,16 +207,18 @@ def _spread_largest(links: DataFrame, labels: DataFrame) -> DataFrame:
 # --- expressions and lineage ------------------------------------------------------
 
 def expression_fields(expressions: DataFrame, fields: DataFrame, key: str = "expression_id") -> DataFrame:
-    """Fields an expression names in brackets or as whole words.
+    """Fields an expression names in brackets or as whole words; ``is_known`` is false for a name in brackets that is no
+    field, so that broken references can be found. With an ``app_id`` on both sides, names are looked up within the app.
 
     Candidate names are cut out of the text and matched by an equi-join, so the cost
     does not grow with expressions × fields. Names of several words are met by
     word sequences as long as the longest field name.
     """
-    names = fields.select("field_name").where("field_name <> ''").distinct()
+    app = ["app_id"] if "app_id" in expressions.columns and "app_id" in fields.columns else []
+    names = fields.select(*app, "field_name").where("field_name <> ''").distinct()
     pieces_of = lambda c: F.regexp_extract_all(c, F.lit(r"((?U)\w+|(?U)\W+)"), F.lit(1))
     longest = names.agg(F.max(F.size(pieces_of(F.col("field_name"))))).first()[0] or 1
-    rows = expressions.select(key, "expression").withColumn("__p", pieces_of(F.col("expression")))
+    rows = expressions.select(*app, key, "expression").withColumn("__p", pieces_of(F.col("expression")))
     size, positions = F.size("__p"), F.sequence(F.lit(1), F.greatest(F.size("__p"), F.lit(1)))
 
     def sequences(length: int) -> Column:
@@ -221,28 +230,33 @@ def expression_fields(expressions: DataFrame, fields: DataFrame, key: str = "exp
 
     words = F.when(size > 0, F.concat(*[sequences(n) for n in range(1, longest + 1, 2)])).otherwise(F.array().cast("array<string>"))
     brackets = F.regexp_extract_all("expression", F.lit(r"\[(.*?)\]"), F.lit(1))
-    tokens = rows.select(key, F.explode(F.array_distinct(F.concat(words, brackets))).alias("field_name"))
-    return tokens.join(names, "field_name").select(key, "field_name")
+    found = F.explode(F.array_distinct(F.concat(words, brackets))).alias("field_name")
+    tokens = rows.select(*app, key, found, brackets.alias("__b")).withColumn("__b", F.array_contains("__b", F.col("field_name")))
+    looked_up = tokens.join(names.withColumn("is_known", F.lit(True)), [*app, "field_name"], "left").where("is_known OR __b")
+    return looked_up.select(*app, key, "field_name", F.coalesce("is_known", F.lit(False)).alias("is_known"))
 
 
 def lineage_edges(expressions: DataFrame, fields: DataFrame, uses: DataFrame | None = None) -> DataFrame:
     """Object → field → table edges.
 
     ``expressions`` has ``object_id, object_type, expression``; ``fields`` has ``table_name,
-    field_name``; ``uses`` are known ``source, target, edge_type`` links such as a visual
+    field_name``, both with an ``app_id`` where several apps are read; ``uses`` are known ``source, target, edge_type`` links such as a visual
     and its library measures.
     """
     objects = expressions.withColumn("expression_id", F.concat_ws("_", "object_type", "object_id"))
     named = expression_fields(objects, fields)
     node = F.concat(F.lit("fld_"), F.col("table_name"), F.lit("."), F.col("field_name"))
-    located = fields.select("field_name", "table_name").distinct()
-    edge = lambda df, s, t, kind: df.select(s.alias("source"), t.alias("target"), F.lit(kind).alias("edge_type"))
+    app = ["app_id"] if "app_id" in named.columns else []
+    located = fields.select(*app, "field_name", "table_name").distinct()
+    edge = lambda df, s, t, kind: df.select(*app, s.alias("source"), t.alias("target"), F.lit(kind).alias("edge_type"))
+    unknown = F.concat(F.lit("fld_"), "field_name")
     parts = [
-        edge(named.join(located, "field_name"), F.col("expression_id"), node, "uses_field"),
+        edge(named.where("is_known").join(located, [*app, "field_name"]), F.col("expression_id"), node, "uses_field"),
+        edge(named.where("NOT is_known"), F.col("expression_id"), unknown, "uses_field"),
         edge(located, node, F.concat(F.lit("tbl_"), F.col("table_name")), "belongs_to_table"),
     ]
     if uses is not None:
-        parts.append(uses.select("source", "target", "edge_type"))
+        parts.append(uses.select(*app, "source", "target", "edge_type"))
     return reduce(DataFrame.unionByName, parts)
 
 

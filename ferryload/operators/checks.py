@@ -17,11 +17,12 @@ from ferryload.functions.casting import cast_or_null
 
 
 def check_row(check_id: str, check_type: str, expected: Column, actual: Column) -> list[Column]:
-    """The six columns of a check; equal within 1e-9 passes, an unknown expectation stays pending."""
+    """The six columns of a check; equal within 1e-9 passes, an unknown expectation stays pending, and a
+    value that could not be computed (NULL) against a known one is an error."""
     expected, actual = expected.cast("double"), actual.cast("double")
     difference = actual - expected
     status = (
-        F.when(expected.isNull(), "pending")
+        F.when(expected.isNull(), "pending").when(actual.isNull(), "error")
         .when(F.abs(difference) < 1e-9, "passed").otherwise("failed")
     )
     return [
@@ -137,11 +138,11 @@ def union_parity(first: DataFrame, second: DataFrame, result: DataFrame, check_i
 
 
 def load_status(source: DataFrame, loaded: DataFrame) -> DataFrame:
-    """Loaded against source rows."""
+    """Loaded against source rows; a load that brought nothing of a source with rows has failed."""
     match = F.col("loaded_rows") == F.col("source_rows")
     return tagged_counts(source_rows=source, loaded_rows=loaded).select(
         "source_rows", "loaded_rows", match.alias("is_match"),
-        F.when(match, "success").otherwise("completed_with_warnings").alias("status"),
+        F.when(match, "success").when(F.col("loaded_rows") == 0, "failed").otherwise("completed_with_warnings").alias("status"),
     )
 
 
@@ -215,11 +216,12 @@ def cardinality(left: DataFrame, left_key: str, right: DataFrame, right_key: str
 
 
 def island_tables(fields: DataFrame, fact_tables: Column) -> DataFrame:
-    """Q17: tables that share no field with a fact table. ``fact_tables`` marks catalogue rows of facts."""
-    marked = fields.select("table_name", F.lower("field_name").alias("field"), fact_tables.alias("is_fact"))
-    shared = marked.groupBy("field").agg(F.bool_or("is_fact").alias("in_fact"))
-    others = marked.where(~F.col("is_fact")).join(shared, "field")
-    return others.groupBy("table_name").agg(F.bool_or("in_fact").alias("linked")).where(~F.col("linked")).select("table_name")
+    """Q17: tables that share no field with a fact table of their app. ``fact_tables`` marks catalogue rows of facts."""
+    marked = fields.select("app_id", "table_name", F.lower("field_name").alias("field"), fact_tables.alias("is_fact"))
+    shared = marked.groupBy("app_id", "field").agg(F.bool_or("is_fact").alias("in_fact"))
+    others = marked.where(~F.col("is_fact")).join(shared, ["app_id", "field"])
+    linked = others.groupBy("app_id", "table_name").agg(F.bool_or("in_fact").alias("linked"))
+    return linked.where(~F.col("linked")).select("app_id", "table_name")
 
 
 def grain_keys(df: DataFrame, candidates: Sequence[Sequence[str]]) -> DataFrame:

@@ -120,13 +120,13 @@ def trade_cycles(t: Tables):
 def label_edges(t: Tables) -> DataFrame:
     """A link from each navigation label to the next one of its page."""
     labels = F.regexp_extract_all("html", F.lit('<li><a href="/([^"<&]*)"'), F.lit(1))
-    rows = t.pages.select(labels.alias("l")).where(F.size("l") > 1)
+    rows = t.pages.select(F.regexp_extract("url", r"example\.([a-z]+)", 1).alias("app_id"), labels.alias("l")).where(F.size("l") > 1)
     pairs = F.transform(F.slice("l", 2, F.size("l")), lambda name, i: F.struct(F.element_at("l", i + 1).alias("src"), name.alias("dst")))
-    return rows.select(F.explode(pairs).alias("e")).select("e.src", "e.dst")
+    return rows.select("app_id", F.explode(pairs).alias("e")).select("app_id", "e.src", "e.dst")
 
 
 def label_cycles(t: Tables):
-    return catalog.circular_relationships(label_edges(t)).groupBy("src", "dst").agg(
+    return catalog.circular_relationships(label_edges(t)).groupBy("app_id", "src", "dst").agg(
         F.count("*").alias("links"), F.bool_or("is_circular").alias("is_circular")
     )
 
@@ -261,6 +261,7 @@ CLASS = """CASE WHEN contains(x, '{<') THEN 'set_analysis' WHEN regexp_matches(l
 LINEAGE = EXPR + """,
 edges AS (
   SELECT 'meas_' || expression_id AS source, 'fld_' || table_name || '.' || field_name AS target, 'uses_field' AS edge_type FROM refs JOIN targets USING (field_name)
+  UNION ALL SELECT 'meas_' || expression_id, 'fld_Unknown Field', 'uses_field' FROM e WHERE p_size % 6 = 5
   UNION ALL SELECT 'fld_' || table_name || '.' || field_name, 'tbl_' || table_name, 'belongs_to_table' FROM targets
   UNION ALL SELECT 'viz_' || p_brand, 'meas_' || (p_partkey + 7), 'uses_measure' FROM part)"""
 
@@ -293,8 +294,8 @@ ORACLE = {
         FROM f LEFT JOIN s ON f.table_name = s.table_name AND f.field = s.field)
       SELECT field AS field_name, min(st) AS storage_type, count(*) AS uses, count(*) FILTER (st = 'unknown') AS ambiguous_uses, min(st) <> max(st) AS is_inconsistent FROM c GROUP BY 1""",
     "island_tables": f"""
-      WITH {PAGE_FIELDS} SELECT DISTINCT table_name FROM f WHERE page_id % 10 <> 0
-        AND table_name NOT IN (SELECT a.table_name FROM f a JOIN f b ON a.field = b.field WHERE b.page_id % 10 = 0)""",
+      WITH {PAGE_FIELDS} SELECT DISTINCT app_id, table_name FROM f WHERE page_id % 10 <> 0
+        AND table_name NOT IN (SELECT a.table_name FROM f a JOIN f b ON a.field = b.field AND a.app_id = b.app_id WHERE b.page_id % 10 = 0)""",
     "business_names": f"""
       WITH n AS (SELECT p_partkey, regexp_extract_all(lower(replace(replace(p_type || ' ' || p_name || ' ' || p_brand, '-', ' '), '.', ' ')), '[a-z]+|[^a-z]+') AS runs,
           '%lf_' || replace(p_name, ' ', '_') || CASE WHEN p_size > 25 THEN '_budget_qty' ELSE '_mth_yoy' END AS m FROM part),
@@ -306,11 +307,13 @@ ORACLE = {
       WITH RECURSIVE {TRADE}, {REACH}
       SELECT src, dst, EXISTS (SELECT 1 FROM reach r WHERE r.src = edges.dst AND r.dst = edges.src) AS is_circular FROM edges""",
     "label_cycles": f"""
-      WITH RECURSIVE {PAGE_FIELDS}, edges AS (SELECT * FROM (SELECT field_name AS src, lead(field_name) OVER (PARTITION BY table_name ORDER BY position) AS dst FROM f) WHERE dst IS NOT NULL),
-      steps AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), reach AS (SELECT src, dst FROM steps UNION SELECT reach.src, steps.dst FROM reach JOIN steps ON reach.dst = steps.src)
-      SELECT e.src, e.dst, count(*) AS links, bool_or(r.src IS NOT NULL) AS is_circular FROM edges e
-      LEFT JOIN reach r ON r.src = e.dst AND r.dst = e.src GROUP BY 1, 2""",
-    "expression_fields": f"WITH {EXPR} SELECT expression_id, field_name FROM refs",
+      WITH RECURSIVE {PAGE_FIELDS}, edges AS (SELECT * FROM (SELECT app_id, field_name AS src, lead(field_name) OVER (PARTITION BY table_name ORDER BY position) AS dst FROM f) WHERE dst IS NOT NULL),
+      steps AS (SELECT DISTINCT app_id, src, dst FROM edges WHERE src <> dst),
+      reach AS (SELECT app_id, src, dst FROM steps UNION SELECT reach.app_id, reach.src, steps.dst FROM reach JOIN steps ON reach.dst = steps.src AND reach.app_id = steps.app_id)
+      SELECT e.app_id, e.src, e.dst, count(*) AS links, bool_or(r.src IS NOT NULL) AS is_circular FROM edges e
+      LEFT JOIN reach r ON r.app_id = e.app_id AND r.src = e.dst AND r.dst = e.src GROUP BY 1, 2, 3""",
+    "expression_fields": f"""
+      WITH {EXPR} SELECT expression_id, field_name, true AS is_known FROM refs UNION ALL SELECT expression_id, 'Unknown Field', false FROM e WHERE p_size % 6 = 5""",
     "expression_classes": f"""
       WITH {EXPR}, a AS (SELECT p_brand, expression AS x FROM e UNION ALL SELECT lang, text FROM documents)
       SELECT p_brand, {CLASS} AS classification, count(*) AS expressions FROM a GROUP BY 1, 2""",
@@ -323,7 +326,7 @@ ORACLE = {
     "lineage_edges": f"WITH {LINEAGE} SELECT * FROM edges",
     "broken_references": f"""
       WITH {LINEAGE} SELECT * FROM edges
-      WHERE source IN ('viz_Brand#3', 'fld_part.p_size') OR target IN ('fld_part.p_size', 'tbl_words') OR (edge_type = 'uses_measure' AND target NOT IN (SELECT 'meas_' || p_partkey FROM part))""",
+      WHERE source IN ('viz_Brand#3', 'fld_part.p_size') OR target IN ('fld_part.p_size', 'tbl_words', 'fld_Unknown Field') OR (edge_type = 'uses_measure' AND target NOT IN (SELECT 'meas_' || p_partkey FROM part))""",
     "duplicate_ids": """
       SELECT 'app' AS app_id, doc_id AS object_id, count(*) AS uses FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels) GROUP BY 2 HAVING count(*) > 1""",
     "completeness": """

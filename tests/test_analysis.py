@@ -179,3 +179,15 @@ def test_no_dimension_is_cut_off(spark):
     assert len(metrics.kpi_catalog(found, limit=3).first()["dimensions"]) == 3
     regions = spark.createDataFrame([("t", f"region_{i}", i) for i in range(7)], "table_name string, dimension string, position int")
     assert reconcile.major_dimensions(regions).count() == 7
+
+
+def test_apps_share_nothing(spark):
+    edges = spark.createDataFrame([("a", "x", "y"), ("b", "y", "x"), ("c", "x", "y"), ("c", "y", "x")], "app_id string, src string, dst string")
+    assert {(r["app_id"], r["is_circular"]) for r in catalog.circular_relationships(edges).collect()} == {("a", False), ("b", False), ("c", True)}
+    expressions = spark.createDataFrame([("a", 1, "Sum([Sales]) + [Gone]"), ("b", 2, "Sum(Sales)")], "app_id string, expression_id int, expression string")
+    fields = spark.createDataFrame([("a", "t", "Sales"), ("b", "t", "Other")], "app_id string, table_name string, field_name string")
+    found = catalog.expression_fields(expressions, fields).collect()
+    assert {(r["app_id"], r["field_name"], r["is_known"]) for r in found} == {("a", "Sales", True), ("a", "Gone", False)}
+    objects = expressions.withColumnRenamed("expression_id", "object_id").withColumn("object_type", F.lit("meas"))
+    targets = {(r["app_id"], r["target"]) for r in catalog.lineage_edges(objects, fields).where("edge_type = 'uses_field'").collect()}
+    assert targets == {("a", "fld_t.Sales"), ("a", "fld_Gone")}
