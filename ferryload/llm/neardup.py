@@ -26,7 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from ferryload.llm.common import Workspace, WordHashes, mix, whole, window_hashes, words_of
 
@@ -37,7 +37,7 @@ PIVOTS = 256
 BIT_VALUES = 192
 PARITIES = 512
 
-_SKETCH = StructType([StructField("doc_id", LongType()), StructField("n_shingles", LongType()), StructField("fp", BinaryType()),
+_SKETCH = StructType([StructField("doc_id", StringType()), StructField("n_shingles", LongType()), StructField("fp", BinaryType()),
                       StructField("bands", ArrayType(LongType())), StructField("sig", BinaryType()), StructField("bits", ArrayType(LongType()))])
 _SETS = StructType([StructField("fp", BinaryType()), StructField("shingles", BinaryType())])
 
@@ -118,7 +118,7 @@ def _sketches(size: int):
                 values = signature(found, factor, offset)
                 rows.append((len(found), fingerprint(found), band_keys(values), values.astype(np.uint16).tobytes(), low_bits(values, found)))
             out = pd.DataFrame(rows, columns=["n_shingles", "fp", "bands", "sig", "bits"])
-            out.insert(0, "doc_id", frame["doc_id"].array)
+            out.insert(0, "doc_id", frame["doc_id"].to_numpy(object))
             yield out
 
     return run
@@ -207,7 +207,10 @@ def near_groups(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     """
     work = Workspace(docs.sparkSession, "neardup")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_rows = work.write(texts.mapInPandas(_sketches(size), _SKETCH).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    # ids pass through pandas as text: a null among them would turn the others into floating point
+    sketches = texts.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_sketches(size), _SKETCH)
+    sketches = sketches.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.monotonically_increasing_id())
+    all_rows = work.write(sketches, "sketches")
 
     classes = all_rows.where("n_shingles > 0").groupBy("fp").agg(F.min("row").alias("cls"))
     members = work.write(all_rows.select("doc_id", "row", "n_shingles", "fp").join(classes, "fp", "left")

@@ -97,10 +97,11 @@ def packed(docs: DataFrame, how: Bins = Bins()) -> DataFrame:
         out["bin_start"] = places
         return out
 
-    full = table.where("n_tokens > 0").withColumn("grp", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
-    schema = "doc_id long, piece int, start long, n_tokens long, bin_id string, bin_length long, bin_start long"
-    done = full.groupBy("grp").applyInPandas(pack, schema)
-    none = table.where("n_tokens is null").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_tokens"),
+    # ids pass through pandas as text: a null among them would turn the others into floating point
+    full = table.where("n_tokens > 0").withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("grp", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
+    schema = "doc_id string, piece int, start long, n_tokens long, bin_id string, bin_length long, bin_start long"
+    done = full.groupBy("grp").applyInPandas(pack, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
+    none = table.where("n_tokens is null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_tokens"),
                                                   F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("long").alias("bin_length"), F.lit(None).cast("long").alias("bin_start"))
     return done.unionByName(none)
 

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from ferryload.llm.common import Workspace, WordHashes, window_hashes
 
@@ -28,7 +28,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 SHARES = ["word_length", "symbol_share", "upper_share"]
 #: Statistics are rounded to these steps: ordinary texts then look alike, and only real departures are split off early.
 STEPS = {"word_length": 2.0, "symbol_share": 0.05, "upper_share": 0.2}
-_COUNTS = StructType([StructField("doc_id", LongType())] + [StructField(c, LongType()) for c in COUNTS])
+_COUNTS = StructType([StructField("doc_id", StringType())] + [StructField(c, LongType()) for c in COUNTS])
 
 
 @dataclass(frozen=True)
@@ -71,10 +71,12 @@ def counted(docs: DataFrame) -> DataFrame:
         hashes = WordHashes()
         for frame in frames:
             out = pd.DataFrame([statistics(t, hashes) for t in frame["text"]], columns=COUNTS)
-            out.insert(0, "doc_id", frame["doc_id"].array)
+            out.insert(0, "doc_id", frame["doc_id"].to_numpy(object))
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, _COUNTS)
+    # ids pass through pandas as text: a null among them would turn the others into floating point
+    counts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, _COUNTS)
+    return counts.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def shares(counts: DataFrame) -> DataFrame:

@@ -57,6 +57,17 @@ def test_near_hand_cases(spark):
     assert neardup.near_groups(frame(spark, [])).count() == 0
 
 
+def test_large_ids_beside_null_ones(spark):
+    from ferryload.llm import packing, quality
+
+    big = 2**62 + 1
+    rows = frame(spark, wide([(None, "a b"), (big, "c d"), (big + 1, "c d")])).coalesce(1)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for found in (neardup.near_groups(rows), quality.quality(rows, labels), packing.packed(rows), exactdup.exact_groups(rows)):
+        assert {r.doc_id for r in found.collect()} == {None, big, big + 1}
+    assert {r.component_id for r in neardup.near_groups(rows).collect()} == {None, big}
+
+
 def test_near_threshold_is_exact(spark):
     """4 of 5 shingles are exactly 80 percent."""
     rows = [(1, "a b c d e"), (2, "a b c d e f"), (3, "a b c d"), (4, "a b c"), (9, "x y z"), (8, "x y z w")]
