@@ -57,7 +57,7 @@ def test_hot_fact_key_is_split(spark, small_partitions):
 
 def test_ranges_spread_a_hot_key(spark):
     rows = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("at"))
-    cut = ordering._with_ranges(rows, "at", 64)
+    cut = ordering._with_ranges(rows, ["at"], 64)
     largest = cut.groupBy("k", ordering.RANGE).count().agg(F.max("count")).first()[0]
     assert largest < 40_000 / 3 / 32
     same = ordering.row_numbers(rows, ["k"], ["at"], "n").where("k = 0").agg(F.max("n"), F.count_distinct("n")).first()
