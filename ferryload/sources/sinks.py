@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferryload.fixed_values import AUDIT_COLUMNS
 from ferryload.functions.numbers import spark_type, typed
@@ -64,9 +65,16 @@ def typed_rows(files: DataFrame, mapping: Sequence[dict], batch_id: str | None =
     return files.select(*selected)
 
 
+def read_written(spark: SparkSession, path: str) -> DataFrame:
+    """Files of :func:`write_typed`. The batch id is in the folder names; it stays the text it was, ``007`` too."""
+    inferred = spark.read.parquet(path).schema
+    as_text = [T.StructField(f.name, T.StringType()) if f.name.lower() == "_batch_id" else f for f in inferred.fields]
+    return spark.read.schema(T.StructType(as_text)).parquet(path)
+
+
 def typed_load(spark: SparkSession, path: str, table: str, mapping: Sequence[dict]) -> None:
     """INSERT … SELECT CAST … from a Parquet path; a projection only, no shuffle."""
-    rows = typed_rows(spark.read.parquet(path), mapping)
+    rows = typed_rows(read_written(spark, path), mapping)
     rows.select(*spark.table(table).columns).write.insertInto(table)
 
 

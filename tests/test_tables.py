@@ -206,3 +206,10 @@ def test_grain_and_bridge_joins_refuse_repeated_keys(spark):
         joins.grain_join(left, right, ["k"])
     with pytest.raises(ValueError, match="bridge"):
         joins.bridge_join(left, right, spark.createDataFrame([("a", 1)], "v string, x int"))
+
+
+def test_batch_ids_survive_writing_and_reading(spark, tmp_path):
+    df = spark.createDataFrame([(1, "007"), (2, "2024-01-01"), (3, "1e5")], "id int, _batch_id string")
+    for row in df.collect():
+        sinks.write_typed(df.where(F.col("id") == row["id"]), str(tmp_path), "t")
+    assert {tuple(r) for r in sinks.read_written(spark, str(tmp_path / "t")).select("id", "_batch_id").collect()} == {(1, "007"), (2, "2024-01-01"), (3, "1e5")}
