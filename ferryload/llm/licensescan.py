@@ -1,9 +1,10 @@
 """License scans by ordered signature rules.
 
 A text becomes its words, lower-cased and joined by single blanks. Rules are regexes over that, written out from a
-table of license families: a tag, a versioned name, a phrase of grant, a bare name. A text without any of a few
-license words is passed by; in the others a rule is tried only if its keyword is among the words. Detections that
-lie inside a detection of equal or higher priority are suppressed, in one pass over them in the order of their places.
+table of license families: a tag, a versioned name, a phrase of grant, a bare name. Every rule has a keyword, a word
+that its matches cannot lack, and is tried on the texts that have it; nothing else passes a text by. Short names with
+their version in one word ('gplv3', 'lgpl2.1') have rules of their own. Detections that lie inside a detection of equal
+or higher priority are suppressed, in one pass over them in the order of their places.
 
 Everything is one projection of built-in functions: no shuffle, no Python.
 """
@@ -21,9 +22,6 @@ from ferryload.llm.spans import places
 # The given phrases and their labels.
 BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 
-# A text that has none of these has no detection.
-TRIGGERS = ["license", "licence", "licens", "copyright", "cc by", "cc0", "spdx", "public domain", "creative commons", "copyleft", "gnu "]
-
 # label, keyword, name as words (regex), versions
 FAMILIES = [
     ("gpl", "gpl", "gpl", ["1", "2", "3"]),
@@ -107,6 +105,9 @@ WEIGHTS = {TAG: 1.0, VERSIONED: 0.95, GRANT: 0.9, BARE: 0.7}
 BASE_WEIGHT = 0.8
 
 
+GRANTED = "(?:licensed|released|distributed|available|published) under (?:the |a )?(?:terms of (?:the )?)?"
+
+
 def rules() -> list[tuple[str, str, int, str]]:
     """(keyword, pattern, priority, label), strongest first; priority 0 is the strongest."""
     out = []
@@ -116,8 +117,14 @@ def rules() -> list[tuple[str, str, int, str]]:
             known = f"{label}-{version.replace(' clause', '').replace(' ', '.')}"
             out.append((keyword, f"spdx license identifier {name} {number}", TAG, known))
             out.append((keyword, f"{name}(?: international| unported| licen[sc]e)?(?: version| v)? v?{number}", VERSIONED, known))
+            if name.isalnum():  # the version follows without a blank
+                for glue in ["v"] if name[-1].isdigit() else ["v", ""]:
+                    glued = f"{name}{glue}{version.split(' ')[0]}"
+                    out.append((glued, f"spdx license identifier {name}{glue}{number}", TAG, known))
+                    out.append((glued, f"{name}{glue}{number}", VERSIONED, known))
+                    out.append((glued, f"{GRANTED}{name}{glue}{number}", GRANT, label))
         out.append((keyword, f"spdx license identifier {name}", TAG, label))
-        out.append((keyword, f"(?:licensed|released|distributed|available|published) under (?:the |a )?(?:terms of (?:the )?)?{name}", GRANT, label))
+        out.append((keyword, f"{GRANTED}{name}", GRANT, label))
         out.append((keyword, name, BARE, label))
     out += [(keyword, pattern, GRANT, label) for label, keyword, pattern in PHRASES]
     return sorted(((k, rf"(?<= )(?:{p})(?= )", priority, label) for k, p, priority, label in out), key=lambda r: r[2])
@@ -141,14 +148,17 @@ def base_starts(words: Column, phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
 
 
-def detections(line: Column, words: Column, table: list[tuple[str, str, int, str]]) -> Column:
-    """All matches of the rules whose keyword is among the words: struct (start, back, priority, label); back is -end."""
+def keywords(table: list[tuple[str, str, int, str]]) -> list[str]:
+    return sorted({keyword for keyword, *_ in table})
+
+
+def detections(line: Column, hits: Column, table: list[tuple[str, str, int, str]]) -> Column:
+    """All matches of the rules with these keywords: struct (start, back, priority, label); back is -end."""
     # one literal that the optimizer folds into a map once, rather than thousands of expressions
     by_keyword: dict[str, list] = {}
     for keyword, pattern, priority, label in table:
         by_keyword.setdefault(keyword, []).append({"pattern": pattern, "priority": priority, "label": label})
     known = F.from_json(F.lit(json.dumps(by_keyword)), "map<string,array<struct<pattern:string,priority:int,label:string>>>")
-    hits = F.array_intersect(words, F.split(F.lit(" ".join(sorted(by_keyword))), " "))
     tried = F.filter(F.flatten(F.transform(hits, lambda k: F.element_at(known, k))), lambda r: F.rlike(line, r["pattern"]))
     found = F.transform(tried, lambda r: F.transform(places(line, r["pattern"]), lambda p: F.struct(
         p["start"].alias("start"), (-p["end"]).alias("back"), r["priority"].alias("priority"), r["label"].alias("label"))))
@@ -181,16 +191,15 @@ def licenses(docs: DataFrame) -> DataFrame:
     are not looked at.
     """
     rows = docs.select("doc_id", normalised(whole("text")).alias("joined"))
-    triggered = F.lit(False)
-    for word in TRIGGERS + [phrase for phrase, _ in BASE]:
-        triggered = triggered | F.col("joined").contains(word)
     n_words = F.when(F.col("joined") == "", 0).otherwise(F.length("joined") - F.length(F.replace("joined", F.lit(" "))) + 1)
-    rows = rows.select("doc_id", n_words.cast("long").alias("n_words"), F.when(triggered, F.col("joined")).alias("joined"))
+    table = rules()
+    rows = rows.select("doc_id", n_words.cast("long").alias("n_words"), "joined")
     rows = rows.withColumn("words", F.split("joined", " "))
+    rows = rows.withColumn("hits", F.array_intersect("words", F.split(F.lit(" ".join(keywords(table))), " ")))
     line = F.concat(F.lit(" "), F.col("joined"), F.lit(" "))
     starts = [F.when(F.col("joined").contains(phrase), base_starts(F.col("words"), phrase)) for phrase, _ in BASE]
     rows = rows.select("doc_id", "n_words", F.array(*[F.coalesce(s, F.array().cast("array<int>")) for s in starts]).alias("starts"),
-                       F.when(F.col("joined").isNotNull(), unsuppressed(detections(line, F.col("words"), rules()))).alias("found"))
+                       F.when(F.size("hits") > 0, unsuppressed(detections(line, F.col("hits"), table))).alias("found"))
     labels = F.array_compact(F.array(*[F.when(F.size(F.get("starts", F.lit(i))) > 0, F.lit(label)) for i, (_, label) in enumerate(BASE)]))
     rows = rows.withColumns({"base": labels, "at": F.flatten("starts"), "found": F.coalesce("found", F.array().cast("array<struct<priority:int,label:string>>"))})
     own = F.transform("found", lambda d: d["label"])

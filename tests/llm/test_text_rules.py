@@ -89,6 +89,29 @@ def test_every_license_rule_is_reachable(spark):
         assert keyword in plain.split() or keyword in ("licence",), (keyword, plain)
 
 
+def test_every_license_rule_labels_its_own_text(spark):
+    """Each rule's text alone goes through the scan, with no other license word around it."""
+    import re
+
+    table, plains = licensescan.rules(), []
+    for _, pattern, _, _ in table:
+        plain = pattern.removeprefix("(?<= )(?:").removesuffix(")(?= )").replace("licen[sc]e", "license").replace("[0-9]{2}", "24")
+        while (less := re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", plain)) != plain:
+            plain = less
+        plains.append(re.sub(r"(?<=[ v])v\?|\b(\w)\?|(?<= )\?", "", plain))
+    rows = {r.doc_id: r.labels.split(",") for r in licensescan.licenses(frame(spark, [f"so {p} it" for p in plains])).collect()}
+    assert [(plains[i], label, rows[i]) for i, (*_, label) in enumerate(table) if label not in rows[i]] == []
+
+
+def test_license_texts_without_the_word_license(spark):
+    cases = ["All rights reserved.", "Proprietary and confidential", "Redistribution and use in source and binary forms, with or without modification",
+             "Permission is hereby granted, free of charge, to any person obtaining a copy", "released under the GPL 3", "MPL 2.0", "WTFPL", "AGPL-3.0",
+             "GPLv3", "uses LGPLv2.1 code", "released under the gpl3", "agplv3+", "gplv9 rights open permission"]
+    rows = {r.doc_id: r.labels for r in licensescan.licenses(frame(spark, cases)).collect()}
+    assert [rows[i] for i in range(len(cases))] == ["proprietary", "proprietary", "bsd", "mit", "gpl,gpl-3", "mpl-2", "wtfpl", "agpl-3",
+                                                    "gpl-3", "lgpl-2.1", "gpl,gpl-3", "agpl-3", ""]
+
+
 def test_empty_tables(spark):
     none = frame(spark, []).select("doc_id", "text")
     assert secretscan.secrets(none).count() == 0 and licensescan.licenses(none).count() == 0
