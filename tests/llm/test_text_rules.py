@@ -147,6 +147,34 @@ def test_isolation_forest_finds_the_odd_row():
     assert list(quality.anomaly([], rows[:2], 2)) == [0, 0]
 
 
+def test_quality_scores_see_every_statistic(spark):
+    """Duplicate lines, repeats, digits, a few symbols and a few capitals each make a text odder than the same text without."""
+    chance = np.random.default_rng(5)
+    word = lambda: "".join(chance.choice(list("abcdefgh"), 5))
+    prose = lambda n=40: [" ".join(word() for _ in range(6)) for _ in range(n)]
+    clean = [prose(int(chance.integers(30, 50))) for _ in range(120)]
+    clean[0] = clean[0][:30] + clean[0][:3]
+    clean[1][0] += " 1234567"
+    junk = [[" ".join("#" * int(chance.integers(2, 5)) + word() for _ in range(6)).upper() for _ in range(40)] for _ in range(30)]
+    plain = prose()
+    odd = [plain[:24] + plain[:8] + plain[:8], [" ".join(x.split()[:5] + ["12345"]) for x in plain], [x[:-1] + "#" for x in plain[:16]] + plain[16:],
+           [x.capitalize() for x in plain]]
+    texts = ["\n".join(x) for x in [*clean, *junk, plain, *odd]]
+    labels = spark.createDataFrame([(i, int(i < 120), 0) for i in range(150)], "doc_id long, quality int, toxic int")
+    rows = {r.doc_id: r for r in quality.quality(frame(spark, texts), labels).collect()}
+    assert [rows[i].anomaly > rows[150].anomaly for i in range(151, 155)] == [True] * 4
+    assert rows[150].kept and not any(rows[i].kept for i in range(120, 150))
+
+
+def test_quality_threshold_weighs_both_labels():
+    how = quality.Forest(clean_loss=0.1, bins=10)
+    assert quality.calibrated({2: 19, 8: 1}, {9: 10}, how) == 0.9  # all junk without loss
+    assert quality.calibrated({2: 19, 8: 1}, {7: 10}, how) == 0.3  # one good row lost
+    assert quality.calibrated({2: 19, 8: 1}, {1: 10}, how) == 0.9  # none to gain
+    assert quality.calibrated({2: 19, 8: 1}, {}, how) == 0.3  # good labels only
+    assert quality.calibrated({}, {}, how) == 0.0
+
+
 URLS = ["http://Example.COM/en/1?x#y", "https://www.example.com/en/", "http://a.www.example.com/en/x", "https://b.net/es/q", "https://b.net/de/q", "http://spam-farm.example.org",
         "http://spam-farm.example.com", "http://xcom/en/", None, "", "no scheme", "://host?q/a", "http://net/fr/", "http://x.com", "http://x.com/", "http://example.com/EN/",
         "http://casino.net/de/", "http://É.net/fr/z", "x://y://z.net/es/", "http://free-bets.example.net?u=/es/"]
