@@ -2,10 +2,10 @@
 
 Documents fall into cells (source, language, topic). Spark sums the tokens of each cell. Raking multiplies the cells by
 target / actual of one marginal after the other until all marginals agree, which gives every cell the token weight it
-should have. A document of a cell is then drawn with probability scale * weight / tokens of its cell: the sample has
-the targets as its expected token shares. `scale` is the largest that keeps the probabilities at or below 1, but at
-least `least_keep` of the tokens are drawn: if that asks for more than a scarce cell has, its probability is cut at 1
-(all of it is drawn) and the other cells make up for the rest in proportion.
+should have. A document of a cell is drawn with a probability of at most 1: the cells are raked again for the wanted
+number of tokens with that bound inside the rounds, so a scarce cell is taken whole and the others of its categories make
+up for it. The number is the largest at which all marginals are met (to `most_miss`), so the sample has the targets as its
+expected token shares. `least_keep` may ask for more tokens: scarce categories are then taken whole and miss their targets.
 
 The cell table is small by construction: a marginal has the categories that its target names and one for all others,
 so it has at most (sources + 1) * (languages + 1) * (topics + 1) rows whatever the corpus. Targets that are taken from
@@ -29,11 +29,13 @@ MARGINS = ["source", "lang", "topic"]
 @dataclass(frozen=True)
 class Mix:
     """smoothing: targets taken from data are proportional to tokens ** smoothing. keep: expected share of all tokens
-    that is drawn; None draws as many as the targets allow without cutting, but at least `least_keep`."""
+    that is drawn; None draws as many as the targets allow, with a miss of at most `most_miss` in any category's share of
+    the drawn tokens, but at least `least_keep`, for which targets are missed by more."""
 
     smoothing: float = 0.7
     keep: float | None = None
     least_keep: float = 0.75
+    most_miss: float = 1e-8
     most_categories: int = 256
     rounds: int = 500
     tolerance: float = 1e-10
@@ -107,24 +109,82 @@ def rake(cells: np.ndarray, shares: list[np.ndarray], rounds: int, tolerance: fl
     return weights
 
 
-def probabilities(cells: np.ndarray, weights: np.ndarray, how: Mix) -> np.ndarray:
-    """Chance of a document of each cell: proportional to weight / tokens, cut at 1, with the wanted expected total."""
-    total = cells.sum()
-    ratio = np.divide(weights * total, cells, out=np.zeros_like(weights), where=cells > 0)
-    if not ratio.any():
-        return ratio
-    keep = how.keep if how.keep is not None else max(how.least_keep, 1 / ratio.max())
-    chance = np.minimum(1.0, ratio * keep)
-    for _ in range(100):  # what is cut at 1 is made up by the cells below 1
-        short = keep * total - (chance * cells).sum()
-        below = (chance < 1) & (ratio > 0)
-        room = (chance * cells)[below].sum()
+def _filled(wanted: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Wanted tokens per category, none above what is there; the others get the rest in proportion."""
+    out, total = np.minimum(wanted, there), wanted.sum()
+    for _ in range(len(wanted)):
+        short, below = total - out.sum(), (out < there) & (wanted > 0)
+        if short <= 1e-12 * total or not below.any():
+            break
+        out[below] = np.minimum(there[below], out[below] * (1 + short / out[below].sum()))
+    return out
+
+
+def bounded(tokens: np.ndarray, at: tuple[np.ndarray, ...], weights: np.ndarray, keep: float, how: Mix) -> tuple[np.ndarray, float]:
+    """Chances of cells (tokens, category per margin) for a share ``keep`` of all tokens with the marginals of the weights, raked
+    with the bound of 1 inside the rounds: cells that are cut stay at 1 and the others of their category make up for
+    them. Also the largest miss of a marginal's category, as a share of the drawn tokens."""
+    total = tokens.sum()
+    there = [np.bincount(i, tokens) for i in at]
+    wanted = [np.bincount(i, weights) * keep * total for i in at]
+    goals = [_filled(w, t) for w, t in zip(wanted, there)]
+    start = ratio = weights * keep * total / tokens
+    drawn = lambda i: np.bincount(i, np.minimum(1.0, ratio) * tokens)
+    for _ in range(how.rounds):
+        worst = 0.0
+        for i, goal in zip(at, goals):
+            now, free = drawn(i), np.bincount(i, np.where(ratio < 1, ratio, 0.0) * tokens)
+            worst = max(worst, float(np.abs(now - goal).max()))
+            less = np.divide(goal, now, out=np.ones_like(now), where=now > 0)
+            more = 1 + np.divide(goal - now, free, out=np.zeros_like(now), where=free > 0)
+            ratio = np.clip(ratio * np.where(now > goal, less, more)[i], start / 1e6, start * 1e6)  # finite if goals conflict
+        if worst <= how.tolerance * keep * total:
+            break
+    miss = max(float(np.abs(drawn(i) - w).max()) for i, w in zip(at, wanted)) / (keep * total)
+    return np.minimum(1.0, ratio), miss
+
+
+def chances(tokens: np.ndarray, at: tuple[np.ndarray, ...], weights: np.ndarray, how: Mix) -> np.ndarray:
+    """Chance of a document of each cell. Without ``how.keep`` the share that is drawn is the largest, to a thousandth, at
+    which no marginal misses its share by more than ``most_miss``, and ``least_keep`` at least; beyond it they are met as far
+    as the cells allow."""
+    total = tokens.sum()
+    if not weights.any():
+        return np.zeros(len(tokens))
+    if how.keep is not None:
+        keep = how.keep
+    else:
+        keep = low = float(min(1.0, 1 / (weights * total / tokens).max()))  # no cell is cut
+        high = 1.0
+        if high > how.least_keep:
+            ask = high
+            while high - low > 0.001 * high:
+                if bounded(tokens, at, weights, ask, how)[1] <= how.most_miss:
+                    keep = low = ask
+                else:
+                    high = ask
+                ask = (low + high) / 2
+        keep = max(keep, how.least_keep)
+    chance, _ = bounded(tokens, at, weights, keep, how)
+    chance = chance * min(1.0, keep * total / max((chance * tokens).sum(), 1e-9))
+    for _ in range(100):  # cells below 1 make up for what the marginals left open
+        short = keep * total - (chance * tokens).sum()
+        below = (chance < 1) & (weights > 0)
+        room = (chance * tokens)[below].sum()
         if short <= 1e-9 * total or not room:
             break
         chance[below] = np.minimum(1.0, chance[below] * (1 + short / room))
     return chance
 
 
+def probabilities(cells: np.ndarray, weights: np.ndarray, how: Mix) -> np.ndarray:
+    """Chances as an array like ``cells``; 0 for cells without tokens."""
+    out, at = np.zeros(cells.shape), np.nonzero(cells)
+    if len(at[0]):
+        out[at] = chances(cells[at], at, weights[at], how)
+    return out
+
+
 def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, how: Mix = Mix()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source, lang): doc_id, source, lang, topic, n_tokens, weight, probability, kept.
 

@@ -16,7 +16,7 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mixed(_table(spark, folder, "documents"))
+    return mixing.mixed(_table(spark, folder, "documents"), how=mixing.Mix(least_keep=0.0, most_miss=0.001))
 
 
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:

@@ -96,6 +96,25 @@ def test_mixing_draws_the_targets(spark):
     assert rows.where("kept").select("doc_id").collect() == rows.where("kept").select("doc_id").collect()
 
 
+def test_bounded_raking_meets_the_marginals_beyond_the_first_cut():
+    """One scarce cell cuts the draw without bounded raking; the other cells of its categories make up for it."""
+    cells = np.array([[[1.0], [500.0]], [[500.0], [500.0]]])
+    weights = mixing.rake(cells, [np.array([0.5, 0.5]), np.array([0.5, 0.5]), np.ones(1)], 500, 1e-12)
+    chance = mixing.probabilities(cells, weights, mixing.Mix(least_keep=0.0))
+    drawn = chance * cells
+    assert drawn.sum() / cells.sum() > 1.01 / (weights * cells.sum() / cells).max() and chance.max() <= 1
+    assert np.allclose(drawn.sum(axis=(1, 2)) / drawn.sum(), 0.5, atol=1e-6) and np.allclose(drawn.sum(axis=(0, 2)) / drawn.sum(), 0.5, atol=1e-6)
+
+
+def test_mixing_query_draws_its_targets(spark):
+    rows = queries.op2_mixing(spark, MORE)
+    total, drawn = rows.agg(F.sum("n_tokens"), F.sum(F.col("probability") * F.col("n_tokens"))).first()
+    for margin in mixing.MARGINS:
+        sums = rows.groupBy(margin).agg(F.sum("n_tokens").alias("n"), F.sum(F.col("probability") * F.col("n_tokens")).alias("drawn")).where("n > 0").collect()
+        smooth = sum(r.n**0.7 for r in sums)
+        assert all(abs(r.drawn / drawn - r.n**0.7 / smooth) < 0.0015 for r in sums)
+
+
 def test_mixing_hand_cases(spark):
     found = mixing.mixed(rows_of(spark, HAND))
     assert found.count() == len(HAND) and found.where("kept is null or probability is null or weight is null").count() == 0
