@@ -7,9 +7,9 @@ number of tokens with that bound inside the rounds, so a scarce cell is taken wh
 up for it. The number is the largest at which all marginals are met (to `most_miss`), so the sample has the targets as its
 expected token shares. `least_keep` may ask for more tokens: scarce categories are then taken whole and miss their targets.
 
-The cell table is small by construction: a marginal has the categories that its target names and one for all others,
-so it has at most (sources + 1) * (languages + 1) * (topics + 1) rows whatever the corpus. Targets that are taken from
-the data name at most `most_categories`.
+Every category of the data is a category of its marginal, with a target of its own; given targets may leave some to
+"(other)". Only cells that have tokens are held: they are summed in Spark and raked on the driver, whose memory grows
+with their number (some hundred bytes a cell), not with the documents.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from ferryload.llm.common import SPACE_PATTERN, Workspace, whole
 
 OTHER = "(other)"
+#: Cells up to which their rates are broadcast; beyond, Spark chooses the join.
+SMALL_TABLE = 100_000
 MARGINS = ["source", "lang", "topic"]
 
 
@@ -36,7 +38,6 @@ class Mix:
     keep: float | None = None
     least_keep: float = 0.75
     most_miss: float = 1e-8
-    most_categories: int = 256
     rounds: int = 500
     tolerance: float = 1e-10
     seed: int = 5
@@ -63,21 +64,6 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", missing("source"), missing("lang"), topic_of(text).alias("topic"), token_count(text).alias("n_tokens"))
 
 
-def smoothed_targets(rows: DataFrame, how: Mix) -> dict[str, dict[str, float]]:
-    """Targets proportional to tokens ** smoothing; the categories beyond the largest `most_categories` share one."""
-    targets = {}
-    for margin in MARGINS:
-        sums = rows.groupBy(margin).agg(F.sum("n_tokens").alias("tokens"))
-        largest = sums.orderBy(F.desc("tokens"), margin).limit(how.most_categories).collect()
-        total = sums.agg(F.sum("tokens")).first()[0] or 0
-        named = {r[margin]: r["tokens"] for r in largest}
-        named[OTHER] = max(0, total - sum(named.values()))
-        shares = {k: v**how.smoothing for k, v in named.items() if v > 0}
-        whole_share = sum(shares.values())
-        targets[margin] = {k: v / whole_share for k, v in shares.items()}
-    return targets
-
-
 def folded(rows: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
     """Categories without a target of their own become OTHER."""
     out = rows
@@ -87,28 +73,35 @@ def folded(rows: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
     return out
 
 
-def rake(cells: np.ndarray, shares: list[np.ndarray], rounds: int, tolerance: float) -> np.ndarray:
-    """Cell weights of total 1 with the given marginals, as far as the empty cells allow. A category without tokens
-    leaves its share to the others."""
-    weights = cells / max(cells.sum(), 1)
-    axes = range(cells.ndim)
+def raked(tokens: np.ndarray, at: list[np.ndarray], shares: list[np.ndarray], rounds: int, tolerance: float) -> np.ndarray:
+    """Weights of total 1 of cells (tokens, category per margin) with the given marginals, as far as the missing cells allow.
+    A category without tokens leaves its share to the others."""
+    weights = tokens / max(tokens.sum(), 1)
+    if not len(tokens):
+        return weights
     wanted = []
-    for axis in axes:
-        there = cells.sum(axis=tuple(a for a in axes if a != axis)) > 0
-        share = np.where(there, shares[axis], 0.0)
-        wanted.append(share / share.sum() if share.sum() else share)
+    for i, share in zip(at, shares):
+        there = np.where(np.bincount(i, tokens, len(share)) > 0, share, 0.0)
+        wanted.append(there / there.sum() if there.sum() else there)
     for _ in range(rounds):
         worst = 0.0
-        for axis in axes:
-            actual = weights.sum(axis=tuple(a for a in axes if a != axis))
-            factor = np.divide(wanted[axis], actual, out=np.zeros_like(actual), where=actual > 0)
-            worst = max(worst, float(np.abs(actual - wanted[axis]).max()))
-            weights = weights * factor.reshape([-1 if a == axis else 1 for a in axes])
+        for i, share in zip(at, wanted):
+            actual = np.bincount(i, weights, len(share))
+            factor = np.divide(share, actual, out=np.zeros_like(actual), where=actual > 0)
+            worst = max(worst, float(np.abs(actual - share).max(initial=0.0)))
+            weights = weights * factor[i]
         if worst <= tolerance:
             break
     return weights
 
 
+def rake(cells: np.ndarray, shares: list[np.ndarray], rounds: int, tolerance: float) -> np.ndarray:
+    """The same of an array of tokens with one axis per margin."""
+    out, at = np.zeros(cells.shape), np.nonzero(cells)
+    out[at] = raked(cells[at], list(at), shares, rounds, tolerance)
+    return out
+
+
 def _filled(wanted: np.ndarray, there: np.ndarray) -> np.ndarray:
     """Wanted tokens per category, none above what is there; the others get the rest in proportion."""
     out, total = np.minimum(wanted, there), wanted.sum()
@@ -196,21 +189,21 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, h
     """
     work = Workspace(docs.sparkSession, "mixing")
     rows = work.write(described(docs), "described")
-    targets = targets or smoothed_targets(rows, how)
-    rows = folded(rows, targets)
-    names = {m: sorted({*targets[m], OTHER}) for m in MARGINS}
-    cells = np.zeros([len(names[m]) for m in MARGINS])
-    index = [{k: i for i, k in enumerate(names[m])} for m in MARGINS]
-    for r in rows.groupBy(*[f"_{m}" for m in MARGINS]).agg(F.sum("n_tokens").alias("tokens")).collect():
-        cells[tuple(index[i][r[f"_{m}"]] for i, m in enumerate(MARGINS))] = r["tokens"]
-    shares = [np.array([targets[m].get(k, 0.0) for k in names[m]]) for m in MARGINS]
-    weights = rake(cells, shares, how.rounds, how.tolerance)
-    chance = probabilities(cells, weights, how)
-    table = [(*(names[m][at[i]] for i, m in enumerate(MARGINS)), float(weights[at] * cells.sum() / cells[at]), float(chance[at]))
-             for at in zip(*np.nonzero(cells))]
-    schema = ", ".join(f"_{m} string" for m in MARGINS) + ", weight double, probability double"
-    rates = F.broadcast(docs.sparkSession.createDataFrame(table, schema))  # bounded by the targets
-    joined = rows.join(rates, [f"_{m}" for m in MARGINS], "left")
+    rows = folded(rows, targets) if targets else rows.withColumns({f"_{m}": F.col(m) for m in MARGINS})
+    keys = [f"_{m}" for m in MARGINS]
+    cells = rows.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0").orderBy(*keys).toPandas()
+    tokens, at, shares = cells["tokens"].to_numpy(np.float64), [], []
+    for margin, key in zip(MARGINS, keys):
+        names, inverse = np.unique(cells[key].to_numpy(str), return_inverse=True)
+        at.append(inverse)
+        shares.append(np.array([targets[margin].get(k, 0.0) for k in names]) if targets else np.bincount(inverse, tokens, len(names)) ** how.smoothing)
+    weights = raked(tokens, at, shares, how.rounds, how.tolerance)
+    chance = chances(tokens, at, weights, how)
+    table = cells[keys].assign(weight=weights * tokens.sum() / tokens, probability=chance)
+    schema = ", ".join(f"{key} string" for key in keys) + ", weight double, probability double"
+    rates = docs.sparkSession.createDataFrame(list(table.itertuples(index=False, name=None)), schema)
+    rates = F.broadcast(rates) if len(table) <= SMALL_TABLE else rates
+    joined = rows.join(rates, keys, "left")
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(how.seed)), F.lit(1 << 30)) / float(1 << 30)
     # a cell of documents without words has no weight and is not thinned
     chance_column = F.coalesce("probability", F.lit(1.0))

@@ -115,6 +115,14 @@ def test_mixing_query_draws_its_targets(spark):
         assert all(abs(r.drawn / drawn - r.n**0.7 / smooth) < 0.0015 for r in sums)
 
 
+def test_mixing_gives_every_source_a_target(spark):
+    """300 sources: the smallest ones have marginals of their own, as the largest have."""
+    docs = rows_of(spark, [(i, "w " * (40 + 7 * (i % 5)), "en" if i < 600 else "de", f"s{i % 300}", 0) for i in range(900)])
+    sums = mixing.mixed(docs).groupBy("source").agg(F.sum("n_tokens").alias("n"), F.sum(F.col("weight") * F.col("n_tokens")).alias("w")).collect()
+    total, smooth = sum(r.n for r in sums), sum(r.n**0.7 for r in sums)
+    assert len(sums) == 300 and all(abs(r.w / total - r.n**0.7 / smooth) < 1e-8 for r in sums)
+
+
 def test_mixing_hand_cases(spark):
     found = mixing.mixed(rows_of(spark, HAND))
     assert found.count() == len(HAND) and found.where("kept is null or probability is null or weight is null").count() == 0
