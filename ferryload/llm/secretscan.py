@@ -1,10 +1,12 @@
 """Secret scans: named patterns, and entropy windows over candidate strings.
 
 The patterns give the base spans. The method adds `entropy` spans: a candidate is a run of at least 20 characters of
-keys and encodings with a digit in it. A window of 20 characters slides over it with one count per character; a step
+keys and encodings. It is tested whole, and so is each of its parts between = / _ - + against its own class, so that a name or
+path beside a secret does not change the secret's class; the parts are named where the whole is not. A window of 20 characters slides over it with one count per character; a step
 raises the count of the character that enters, lowers that of the one that leaves, and moves the running sum of
 c * log2(c) by these two changes only. The largest entropy of a window, log2(20) - sum / 20, is held against the
-threshold of the candidate's character class. Allow-listed shapes and candidates that meet a base span add nothing.
+threshold of the text's character class. Base spans and allow-listed pieces take only what they cover out of a candidate;
+what is left on both sides is tested by itself.
 
 Everything is a projection of built-in functions: no shuffle, no Python.
 """
@@ -25,10 +27,13 @@ WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 # Character classes, tried in order (name, whole-string pattern, least entropy of a window in bits).
 CLASSES = [("hex", r"^[0-9a-fA-F]+$", 3.0), ("alphanumeric", r"^[A-Za-z0-9]+$", 3.6), ("encoded", r"^[A-Za-z0-9+/_=-]+$", 3.8)]
-# Shapes that are no secrets: without a digit or without a letter; identifiers of the 8-4-4-4-12 form; dates; the
-# alphabet or the digits in order; one character eight times. Paths and dashed words have no long part.
-ALLOWED = [r"^[^0-9]*$", r"^[^A-Za-z]*$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]",
-           r"(?i)abcdefgh|01234567|12345678|(.)\1{7}"]
+# Shapes that are no secrets: without a digit or without a letter. Paths and dashed words have no long part.
+ALLOWED = [r"^[^0-9]*$", r"^[^A-Za-z]*$"]
+# Pieces that are taken out of a candidate: identifiers of the 8-4-4-4-12 form; dates; the alphabet or the digits in order;
+# one character eight times or more.
+PIECES = (r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])|(?<![0-9])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9])"
+          r"|(?i:abcdefgh(?:ijklmnop(?:qrstuvwxyz)?)?)|0?12345678(?:90?)?|01234567|([A-Za-z0-9+/_=-])\1{7,}")
+PURE = r"[A-Za-z0-9]{20,}"
 LONG_PART = r"[A-Za-z0-9]{13}"
 
 
@@ -67,6 +72,25 @@ def suspicious(text: Column) -> Column:
     return F.when(allowed, F.lit(False)).otherwise(window_entropy(text) >= least)
 
 
+def _moved(text: Column, pattern: str, by: Column) -> Column:
+    """Places of a pattern in a piece of the text, as struct (start, end, body) in the whole text."""
+    return F.zip_with(places(text, F.lit(pattern)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+                      lambda p, body: F.struct((p["start"] + by).alias("start"), (p["end"] + by).alias("end"), body.alias("body")))
+
+
+def _masked(text: Column, taken: Column) -> Column:
+    """The text with blanks where places, ordered by start, are taken."""
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+
+    def step(state, p):
+        start = F.greatest(p["start"], state["at"])
+        end = F.greatest(p["end"], state["at"])
+        between = F.substring(text, (state["at"] + 1).cast("int"), (start - state["at"]).cast("int"))
+        return F.struct(end.alias("at"), F.concat(state["out"], between, F.repeat(F.lit(" "), (end - start).cast("int"))).alias("out"))
+
+    return F.aggregate(taken, begin, step, lambda state: F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), F.length(text))))
+
+
 def base_places(text: Column, pattern: str, fewest: int, group: int) -> Column:
     """Matches of one kind whose counted group is long enough."""
     found = places(text, pattern)
@@ -96,14 +120,19 @@ def secrets(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", whole("text").alias("text"))
     rows = rows.withColumns({kind: base_places(F.col("text"), pattern, fewest, group) for kind, pattern, fewest, group in KINDS})
-    # maximal runs, cut as the pattern cuts them; the texts of the runs come with their places
-    runs = F.zip_with(places(F.col("text"), CANDIDATE), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)),
-                      lambda p, body: F.struct(p["start"].alias("start"), p["end"].alias("end"), body.alias("body")))
-    rows = rows.withColumn("runs", F.when(F.col("text").rlike(CANDIDATE), runs))
-    base = F.concat(*[F.col(kind) for kind, *_ in KINDS])
-    clear = lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+    base = F.array_sort(F.concat(*[F.col(kind) for kind, *_ in KINDS]))
+    rows = rows.withColumn("rest", F.when(F.col("text").rlike(CANDIDATE), F.when(F.size(base) > 0, _masked(F.col("text"), base)).otherwise(F.col("text"))))
+    taken = F.when(F.col("rest").rlike(PIECES), _masked(F.col("rest"), places(F.col("rest"), PIECES))).otherwise(F.col("rest"))
+    rows = rows.withColumn("rest", taken)
+    rows = rows.withColumn("runs", F.when(F.col("rest").rlike(CANDIDATE), _moved(F.col("rest"), CANDIDATE, F.lit(0).cast("bigint"))))
     digit = lambda r: r["body"].rlike("[0-9]") & r["body"].rlike("[A-Za-z]")
-    found = F.filter(F.filter(F.filter("runs", digit), clear), lambda r: suspicious(r["body"]))
+    pure = lambda r: F.filter(_moved(r["body"], PURE, r["start"]), lambda p: digit(p) & suspicious(p["body"]))
+
+    def named(r):
+        return F.when(suspicious(r["body"]), F.array(r)).otherwise(pure(r))
+
+    rows = rows.withColumn("found", F.flatten(F.transform(F.filter("runs", digit), named)))
+    found = F.col("found")
     rows = rows.withColumn("entropy", F.coalesce(F.transform(found, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))), no_places()))
     marks = [_marked(F.col(kind), order, kind) for order, kind in enumerate([kind for kind, *_ in KINDS] + ["entropy"])]
     counts = [F.size(kind).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]

@@ -58,6 +58,17 @@ def test_entropy_spans_and_allow_list(spark):
     assert all("entropy" not in rows[i] for i in range(1, 7))
 
 
+def test_entropy_of_a_secret_does_not_depend_on_its_neighbours(spark):
+    """A name, a path, a date or a base span beside a secret leaves the secret to its own class."""
+    secret = "7A1F93B8C2D4E0561B9F"  # 20 hex digits, 3.82 bits alone and less in windows that meet a name
+    weak = "7A1F93B87A1F93B8C2C2"
+    cases = [weak, f"KEY={weak}", f"id_{weak}", f"2024-01-02_{secret}", f"token=abcdefgh&{secret}", f"12345678-{secret}"]
+    rows = {r.doc_id: r.spans for r in secretscan.secrets(frame(spark, cases)).collect()}
+    for i, case in enumerate(cases):
+        (span,) = [tuple(map(int, s.split(":")[1:])) for s in rows[i].split(",") if s.startswith("entropy")]
+        assert span[0] <= len(case) - 20 and span[1] == len(case), (case, rows[i])
+
+
 def test_licenses(spark, texts):
     found = licensescan.licenses(frame(spark, texts)).collect()
     assert len(found) == len(texts)
