@@ -38,6 +38,10 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_parts(self, df: DataFrame, name: str, column: str) -> None:
+        """Written in one folder per value of ``column``."""
+        df.write.mode("overwrite").partitionBy(column).parquet(f"{self.path}/{name}")
+
     def drop(self, name: str) -> None:
         remove_folder(self.spark, f"{self.path}/{name}")
 
