@@ -234,9 +234,7 @@ def whitened(table: DataFrame, components: int = 32, vector: str = "embedding")
         F.col("vec").isNotNull() & F.forall("vec", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
     common = good.groupBy(F.size("vec").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
     size = common["size"] if common else 0
-    none = table.sparkSession.createDataFrame(
-        [], table.select("vec_id").schema.add("component", "int").add("n", "long").add("deviation", "long").add("whitened", "double")
-        .add("explained", "double").add("identity_error", "double"))
+    none = table.where("false").selectExpr("vec_id", "0 AS component", "0L AS n", "0L AS deviation", "0D AS whitened", "0D AS explained", "0D AS identity_error")
     if not size:
         return none
     rows = good.where(F.size("vec") == size)
