@@ -118,9 +118,10 @@ def circular_relationships(edges: DataFrame) -> DataFrame:
     """Every edge ``(src, dst)`` with ``is_circular``: the end can reach the start again. With an ``app_id``, nodes of
     different apps are different nodes, and the result has it, too.
 
-    An edge lies on a cycle when both ends are in the same strongly connected part of
-    the graph. Parts are found with a label per node, so the work per round is a few
-    passes over the edges; reachable pairs are never listed. Each round is checkpointed.
+    An edge lies on a cycle when both ends are in the same strongly connected part of the graph. Nodes with one link in
+    and one link out are first taken out of their chains by pointer jumping, whose rounds grow with the logarithm of a
+    chain, and nodes that nothing leads to or leaves are dropped. Parts of what remains are found with a label per node, so
+    the work per round is a few passes over the links; reachable pairs are never listed. Each round is checkpointed.
     """
     if "app_id" in edges.columns:
         inside = lambda c: F.when(F.col(c).isNotNull(), F.to_json(F.struct("app_id", F.col(c).cast("string").alias("node"))))
@@ -133,18 +134,19 @@ def circular_relationships(edges: DataFrame) -> DataFrame:
         edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
     )
     links = cut_lineage(all_edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").distinct())
-    parts = None
+    parts, levels = links.select(F.col("src").alias("node"), F.col("src").alias("part")).limit(0), []
     while True:
-        links = _trim(links)
+        links, shrunk = _shrink(links)
+        levels += shrunk
         if links.isEmpty():
             break
         found = _parts(links)
-        parts = found if parts is None else parts.unionByName(found)
+        parts = parts.unionByName(found)
         done = found.select(F.col("node").alias("__n"))
         links = links.join(done, F.col("src") == F.col("__n"), "left_anti")
-        links = cut_lineage(links.join(done, F.col("dst") == F.col("__n"), "left_anti"))
-    if parts is None:
-        return all_edges.withColumn("is_circular", F.lit(False))
+        links = cut_lineage(links.join(done, F.col("dst") == F.col("__n"), "left_anti").select("src", "dst"))
+    for level in reversed(levels):
+        parts = _unfold(parts, *level)
     # A part of one node is no cycle; an edge from a node to itself needs a larger one, too.
     larger = parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1")
     parts = cut_lineage(parts.join(larger.select("part"), "part", "left_semi"))
@@ -155,19 +157,74 @@ def circular_relationships(edges: DataFrame) -> DataFrame:
     return marked.select("src", "dst", same.alias("is_circular"))
 
 
-def _trim(links: DataFrame) -> DataFrame:
-    """Drop edges from nodes nothing leads to, and edges into nodes nothing leaves, until none is left."""
-    size = links.count()
+def _shrink(links: DataFrame) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame, DataFrame]]]:
+    """Links without dead ends and without chain nodes, and what was taken out of chains, level by level.
+
+    Dead ends go a layer at a time; what a layer leaves behind as a chain goes at once.
+    """
+    levels, size = [], links.count()
     while size:
+        inner = _inner_nodes(links)
+        if not inner.isEmpty():
+            links, level = _contract(links, inner)
+            levels.append(level)
         starts = links.select(F.col("src").alias("__n")).distinct()
         ends = links.select(F.col("dst").alias("__n")).distinct()
-        kept = links.join(ends, F.col("src") == F.col("__n"), "left_semi")
-        kept = cut_lineage(kept.join(starts, F.col("dst") == F.col("__n"), "left_semi"))
-        kept_size = kept.count()
-        if kept_size == size:
-            return links
-        links, size = kept, kept_size
-    return links
+        kept = links.join(ends, F.col("src") == F.col("__n"), "left_semi").join(starts, F.col("dst") == F.col("__n"), "left_semi")
+        links = cut_lineage(kept.select("src", "dst"))
+        before, size = size, links.count()
+        if size == before:
+            break
+    return links, levels
+
+
+def _inner_nodes(links: DataFrame) -> DataFrame:
+    """Nodes with one link in and one link out, with their neighbours."""
+    out = links.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"), F.max("dst").alias("ahead")).where("n_out = 1")
+    into = links.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"), F.max("src").alias("back")).where("n_in = 1")
+    return cut_lineage(out.join(into, "node").select("node", "back", "ahead"))
+
+
+def _contract(links: DataFrame, inner: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame, DataFrame]]:
+    """Links from the start of each chain to its end, and (chain nodes with start and end, nodes of rings that are nothing but
+    chain, nodes that a chain leads back to).
+
+    A pointer jumps as far as the node it points to has jumped, so its reach doubles with each step. It ends outside the
+    chain; in a ring it never ends, and the least name that it has passed becomes the ring's.
+    """
+    chain, before = inner.select("node", "back", "ahead", F.col("node").alias("least")), None
+    while True:
+        following = chain.select(F.col("node").alias("ahead"), F.col("ahead").alias("__ahead"), F.col("least").alias("__least"))
+        leading = chain.select(F.col("node").alias("back"), F.col("back").alias("__back"))
+        jumped = chain.join(following, "ahead", "left").join(leading, "back", "left")
+        least = F.least("least", "__least")
+        chain = cut_lineage(jumped.select(  # each step reads the last one three times
+            "node", F.coalesce("__back", "back").alias("back"), F.coalesce("__ahead", "ahead").alias("ahead"), least.alias("least"),
+            (F.col("__ahead").isNotNull() | F.col("__back").isNotNull()).alias("open"), (least < F.col("least")).alias("fell")))
+        left = chain.agg(F.count_if("open").alias("open"), F.count_if("fell").alias("fell")).first()
+        # Outside a ring some pointer ends in each step until all have; in a ring names fall until all are the least.
+        if not left["open"] or (left["open"] == before and not left["fell"]):
+            break
+        before = left["open"]
+    in_ring = chain.join(inner.select(F.col("node").alias("ahead")), "ahead", "left_semi")
+    rings = cut_lineage(in_ring.select("node", F.col("least").alias("part")))
+    ended = chain.join(rings.select("node"), "node", "left_anti")
+    within = inner.select(F.col("node").alias("__n"))
+    outer = links.join(within, F.col("src") == F.col("__n"), "left_anti").join(within, F.col("dst") == F.col("__n"), "left_anti")
+    spans = cut_lineage(ended.select("node", F.col("back").alias("src"), F.col("ahead").alias("dst")))
+    joined = outer.select("src", "dst").unionByName(spans.select("src", "dst").where("src <> dst")).distinct()
+    loops = spans.where("src = dst").select(F.col("src").alias("node")).distinct()
+    return cut_lineage(joined), (spans, rings, loops)
+
+
+def _unfold(parts: DataFrame, spans: DataFrame, rings: DataFrame, loops: DataFrame) -> DataFrame:
+    """Parts of the nodes before a contraction: a chain belongs to the part that both its ends are in."""
+    alone = loops.join(parts, "node", "left_anti").select("node", F.col("node").alias("part"))
+    known = cut_lineage(parts.unionByName(alone))
+    start = known.select(F.col("node").alias("src"), F.col("part").alias("__a"))
+    end = known.select(F.col("node").alias("dst"), F.col("part").alias("__b"))
+    between = spans.join(start, "src").join(end, "dst").where("__a = __b").select("node", F.col("__a").alias("part"))
+    return known.unionByName(between).unionByName(rings)
 
 
 def _parts(links: DataFrame) -> DataFrame:
@@ -210,30 +267,28 @@ def expression_fields(expressions: DataFrame, fields: DataFrame, key: str = "exp
     """Fields an expression names in brackets or as whole words; ``is_known`` is false for a name in brackets that is no
     field, so that broken references can be found. With an ``app_id`` on both sides, names are looked up within the app.
 
-    Candidate names are cut out of the text and matched by an equi-join, so the cost
-    does not grow with expressions × fields. Names of several words are met by
-    word sequences as long as the longest field name.
+    Names are indexed by their first word: an expression meets the names that begin with one of its words, and whether the
+    rest of the name follows is looked up inside the row. So the cost depends neither on expressions × fields nor on the longest name.
     """
     app = ["app_id"] if "app_id" in expressions.columns and "app_id" in fields.columns else []
-    names = fields.select(*app, "field_name").where("field_name <> ''").distinct()
     pieces_of = lambda c: F.regexp_extract_all(c, F.lit(r"((?U)\w+|(?U)\W+)"), F.lit(1))
-    longest = names.agg(F.max(F.size(pieces_of(F.col("field_name"))))).first()[0] or 1
-    rows = expressions.select(*app, key, "expression").withColumn("__p", pieces_of(F.col("expression")))
-    size, positions = F.size("__p"), F.sequence(F.lit(1), F.greatest(F.size("__p"), F.lit(1)))
-
-    def sequences(length: int) -> Column:
-        fits = F.filter(
-            positions,
-            lambda i: (i + (length - 1) <= size) & F.element_at(F.col("__p"), F.least(i, size)).rlike(r"(?U)^\w"),
-        )
-        return F.transform(fits, lambda i: F.array_join(F.slice("__p", i, length), ""))
-
-    words = F.when(size > 0, F.concat(*[sequences(n) for n in range(1, longest + 1, 2)])).otherwise(F.array().cast("array<string>"))
-    brackets = F.regexp_extract_all("expression", F.lit(r"\[(.*?)\]"), F.lit(1))
-    found = F.explode(F.array_distinct(F.concat(words, brackets))).alias("field_name")
-    tokens = rows.select(*app, key, found, brackets.alias("__b")).withColumn("__b", F.array_contains("__b", F.col("field_name")))
-    looked_up = tokens.join(names.withColumn("is_known", F.lit(True)), [*app, "field_name"], "left").where("is_known OR __b")
-    return looked_up.select(*app, key, "field_name", F.coalesce("is_known", F.lit(False)).alias("is_known"))
+    is_word = lambda piece: piece.rlike(r"(?U)^\w")
+    mark = chr(1)  # between pieces, so that a name is found at their borders only
+    marked = lambda p: F.concat(F.lit(mark), F.array_join(p, mark), F.lit(mark))
+    names = fields.select(*app, "field_name").where("field_name <> ''").distinct().withColumn("__p", pieces_of(F.col("field_name")))
+    by_words = is_word(F.element_at("__p", 1)) & is_word(F.element_at("__p", -1))
+    names = names.select(*app, "field_name", F.when(by_words, F.element_at("__p", 1)).alias("__first"), F.when(by_words, marked(F.col("__p"))).alias("__name"))
+
+    rows = expressions.select(*app, key, "expression").withColumn("__p", pieces_of(F.col("expression"))).select(
+        *app, key, marked(F.col("__p")).alias("__text"), F.array_distinct(F.filter("__p", is_word)).alias("__words"),
+        F.array_distinct(F.regexp_extract_all("expression", F.lit(r"\[(.*?)\]"), F.lit(1))).alias("__brackets"))
+    follows = F.coalesce(F.contains("__text", "__name"), F.lit(False))
+    words = rows.select(*app, key, "__text", F.explode("__words").alias("__first"))
+    named = words.join(names.where("__first IS NOT NULL"), [*app, "__first"]).where(follows)
+    brackets = rows.select(*app, key, "__text", F.explode("__brackets").alias("field_name"))
+    looked_up = brackets.join(names.withColumn("is_known", F.lit(True)), [*app, "field_name"], "left").where(~follows)
+    return named.select(*app, key, "field_name", F.lit(True).alias("is_known")).unionByName(
+        looked_up.select(*app, key, "field_name", F.coalesce("is_known", F.lit(False)).alias("is_known")))
 
 
 def lineage_edges(expressions: DataFrame, fields: DataFrame, uses: DataFrame | None = None) -> DataFrame:
@@ -261,12 +316,12 @@ def lineage_edges(expressions: DataFrame, fields: DataFrame, uses: DataFrame | N
 
 
 def broken_references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with an end that is not a node."""
-    known = nodes.select(F.col("node_id").alias("__n")).distinct()
-    no_source = edges.join(known, F.col("source") == F.col("__n"), "left_anti")
-    with_source = edges.join(known, F.col("source") == F.col("__n"), "left_semi")
-    no_target = with_source.join(known, F.col("target") == F.col("__n"), "left_anti")
-    return no_source.unionByName(no_target)
+    """Edges with an end that is not a node; with an ``app_id`` on both sides, not a node of the edge's app."""
+    app = ["app_id"] if "app_id" in edges.columns and "app_id" in nodes.columns else []
+    known = nodes.select(*app, "node_id").distinct()
+    end = lambda name: known.select(*app, F.col("node_id").alias(name), F.lit(True).alias(f"__{name}"))
+    ends = edges.join(end("source"), [*app, "source"], "left").join(end("target"), [*app, "target"], "left")
+    return ends.where("__source IS NULL OR __target IS NULL").select(*edges.columns)
 
 
 def distinct_expressions(expressions: DataFrame) -> DataFrame:

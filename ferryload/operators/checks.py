@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferryload.fixed_values import AUDIT_COLUMNS, NULL_WARNING_PERCENT, NUMERIC_TARGET_TYPES
 from ferryload.functions.casting import cast_or_null
+from ferryload.operators.conversion import spelled
+from ferryload.operators.joins import match_ratio
 
 
 def check_row(check_id: str, check_type: str, expected: Column, actual: Column) -> list[Column]:
@@ -48,19 +50,16 @@ def overall_status(report: DataFrame) -> DataFrame:
 
 
 def output_checks(df: DataFrame, mapping: Sequence[dict], expected_rows: int | None = None) -> DataFrame:
-    """Q5-Q7: columns, audit columns, row count and value validity, in one scan of all rows.
+    """Q5-Q7: columns (found without case), audit columns, row count and value validity, in one scan of all rows.
 
     An unknown row expectation passes. Cells are invalid when a DATE, BOOLEAN or
     numeric target holds a value that does not read as one.
     """
-    wanted = [str(m["target_column"]).strip() for m in mapping if m.get("target_column")]
-    present = set(df.columns)
+    targets = [(str(m["target_column"]).strip(), str(m.get("target_type") or "").strip().upper()) for m in mapping if m.get("target_column")]
+    present = {c.lower(): c for c in reversed(df.columns)}
 
     def bad_cells(kinds: Sequence[str], valid) -> Column:
-        columns = [
-            m["target_column"] for m in mapping
-            if m["target_type"].upper() in kinds and m["target_column"] in present
-        ]
+        columns = [present[name.lower()] for name, kind in targets if kind in kinds and name.lower() in present]
         counts = [F.count_if(F.col(f"`{c}`").isNotNull() & ~F.coalesce(valid(c), F.lit(False))) for c in columns]
         return reduce(lambda a, b: a + b, counts, F.lit(0))
 
@@ -76,11 +75,11 @@ def output_checks(df: DataFrame, mapping: Sequence[dict], expected_rows: int | N
         bad_cells(["BOOLEAN"], lambda c: F.lower(text(c)).isin("true", "false")).alias("boolean_values"),
         bad_cells(NUMERIC_TARGET_TYPES, lambda c: cast_or_null(text(c), "double").isNotNull()).alias("numeric_values"),
     )
-    missing = len([c for c in wanted if c not in present])
-    missing_audit = len([c for c in AUDIT_COLUMNS if c not in present])
+    missing = len([name for name, _ in targets if name.lower() not in present])
+    missing_audit = len([c for c in AUDIT_COLUMNS if c.lower() not in present])
     expected = F.col("row_count") if expected_rows is None else F.lit(expected_rows)
     rows = [
-        check_row("column_count", "schema", F.lit(len(wanted) + len(AUDIT_COLUMNS)), F.lit(len(df.columns))),
+        check_row("column_count", "schema", F.lit(len(targets) + len(AUDIT_COLUMNS)), F.lit(len(df.columns))),
         check_row("approved_target_columns_exist", "schema", F.lit(0), F.lit(missing)),
         check_row("audit_columns_exist", "schema", F.lit(0), F.lit(missing_audit)),
         check_row("row_count", "row_count", expected, F.col("row_count")),
@@ -162,32 +161,42 @@ def branch_ownership(df: DataFrame, branch: str, owned: dict[str, Sequence[str]]
     )
 
 
-def field_parity(target: DataFrame, source: DataFrame, listed: Sequence[str], result: DataFrame) -> list[str]:
-    """Q14: issues of a target-mode concatenate, by column names only."""
-    known = {c.lower() for c in target.columns}
+def name_row(check_id: str, names: Sequence[str]) -> list[Column]:
+    """A check on column names: their number is expected to be 0, and they are listed."""
+    return [*check_row(check_id, "names", F.lit(0), F.lit(len(names))), F.lit(", ".join(names)).alias("names")]
+
+
+def _name_report(spark: SparkSession, checks: dict[str, Sequence[str]]) -> DataFrame:
+    rows = F.array(*[F.struct(*name_row(check_id, names)) for check_id, names in checks.items()])
+    return spark.range(1).select(F.inline(rows))
+
+
+def field_parity(target: DataFrame, source: DataFrame, listed: Sequence[str], result: DataFrame) -> DataFrame:
+    """Q14: check rows of a target-mode concatenate: fields that the target does not have, and of these, fields that only the
+    source has and the load does not list. Names are compared without case; no row of a table is read."""
+    known, own, asked = ({c.lower() for c in names} for names in (target.columns, source.columns, listed))
     extra = sorted(c for c in result.columns if c.lower() not in known)
-    leaked = sorted(
-        c for c in extra if c.lower() in {s.lower() for s in source.columns} - {x.lower() for x in listed}
-    )
-    issues = []
-    if extra:
-        issues.append("CONCATENATE_FIELD_PARITY_MISMATCH: " + ", ".join(extra))
-    if leaked:
-        issues.append("CONCATENATE_SOURCE_ONLY_FIELD_LEAK: " + ", ".join(leaked))
-    return issues
-
-
-def join_key_issues(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> list[str]:
-    """Q15: key columns that do not exist, and keys joined to descriptive text."""
-    issues = []
-    if left_key.lower() not in {c.lower() for c in left.columns}:
-        issues.append(f"JOIN_KEY_MISSING_LEFT: {left_key}")
-    if right_key.lower() not in {c.lower() for c in right.columns}:
-        issues.append(f"JOIN_KEY_MISSING_RIGHT: {right_key}")
+    leaked = [c for c in extra if c.lower() in own - asked]
+    return _name_report(result.sparkSession, {
+        "CONCATENATE_FIELD_PARITY_MISMATCH": extra, "CONCATENATE_SOURCE_ONLY_FIELD_LEAK": leaked})
+
+
+def join_key_issues(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Q15: check rows of a join: key columns that do not exist, a key joined to descriptive text, and, where both exist, the
+    left rows whose key the right side does not have (0 are expected)."""
+    here, there = spelled(left.columns).get(left_key.lower()), spelled(right.columns).get(right_key.lower())
     descriptive = ("name", "desc", "description")
-    if right_key.lower().endswith(descriptive) != left_key.lower().endswith(descriptive):
-        issues.append(f"JOIN_KEY_TO_TEXT: {left_key} = {right_key}")
-    return issues
+    mixed = right_key.lower().endswith(descriptive) != left_key.lower().endswith(descriptive)
+    names = _name_report(left.sparkSession, {
+        "JOIN_KEY_MISSING_LEFT": [] if here else [left_key], "JOIN_KEY_MISSING_RIGHT": [] if there else [right_key],
+        "JOIN_KEY_TO_TEXT": [f"{left_key} = {right_key}"] if mixed else []})
+    if not (here and there):
+        return names
+    if left.schema[here].dataType != right.schema[there].dataType:  # a number and a text are compared as texts
+        left, right = (df.withColumn(key, F.col(f"`{key}`").cast("string")) for df, key in ((left, here), (right, there)))
+    ratio = match_ratio(left, here, right, there)
+    lost = F.coalesce(F.col("rows"), F.lit(0)) - F.col("matched_rows")
+    return names.unionByName(ratio.select(*check_row("JOIN_KEY_UNMATCHED", "values", F.lit(0), lost), F.lit("").alias("names")))
 
 
 def cardinality(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:

@@ -69,3 +69,15 @@ def enrichment(fact: DataFrame, dimension: DataFrame, alias: str, keys: Sequence
             known.add(name)
             chosen.append(F.col(f"`{column}`").alias(name))
     return chosen
+
+
+def stable_columns(df: DataFrame, first: Sequence[str] = ()) -> DataFrame:
+    """Columns in an order that depends on their names alone: ``first``, then the others sorted without case."""
+    leading = [c for f in first for c in df.columns if c.lower() == f.lower()]
+    rest = sorted((c for c in df.columns if c not in leading), key=lambda c: (c.lower(), c))
+    return df.select(*[F.col(f"`{c}`") for c in [*leading, *rest]])
+
+
+def stable_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """A model's tables sorted by name without case, each with :func:`stable_columns`."""
+    return {name: stable_columns(tables[name]) for name in sorted(tables, key=lambda n: (n.lower(), n))}

@@ -125,25 +125,37 @@ def record_hash(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*ordered), {"ignoreNullFields": "false"}), 256)
 
 
+def spelled(names: Sequence[str]) -> dict[str, str]:
+    """Names by what they are without case; of names that differ in case only, the first counts."""
+    return {name.lower(): name for name in reversed(names)}
+
+
+def source_name_of(row: dict, source: DataFrame) -> str:
+    """The source column of a mapping row as the table spells it; '' if the table has none of that name in any case."""
+    name = str(row.get("source_column") or "").strip()
+    return name if name in source.columns else spelled(source.columns).get(name.lower(), "")
+
+
 def mapped_columns(source: DataFrame, mapping: Sequence[dict]) -> tuple[list[Column], list[str]]:
     """Converted columns in mapping order and the warnings to report.
 
-    A source column that does not exist becomes a NULL column of the target type.
+    Source columns are found without case; a column spelled exactly like the mapping goes first. One that does not exist
+    becomes a NULL column of the target type.
     """
-    present, columns, warnings = set(source.columns), [], []
+    columns, warnings = [], []
     for row in mapping:
-        source_name = str(row.get("source_column") or "").strip()
+        source_name, found = str(row.get("source_column") or "").strip(), source_name_of(row, source)
         target_name = str(row.get("target_column") or "").strip()
         kind, rule = row.get("target_type"), str(row.get("conversion_rule") or "").strip()
         if not source_name or not target_name:
             warnings.append(f"Skipped a mapping row without source or target column: {row}")
-        elif source_name not in present:
+        elif not found:
             warnings.append(f"Source column '{source_name}' not found; '{target_name}' is NULL.")
             columns.append(F.lit(None).cast(spark_type(kind)).alias(target_name))
         else:
             if rule not in KNOWN_RULES:
                 warnings.append(f"Unknown conversion rule '{rule}'; '{target_name}' stays text.")
-            columns.append(convert(F.col(f"`{source_name}`"), rule, kind).alias(target_name))
+            columns.append(convert(F.col(f"`{found}`"), rule, kind).alias(target_name))
     return columns, warnings
 
 
@@ -173,8 +185,8 @@ def convert_table(
     columns, warnings = mapped_columns(source, mapping)
     named = [m for m in mapping if m.get("source_column") and m.get("target_column")]
     raw = [
-        F.col(f"`{m['source_column']}`").isNotNull().alias(f"__had_{m['target_column']}")
-        for m in named if m["source_column"] in source.columns
+        F.col(f"`{source_name_of(m, source)}`").isNotNull().alias(f"__had_{str(m['target_column']).strip()}")
+        for m in named if source_name_of(m, source)
     ]
     data = [str(m["target_column"]).strip() for m in named]
     typed = source.select(

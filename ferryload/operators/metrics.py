@@ -130,42 +130,82 @@ def run_kpis_by_grain(df: DataFrame, kpis: Sequence[tuple[str, str, str]], grain
     return shaped.unpivot(["grain", "grain_key"], [name for name, _, _ in kpis], "kpi_name", "kpi_value")
 
 
-def hierarchies(found: DataFrame) -> DataFrame:
-    """K4: token sequences present in a table's dimensions and identifiers, two levels at least."""
+def hierarchy_candidates(found: DataFrame) -> DataFrame:
+    """K4: every dimension and identifier that a level's token names, one row per pattern, level and column.
+
+    ``is_chosen`` marks the column that stands for the level: the first of its table by position.
+    """
     levels = F.array(*[
         F.struct(F.lit(p).alias("pattern"), F.lit(level).alias("level"), F.lit(token).alias("token"))
         for p, tokens in enumerate(HIERARCHY_PATTERNS) for level, token in enumerate(tokens)
     ])
-    candidates = found.where(F.col("entity_type").isin("DIMENSION", "IDENTIFIER"))
-    hits = candidates.select("*", F.explode(levels).alias("l")).where(
-        F.lower("source_column").contains(F.col("l.token"))
+    named = found.where(F.col("entity_type").isin("DIMENSION", "IDENTIFIER"))
+    hits = named.select("*", F.explode(levels).alias("l")).where(F.lower("source_column").contains(F.col("l.token")))
+    first = Window.partitionBy("table_name", "l.pattern", "l.level").orderBy("position")
+    of_pattern = Window.partitionBy("table_name", "l.pattern")
+    return hits.select(
+        "table_name", F.col("l.pattern").alias("pattern_number"), F.col("l.level").alias("level"), F.col("l.token").alias("token"), "position",
+        "source_column", _target_name().alias("target_column"), "business_name", "distinct_count",
+        (F.row_number().over(first) == 1).alias("is_chosen"),
+        F.size(F.collect_set("l.level").over(of_pattern)).alias("level_count"),  # a pattern has a few levels
     )
-    columns = ["source_column", _target_name().alias("target_column"), "business_name", "distinct_count"]
-    best = hits.groupBy("table_name", "l.pattern", "l.level").agg(
-        F.min(F.struct("position", *columns)).alias("first")
-    )
-    per_pattern = best.groupBy("table_name", "pattern").agg(
-        F.array_sort(F.collect_list(F.struct("level", "first"))).alias("levels")
+
+
+def hierarchies(found: DataFrame) -> DataFrame:
+    """K4: token sequences present in a table's dimensions and identifiers, two levels at least."""
+    chosen = hierarchy_candidates(found).where("is_chosen AND level_count >= 2")
+    columns = ["source_column", "target_column", "business_name", "distinct_count"]
+    per_pattern = chosen.groupBy("table_name", "pattern_number").agg(
+        F.array_sort(F.collect_list(F.struct("level", F.struct(*columns).alias("first")))).alias("levels")
     )
     join = lambda name: F.array_join(F.transform("levels", lambda s: s["first"][name].cast("string")), " > ")
-    return per_pattern.where(F.size("levels") >= 2).select(
-        "table_name", F.col("pattern").alias("pattern_number"), F.size("levels").alias("level_count"),
+    return per_pattern.select(
+        "table_name", "pattern_number", F.size("levels").alias("level_count"),
         join("business_name").alias("business_name"), join("source_column").alias("source_column"),
         join("target_column").alias("target_column"), join("distinct_count").alias("distinct_counts"),
         F.lit(HIERARCHY_CONFIDENCE).alias("confidence"),
     )
 
 
+def dependencies(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """K4: for every pair (upper, lower) of columns, how many lower values belong to more than one upper value.
+
+    All pairs are counted in one aggregation: a row gives one (pair, lower, upper), and equal ones meet before the shuffle.
+    """
+    asked = F.array(*[
+        F.struct(F.lit(i).alias("pair"), F.col(f"`{upper}`").cast("string").alias("upper"), F.col(f"`{lower}`").cast("string").alias("lower"))
+        for i, (upper, lower) in enumerate(pairs)
+    ])
+    distinct = df.select(F.inline(asked)).distinct()
+    parents = distinct.groupBy("pair", "lower").agg(F.count(F.lit(1)).alias("parents"))
+    counts = parents.groupBy("pair").agg(F.count("*").alias("lower_values"), F.count_if(F.col("parents") > 1).alias("ambiguous_values"))
+    names = df.sparkSession.createDataFrame([(i, *pair) for i, pair in enumerate(pairs)], "pair int, upper_level string, lower_level string")
+    return names.join(counts, "pair").select("upper_level", "lower_level", "lower_values", "ambiguous_values")
+
+
 def level_dependency(df: DataFrame, levels: Sequence[str]) -> DataFrame:
-    """K4: for neighbouring levels, how many lower values belong to more than one upper value."""
-    rows = []
-    for upper, lower in zip(levels, levels[1:]):
-        pairs = df.groupBy(lower, upper).agg(F.lit(1).alias("one")).groupBy(lower).agg(F.count(F.lit(1)).alias("parents"))
-        rows.append(pairs.agg(
-            F.lit(upper).alias("upper_level"), F.lit(lower).alias("lower_level"),
-            F.count("*").alias("lower_values"), F.count_if(F.col("parents") > 1).alias("ambiguous_values"),
-        ))
-    return reduce(DataFrame.unionByName, rows)
+    """K4: :func:`dependencies` of neighbouring levels."""
+    return dependencies(df, list(zip(levels, levels[1:])))
+
+
+def measured_levels(df: DataFrame, candidates: Sequence[tuple[int, int, str]]) -> DataFrame:
+    """K4: every candidate (pattern, level, column) with the share of its values that belong to one value of a column of the
+    next level above, for all such columns; ``is_dependent`` where all of them do. No candidate is left out: the top level,
+    and a level whose upper one is empty, have no upper column."""
+    above = {}
+    for pattern, level, column in candidates:
+        upper_levels = sorted({above_level for p, above_level, _ in candidates if p == pattern and above_level < level})
+        uppers = [c for p, l, c in candidates if upper_levels and (p, l) == (pattern, upper_levels[-1]) and c != column]
+        above[pattern, level, column] = uppers or [None]
+    listed = df.sparkSession.createDataFrame(
+        [(*key, upper) for key, uppers in above.items() for upper in uppers], "pattern_number int, level int, lower_level string, upper_level string")
+    pairs = sorted({(upper, key[2]) for key, uppers in above.items() for upper in uppers if upper})
+    none = "lower_level string, upper_level string, lower_values bigint, ambiguous_values bigint"
+    counts = dependencies(df, pairs) if pairs else df.sparkSession.createDataFrame([], none)
+    share = F.round(1 - F.try_divide(F.col("ambiguous_values"), F.col("lower_values")), 4)
+    return listed.join(counts, ["upper_level", "lower_level"], "left").select(
+        "pattern_number", "level", "lower_level", "upper_level", "lower_values", "ambiguous_values", share.alias("dependent_share"),
+        (F.col("ambiguous_values") == 0).alias("is_dependent"))
 
 
 def glossary(kpis: DataFrame, found: DataFrame, hierarchy: DataFrame) -> DataFrame:

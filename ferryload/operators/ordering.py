@@ -1,9 +1,8 @@
 """Sorted access: previous value, row numbers, keep-latest, sort rules, top rows.
 
-A plain window puts all rows of a key into one task. Here rows are first cut
-into ranges of the sort column, the window runs per (key, range), and one small
-summary row per (key, range) carries the result across range borders. The
-answer is exact whatever the borders are; they only spread the work.
+A plain window puts all rows of a key into one task. Here Spark's own range partitioner first deals the
+rows out by the order, the window runs per (key, range), and one small summary row per (key, range) carries
+the result across range borders. The answer is exact whatever the borders are; they only spread the work.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferryload.session import cut_lineage
+
 RANGE = "__range"
 
 
@@ -48,33 +49,15 @@ def range_number(column: str, borders: Sequence[float]) -> Column:
     return F.expr(halve(0, len(borders)))
 
 
-SAMPLE_PER_RANGE = 20
-
-
 def _with_ranges(df: DataFrame, order: Sequence[str], ranges: int | None) -> DataFrame:
-    """Rows with the number of their range of the whole order, in the columns' own types and with NULL first.
+    """Rows with the number of their range of the whole order, NULL first; as many ranges as shuffle partitions.
 
-    Borders are taken from a bounded sample of the sort keys, ``SAMPLE_PER_RANGE`` for each range; there are as many ranges
-    as the session has shuffle partitions. All columns of the order count, so rows of one date are still spread.
+    All columns of the order count, so rows of one date are still spread. The ranges are those of one shuffle, which two
+    readers of the result have to share: it is written down before they read it.
     """
     ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(*[F.col(f"`{c}`") for c in order])
-    sample = keys.orderBy(F.xxhash64(*keys.columns)).limit(ranges * SAMPLE_PER_RANGE)
-    place = F.row_number().over(Window.orderBy(*[F.col(f"`{c}`") for c in order]))  # over the bounded sample
-    step = max(1, sample.count() // ranges) if ranges > 1 else 0
-    rows = sample.withColumn("__place", place).where(F.col("__place") % step == 0).drop("__place").distinct().collect() if step else []
-    types = [df.schema[c].dataType for c in order]
-    key = F.struct(*[F.col(f"`{c}`") for c in order])
-    borders = [F.struct(*[F.lit(v).cast(kind).alias(c) for c, v, kind in zip(order, row, types)]) for row in
-               sorted(rows, key=lambda row: [(v is not None, v) for v in row])]
-
-    def halve(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key >= borders[middle], halve(middle + 1, high)).otherwise(halve(low, middle))
-
-    return df.withColumn(RANGE, halve(0, len(borders)))
+    dealt = df.repartitionByRange(ranges, *[F.col(f"`{c}`").asc_nulls_first() for c in order])
+    return cut_lineage(dealt.withColumn(RANGE, F.spark_partition_id()))
 
 
 def _with_starts(cut: DataFrame, starts: DataFrame, real: str) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ferryload.fixed_values import FLAG_TOKENS
 from ferryload.functions.classes import field_category, target_type
 from ferryload.functions.text import column_name
-from ferryload.operators import catalog, joins, metrics, profiling, reconcile
+from ferryload.operators import joins, metrics, profiling, reconcile
 from ferryload.plans.loading import RESERVED, snake_sql
 from ferryload.plans.quality import profile_sql
 from ferryload.plans.tables import Tables
-from ferryload.session import cut_lineage
 
 # Field lists of the two business tables below: name and kind.
 MODEL = {
@@ -50,30 +50,30 @@ def shipments(t: Tables):
     )
 
 
-def found(t: Tables):
-    """Entities of both tables, from the profile of all their rows.
-
-    The profile is the costly part and its result is a few rows that every later step
-    reads several times, so it is checkpointed once.
-    """
-    frames = {"sales": sales(t), "shipments": shipments(t)}
-    counts = None
-    for name, df in frames.items():
-        part = profiling.value_counts(df).withColumn("table_name", F.lit(name))
-        counts = part if counts is None else counts.unionByName(part)
-    facts = profiling.column_facts(counts, ["table_name", "column_name"])
-    facts = facts.withColumn("detected_runtime_type", profiling.runtime_type(F.lit("")))
+def listed_fields(t: Tables):
+    """Fields of both tables with their class."""
     listed = t.spark.createDataFrame(
         [(name, i, field, [f"${kind}"]) for name, fields in MODEL.items() for i, (field, kind) in enumerate(fields)],
         "table_name string, position int, field_name string, tags array<string>",
     )
-    fields = listed.join(facts.withColumnRenamed("column_name", "field_name"), ["table_name", "field_name"], "left")
-    category = field_category(F.col("field_name"), F.col("tags"), F.lit(""))
-    typed = fields.withColumn("inferred_category", category).withColumn(
+    return listed.withColumn("inferred_category", field_category(F.col("field_name"), F.col("tags"), F.lit("")))
+
+
+def found(t: Tables, counted: bool = False):
+    """Entities of both tables, from one pass over each. Distinct values are counted where they decide a type (flags), or
+    for all fields if ``counted``. The facts are one row per field and are read several times, so they are computed here."""
+    facts = None
+    for name, df in {"sales": sales(t), "shipments": shipments(t)}.items():
+        asked = [c for c in df.columns if counted or any(token in c.lower() for token in FLAG_TOKENS)]
+        part = profiling.column_facts(df, exact=asked).withColumn("table_name", F.lit(name))
+        facts = part if facts is None else facts.unionByName(part)
+    facts = facts.select("table_name", "column_name", "distinct_count", profiling.runtime_type(F.lit("")).alias("detected_runtime_type"))
+    facts = t.spark.createDataFrame(facts.collect(), facts.schema)  # one row per field
+    typed = listed_fields(t).join(facts.withColumnRenamed("column_name", "field_name"), ["table_name", "field_name"], "left").withColumn(
         "__t", target_type(F.col("inferred_category"), F.col("field_name"), F.col("distinct_count"), F.lit(None).cast("string"))
     )
     named = typed.withColumn("target_column", column_name(F.col("field_name"))).withColumn("target_type", F.col("__t.target_type"))
-    return cut_lineage(metrics.entities(named))
+    return metrics.entities(named)
 
 
 def _dimensions(entities):
@@ -81,18 +81,13 @@ def _dimensions(entities):
 
 
 def column_roles(t: Tables):
-    return found(t).withColumn("position", F.col("position").cast("bigint"))
+    return found(t, counted=True).withColumn("position", F.col("position").cast("bigint"))
 
 
 def entity_summary(t: Tables):
     return metrics.entity_summary(found(t))
 
 
-def fields_by_class(t: Tables):
-    rows = found(t).select("table_name", "position", F.col("source_column").alias("field_name"), F.col("entity_type").alias("inferred_category"))
-    return catalog.fields_by_class(rows)
-
-
 def kpi_catalog(t: Tables):
     return metrics.kpi_catalog(found(t)).withColumn("dimensions", F.array_join("dimensions", "|")).drop("position", "reason")
 
@@ -110,11 +105,26 @@ def kpi_run(t: Tables):
 
 
 def hierarchy_levels(t: Tables):
-    return metrics.hierarchies(found(t)).select(
+    return metrics.hierarchies(found(t, counted=True)).select(
         "table_name", F.col("level_count").cast("bigint").alias("level_count"), "business_name", "source_column", "target_column", "distinct_counts", "confidence"
     )
 
 
+def hierarchy_candidates(t: Tables):
+    return metrics.hierarchy_candidates(found(t, counted=True)).select(
+        "table_name", F.col("pattern_number").cast("bigint").alias("pattern_number"), F.col("level").cast("bigint").alias("level"), "token",
+        "source_column", "target_column", "distinct_count", "is_chosen", F.col("level_count").cast("bigint").alias("level_count"))
+
+
+LEVELS = [(0, 0, "Region"), (0, 1, "CountryName"), (3, 0, "CustomerName"), (3, 1, "MarketSegment"), (3, 1, "OrderStatus"), (3, 2, "SalesChannel")]
+
+
+def measured_levels(t: Tables):
+    rows = metrics.measured_levels(sales(t), LEVELS)
+    return rows.select("*", *[F.col(c).cast("bigint").alias(f"{c}_") for c in ("pattern_number", "level")]).drop("pattern_number", "level").withColumnsRenamed(
+        {"pattern_number_": "pattern_number", "level_": "level"})
+
+
 def level_dependency(t: Tables):
     return metrics.level_dependency(sales(t), ["Region", "CountryName", "CustomerName", "OrderStatus"])
 
@@ -154,7 +164,8 @@ def business_domain(t: Tables):
 
 
 QUERIES = {f.__name__: f for f in (
-    column_roles, entity_summary, fields_by_class, kpi_catalog, kpi_themes, kpi_run, hierarchy_levels, level_dependency, glossary,
+    column_roles, entity_summary, kpi_catalog, kpi_themes, kpi_run, hierarchy_levels, hierarchy_candidates, measured_levels,
+    level_dependency, glossary,
     reconciliation_rules, rules_by_metric, readiness, layered_lineage, business_domain,
 )}
 
@@ -253,8 +264,6 @@ ORACLE = {
       WITH {FOUND} SELECT table_name, count(*) FILTER (entity_type = 'DIMENSION') AS dimensions_count, count(*) FILTER (entity_type = 'MEASURE') AS measures_count,
         count(*) FILTER (entity_type = 'DATE') AS dates_count, count(*) FILTER (entity_type = 'FLAG') AS flags_count, count(*) FILTER (entity_type = 'IDENTIFIER') AS identifiers_count
       FROM found GROUP BY 1""",
-    "fields_by_class": f"""
-      WITH {FOUND} SELECT table_name, entity_type AS inferred_category, count(*) AS field_count, string_agg(source_column, '|' ORDER BY position) AS field_names FROM found GROUP BY ALL""",
     "kpi_catalog": f"""
       WITH {FOUND} SELECT table_name, kpi_name, business_description, source_column, entity_type, recommended_formula, aggregation_type, grain,
         array_to_string(dimensions, '|') AS dimensions, date_column, kpi_confidence AS confidence FROM kpis""",
@@ -274,6 +283,22 @@ ORACLE = {
       SELECT grain, grain_key, 'sales_sum' AS kpi_name, sales_sum AS kpi_value FROM w UNION ALL SELECT grain, grain_key, 'margin_avg', margin_avg FROM w
       UNION ALL SELECT grain, grain_key, 'open_count', open_count FROM w""",
     "hierarchy_levels": f"WITH {FOUND} SELECT table_name, level_count, business_name, source_column, target_column, distinct_counts, 0.72::DOUBLE AS confidence FROM hier",
+    "hierarchy_candidates": f"""
+      WITH {FOUND}, h AS (SELECT *, p::BIGINT AS pattern_number, l::BIGINT AS level FROM found, patterns
+        WHERE entity_type IN ('DIMENSION', 'IDENTIFIER') AND contains(lower(source_column), token))
+      SELECT table_name, pattern_number, level, token, source_column, target_column, distinct_count,
+        row_number() OVER (PARTITION BY table_name, p, l ORDER BY position) = 1 AS is_chosen, n.level_count
+      FROM h JOIN (SELECT table_name, p, count(DISTINCT l) AS level_count FROM h GROUP BY ALL) n USING (table_name, p)""",
+    "measured_levels": f"WITH {TABLES_SQL}, " + """
+      c(pattern_number, level, lower_level, upper_level) AS (VALUES """ + ", ".join(
+        f"({p}::BIGINT, {l}::BIGINT, '{low}', {up})" for p, l, low, up in (
+            (0, 0, "Region", "NULL"), (0, 1, "CountryName", "'Region'"), (3, 0, "CustomerName", "NULL"), (3, 1, "MarketSegment", "'CustomerName'"),
+            (3, 1, "OrderStatus", "'CustomerName'"), (3, 2, "SalesChannel", "'MarketSegment'"), (3, 2, "SalesChannel", "'OrderStatus'"))) + "), m AS (" + " UNION ALL ".join(
+        f"""SELECT '{u}' AS upper_level, '{w}' AS lower_level, count(*) AS lower_values, count(*) FILTER (n > 1) AS ambiguous_values
+            FROM (SELECT count(DISTINCT "{u}") AS n FROM sales GROUP BY "{w}")""" for u, w in (
+            ("Region", "CountryName"), ("CustomerName", "MarketSegment"), ("CustomerName", "OrderStatus"), ("MarketSegment", "SalesChannel"), ("OrderStatus", "SalesChannel"))) + """)
+      SELECT c.*, lower_values, ambiguous_values, round(1 - ambiguous_values / lower_values, 4) AS dependent_share, ambiguous_values = 0 AS is_dependent
+      FROM c LEFT JOIN m USING (upper_level, lower_level)""",
     "level_dependency": f"WITH {TABLES_SQL} " + " UNION ALL ".join(
         f"""SELECT '{u}' AS upper_level, '{w}' AS lower_level, count(*) AS lower_values, count(*) FILTER (n > 1) AS ambiguous_values
             FROM (SELECT count(DISTINCT "{u}") AS n FROM sales GROUP BY "{w}")""" for u, w in (("Region", "CountryName"), ("CountryName", "CustomerName"), ("CustomerName", "OrderStatus"))),

@@ -234,6 +234,10 @@ def concat_values(t: Tables):
     return G.concat_distinct(t.orders, ["o_orderstatus"], "o_orderpriority", "priorities", "; ")
 
 
+def concat_repeats(t: Tables):
+    return G.concat(t.orders, ["o_custkey"], "o_orderstatus", "statuses", "", weight="o_orderkey")
+
+
 def first_last_sorted_value(t: Tables):
     by = F.col("o_totalprice")
     return t.orders.groupBy("o_custkey").agg(
@@ -264,7 +268,7 @@ QUERIES = {f.__name__: f for f in (
     month_region_sales, natural_left_join, join_inner, join_right, join_full, single_row_attach, keep_left, keep_inner,
     keep_right, two_nations, exists_flag, star_model, star_model_checked, enrich_projection, project_aliases, bridge_join, composite_grain_join, aggregate_before_join, pivot_before_join,
     totals_side_by_side, full_outer_on_grain, orphans, join_match_ratio, set_analysis_sum, conditional_sum, only_value,
-    stats_aggs, median_per_group, mode_per_group, concat_values, first_last_sorted_value, nested_aggr, distinct_count,
+    stats_aggs, median_per_group, mode_per_group, concat_values, concat_repeats, first_last_sorted_value, nested_aggr, distinct_count,
     guarded_ratio,
 )}
 
@@ -363,6 +367,7 @@ ORACLE = {
     "mode_per_group": """
       SELECT l_suppkey, l_quantity AS mode_quantity FROM (SELECT l_suppkey, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL)
       QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_quantity) = 1""",
+    "concat_repeats": "SELECT o_custkey, string_agg(o_orderstatus, '' ORDER BY o_orderkey, o_orderstatus) AS statuses FROM orders GROUP BY 1",
     "concat_values": """
       SELECT o_orderstatus, string_agg(o_orderpriority, '; ' ORDER BY o_orderpriority) AS priorities
       FROM (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders) GROUP BY 1""",

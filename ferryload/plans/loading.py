@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ferryload.functions import conditions as C
 from ferryload.functions import dates as D
 from ferryload.functions import text as X
-from ferryload.operators import checks, combine, conversion, joins, ordering
+from ferryload.fixed_values import RESERVED_WORDS
+from ferryload.operators import catalog, checks, combine, conversion, joins, ordering
 from ferryload.plans.tables import Tables, day, exact_mean
-from ferryload.sources import headers, tables as S
+from ferryload.session import JobFolder
+from ferryload.sources import headers, sinks, tables as S
 
 PRIORITY_MAP = """
 priority, label
@@ -86,8 +88,33 @@ def preview_rows(t: Tables):
 def part_file_rows(t: Tables):
     files = S.part_files(t.lineitem)
     rows = t.lineitem.groupBy("_metadata.file_path").agg(F.count("*").alias("rows"))
-    listed = rows.join(files, "file_path").where("file_size > 0")
-    return listed.agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
+    # the list spells a path file:/..., the rows' metadata file:///...
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    listed = rows.select(plain("file_path").alias("at"), "rows").join(files.where("file_size > 0").select(plain("file_path").alias("at")), "at")
+    return listed.agg((F.count("*") > 0).alias("has_files"), F.sum("rows").alias("rows"))
+
+
+def full_read(t: Tables):
+    """Every column and row of a file."""
+    return S.read_table(t.spark, f"{t.folder}/supplier.parquet").withColumn("s_nationkey", F.col("s_nationkey").cast("bigint"))
+
+
+def file_view(t: Tables):
+    """A view over a path, read with SQL."""
+    S.file_view(t.spark, f"{t.folder}/nation.parquet", "ferryload_nations")
+    return t.spark.sql("SELECT n_regionkey % 2 = 0 AS even_region, count(*) AS nations, min(n_name) AS first_name FROM ferryload_nations GROUP BY 1")
+
+
+def repeated_load(t: Tables):
+    """Batches of orders are written, one of them again with other rows, and read: the last writing of a batch counts."""
+    folder = JobFolder(t.spark, "repeated_load").path
+    orders = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
+    batch = lambda status, name: orders.where(F.col("o_orderstatus") == status).withColumn("_batch_id", F.lit(name))
+    sinks.write_typed(batch("F", "007").unionByName(batch("P", "b8")), folder, "orders")
+    sinks.write_typed(batch("F", "007"), folder, "orders")
+    path = sinks.write_typed(batch("O", "b8"), folder, "orders")
+    return sinks.read_written(t.spark, path).groupBy("_batch_id").agg(
+        F.count("*").alias("rows"), F.sum("o_orderkey").alias("keys"), F.min("o_orderstatus").alias("status"))
 
 
 def page_extracts(t: Tables):
@@ -119,6 +146,30 @@ def extract_header_fields(t: Tables):
     )
 
 
+def extract_header_files(t: Tables):
+    """One extract file per nation with its table's statistics as header and page bytes behind it, written to the job's own
+    folder, read up to the end of each header."""
+    folder = JobFolder(t.spark, "extract_headers").path
+    counts = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.max("c_name").alias("last"))
+    field = "<QvdFieldHeader><FieldName>{}</FieldName><NoOfSymbols>{}</NoOfSymbols></QvdFieldHeader>"
+    header = F.format_string(
+        "<QvdTableHeader><TableName>customers_%s</TableName><NoOfRecords>%s</NoOfRecords><Fields>" + field.format("CustKey", "%s")
+        + field.format("Größe", "1") + "</Fields></QvdTableHeader>", F.col("c_nationkey").cast("string"), F.col("n").cast("string"), F.col("n").cast("string"))
+    broken = F.when(F.col("c_nationkey") % 7 == 3, F.regexp_replace(header, "</QvdTableHeader>", "")).otherwise(header)
+    text = F.concat(broken, F.lit(chr(0)), F.repeat("last", 5000))
+    counts.select(F.col("c_nationkey").cast("string").alias("nation"), text.alias("value")).repartition("nation").write.partitionBy("nation").text(folder)
+    files = headers.read_extract_heads(t.spark, folder)
+    fields = headers.header_fields(files).select("table_name", "no_of_records", "field_name", F.col("position").cast("bigint").alias("position"), "no_of_symbols")
+    none = headers.header_tables(files).where("NOT has_header").select(F.lit("without header").alias("table_name"))
+    return fields.unionByName(none, allowMissingColumns=True)
+
+
+def fields_by_class(t: Tables):
+    rows = headers.source_structure(page_extracts(t)).select(
+        F.col("file_name").alias("table_name"), F.col("field_position").alias("position"), "field_name", "inferred_category")
+    return catalog.fields_by_class(rows)
+
+
 def source_structure(t: Tables):
     return headers.source_structure(page_extracts(t)).groupBy("table_name", "inferred_category").agg(
         F.count("*").alias("fields"), F.count_distinct("file_name").alias("files")
@@ -216,6 +267,11 @@ def recno(t: Tables):
     return ordering.row_numbers(rows, [], ["ts", "event_id"], "rec_no").select("event_id", "rec_no")
 
 
+def peek(t: Tables):
+    rows = t.events.select("user_id", "ts", "event_id", "value")
+    return ordering.peek(rows, "value", ["user_id"], ["ts", "event_id"], 3, "three_back").select("event_id", "user_id", "three_back")
+
+
 def latest_per_key(t: Tables):
     rows = t.orders.select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
     return ordering.keep_latest(rows, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
@@ -231,6 +287,15 @@ def multi_sort(t: Tables):
     return ordering.sort_by(rows, [("c_mktsegment", "asc"), ("c_acctbal", "desc")], ["c_custkey"])
 
 
+def stable_order(t: Tables):
+    """The same columns in the same order, however a table was put together."""
+    one = t.orders.select("o_totalprice", "o_orderkey", "o_custkey")
+    other = t.orders.select("o_custkey", "o_orderkey").withColumn("O_Extra", F.lit(1).cast("bigint")).join(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey")
+    tables = combine.stable_tables({"b": one.withColumn("O_Extra", F.lit(2).cast("bigint")), "A": other})
+    parts = [df.select("*", F.lit(",".join(df.columns)).alias("column_order"), F.lit(i).cast("bigint").alias("place")) for i, df in enumerate(tables.values())]
+    return parts[0].union(parts[1])  # by position: both have the same order
+
+
 def text_number_predicate(t: Tables):
     part = t.part.select("p_partkey", F.col("p_size").alias("Size"), F.when(F.col("p_size") % 5 == 0, "").when(F.col("p_size") % 7 == 0, None).otherwise(F.col("p_name")).alias("ProductName"))
     return part.select(
@@ -255,10 +320,10 @@ def conditional_if(t: Tables):
 
 QUERIES = {f.__name__: f for f in (
     load_project_filter, resident_groupby, distinct_load, sql_pass_through, inline_mapping_apply,
-    inline_rows_from_data, map_literal_apply, source_identity, preview_rows, part_file_rows,
-    extract_header_fields, source_structure, schema_suggestion, schema_suggestion_summary, mapping_errors,
+    inline_rows_from_data, map_literal_apply, source_identity, preview_rows, part_file_rows, full_read, file_view, repeated_load,
+    extract_header_fields, extract_header_files, fields_by_class, source_structure, schema_suggestion, schema_suggestion_summary, mapping_errors,
     drop_fields_after_concat, concat_widen, concat_target, plain_concat, no_concatenate, first_per_key,
-    metric_totals, previous_value, rowno, recno, latest_per_key, recent_top20, multi_sort,
+    metric_totals, previous_value, rowno, recno, peek, latest_per_key, recent_top20, multi_sort, stable_order,
     text_number_predicate, history_flag, conditional_if,
 )}
 
@@ -296,7 +361,7 @@ def snake_sql(name: str) -> str:
     return f"CASE WHEN {sql} = '' THEN 'unnamed' ELSE {sql} END"
 
 
-RESERVED = "'all','and','array','as','between','boolean','by','case','column','create','date','default','delete','double','false','from','group','insert','int','join','null','order','select','string','table','timestamp','true','update','user','where'"
+RESERVED = ", ".join(f"'{word}'" for word in sorted(RESERVED_WORDS))
 
 SUGGESTION = PAGE_FIELDS + f""",
 named AS (SELECT *, {snake_sql('field_name')} AS s, {snake_sql('table_name')} AS ts FROM classed),
@@ -352,7 +417,20 @@ ORACLE = {
       SELECT page_id, regexp_replace(lower(CASE WHEN p = '' THEN url ELSE p END), '[^a-z0-9]+', '', 'g') AS identity
       FROM (SELECT page_id, url, regexp_extract(url, '([^/\\]+?)(?:\.[A-Za-z0-9_]+)?$', 1) AS p FROM pages)""",
     "preview_rows": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100",
-    "part_file_rows": "SELECT 1::BIGINT AS files, count(*) AS \"rows\" FROM lineitem",
+    "part_file_rows": "SELECT true AS has_files, count(*) AS \"rows\" FROM lineitem",
+    "full_read": "SELECT * REPLACE (s_nationkey::BIGINT AS s_nationkey) FROM supplier",
+    "file_view": "SELECT n_regionkey % 2 = 0 AS even_region, count(*) AS nations, min(n_name) AS first_name FROM nation GROUP BY 1",
+    "repeated_load": """
+      SELECT '007' AS _batch_id, count(*) AS "rows", sum(o_orderkey)::BIGINT AS keys, min(o_orderstatus) AS status FROM orders WHERE o_orderstatus = 'F'
+      UNION ALL SELECT 'b8', count(*), sum(o_orderkey)::BIGINT, min(o_orderstatus) FROM orders WHERE o_orderstatus = 'O'""",
+    "extract_header_files": """
+      WITH c AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), good AS (SELECT * FROM c WHERE k % 7 <> 3)
+      SELECT 'customers_' || k AS table_name, n::VARCHAR AS no_of_records, 'CustKey' AS field_name, 1::BIGINT AS position, n::VARCHAR AS no_of_symbols FROM good
+      UNION ALL SELECT 'customers_' || k, n::VARCHAR, 'Größe', 2, '1' FROM good
+      UNION ALL SELECT 'without header', NULL, NULL, NULL, NULL FROM c WHERE k % 7 = 3""",
+    "fields_by_class": f"""
+      WITH {PAGE_FIELDS} SELECT file_name AS table_name, inferred_category, count(*) AS field_count, string_agg(field_name, '|' ORDER BY position) AS field_names
+      FROM classed GROUP BY ALL""",
     "extract_header_fields": f"""
       WITH {PAGE_FIELDS}
       SELECT file_name, table_name, no_of_records, position, field_name, tags, number_type,
@@ -400,12 +478,16 @@ ORACLE = {
     "rowno": """
       SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS row_no FROM orders""",
     "recno": "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS rec_no FROM events",
+    "peek": "SELECT event_id, user_id, lag(value, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS three_back FROM events",
     "latest_per_key": """
       SELECT o_custkey, o_orderkey, o_totalprice FROM orders
       QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""",
     "recent_top20": """
       SELECT o_orderkey, CAST(o_orderdate AS DATE) AS order_date, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20""",
     "multi_sort": "SELECT c_mktsegment, c_acctbal, c_custkey FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey",
+    "stable_order": """
+      SELECT o_custkey, o_orderkey, o_totalprice, 1::BIGINT AS "O_Extra", 'o_custkey,O_Extra,o_orderkey,o_totalprice' AS column_order, 0::BIGINT AS place FROM orders
+      UNION ALL SELECT o_custkey, o_orderkey, o_totalprice, 2, 'o_custkey,O_Extra,o_orderkey,o_totalprice', 1 FROM orders""",
     "text_number_predicate": """
       WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_size % 5 = 0 THEN '' WHEN p_size % 7 = 0 THEN NULL ELSE p_name END AS n FROM part)
       SELECT p_partkey, (n IS NULL OR n = '') AS name_eq_0, (n IS NOT NULL AND n <> '') AS name_gt_0,

@@ -149,6 +149,34 @@ def union_parity(t: Tables):
     return checks.stack(checks.union_parity(fact, expenses, whole), checks.union_parity(fact, expenses, short, "union_parity_short"))
 
 
+def field_parity(t: Tables):
+    fact, expenses = _facts(t)
+    listed = ["OrderKey"]
+    whole = combine.concatenate_into(fact, expenses, listed)
+    widened = combine.concatenate(fact, expenses)
+    return checks.field_parity(fact, expenses, listed, whole).withColumn("load", F.lit("target")).unionByName(
+        checks.field_parity(fact, expenses, listed, widened).withColumn("load", F.lit("widened")))
+
+
+def join_key_checks(t: Tables):
+    return checks.join_key_issues(t.orders, t.customer, "O_CUSTKEY", "c_custkey").unionByName(
+        checks.join_key_issues(t.customer.where("c_nationkey > 4"), t.nation, "c_nationkey", "n_name")).unionByName(
+        checks.join_key_issues(t.orders, t.customer.where("c_custkey % 5 = 0"), "o_custkey", "c_custkey")).unionByName(
+        checks.join_key_issues(t.lineitem, t.orders, "l_order", "o_orderkey"))
+
+
+def line_facts(t: Tables):
+    """Q1 without distinct values: one pass over all columns of the lines."""
+    lines = t.lineitem.withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
+    facts = profiling.column_facts(lines, LINE_COLUMNS)
+    return facts.select("column_name", "row_count_checked", "null_count", "non_null_count", "min_value", "max_value",
+                        profiling.runtime_type(F.lit("")).alias("detected_runtime_type"))
+
+
+LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+                "l_shipdate"]
+
+
 def load_status(t: Tables):
     same = checks.load_status(t.orders, t.orders.select("o_orderkey"))
     return same.unionByName(checks.load_status(t.orders, t.orders.where("o_orderstatus <> 'F'")))
@@ -183,7 +211,7 @@ def smallest_grain(t: Tables):
 
 QUERIES = {f.__name__: f for f in (
     convert_typed, flag_to_boolean, record_hash, typed_rows, column_profile, profile_match_status, profile_summary, quick_profile,
-    quality_checks, check_verdict, null_pct, not_null, duplicate_keys, union_parity, load_status, branch_ownership, cardinality, grain_keys,
+    quality_checks, check_verdict, null_pct, not_null, duplicate_keys, union_parity, field_parity, join_key_checks, line_facts, load_status, branch_ownership, cardinality, grain_keys,
     smallest_grain,
 )}
 
@@ -265,7 +293,30 @@ _CHECKS = " UNION ALL ".join([
     check_sql("numeric_values", "values", "0", "numbers", "figures"),
 ])
 
+def _names_sql(check_id: str, names: str, load: str = "") -> str:
+    count = len([n for n in names.split(", ") if n])
+    return f"""SELECT '{check_id}' AS check_id, 'names' AS check_type, 0::DOUBLE AS expected, {count}::DOUBLE AS actual, {count}::DOUBLE AS difference,
+      '{"failed" if count else "passed"}' AS status, '{names}' AS names""" + (f", '{load}' AS load" if load else "")
+
+
+def _unmatched_sql(lost: str) -> str:
+    return f"""SELECT 'JOIN_KEY_UNMATCHED', 'values', 0, n, n, CASE WHEN n = 0 THEN 'passed' ELSE 'failed' END, '' FROM (SELECT count(*)::DOUBLE AS n FROM {lost})"""
+
+
 ORACLE = {
+    "field_parity": " UNION ALL ".join([
+        _names_sql("CONCATENATE_FIELD_PARITY_MISMATCH", "", "target"), _names_sql("CONCATENATE_SOURCE_ONLY_FIELD_LEAK", "", "target"),
+        _names_sql("CONCATENATE_FIELD_PARITY_MISMATCH", "Account", "widened"), _names_sql("CONCATENATE_SOURCE_ONLY_FIELD_LEAK", "Account", "widened")]),
+    "join_key_checks": " UNION ALL ".join([
+        *[_names_sql(c, "") for c in ("JOIN_KEY_MISSING_LEFT", "JOIN_KEY_MISSING_RIGHT", "JOIN_KEY_TO_TEXT")] * 2,
+        _unmatched_sql("orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)"),
+        _unmatched_sql("orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0)"),
+        _names_sql("JOIN_KEY_MISSING_LEFT", ""), _names_sql("JOIN_KEY_MISSING_RIGHT", ""), _names_sql("JOIN_KEY_TO_TEXT", "c_nationkey = n_name"),
+        _unmatched_sql("customer WHERE c_nationkey > 4"),
+        _names_sql("JOIN_KEY_MISSING_LEFT", "l_order"), _names_sql("JOIN_KEY_MISSING_RIGHT", ""), _names_sql("JOIN_KEY_TO_TEXT", "")]),
+    "line_facts": "WITH l AS (SELECT * REPLACE (CAST(l_shipdate AS DATE) AS l_shipdate) FROM lineitem) " + " UNION ALL ".join(
+        "SELECT column_name, row_count_checked, null_count, non_null_count, min_value, max_value, detected_runtime_type FROM ("
+        + profile_sql("l", c, "", c not in ("l_returnflag", "l_linestatus", "l_shipdate")) + ")" for c in LINE_COLUMNS),
     "convert_typed": f"""
       WITH {RAW} SELECT order_key, order_date, customer_name, is_active, units, amount, rate, level, note, absent,
         'orders.parquet' AS "_source_file_name", 'batch-1' AS "_batch_id", DATE '2024-01-01' AS ingested_on FROM conv""",

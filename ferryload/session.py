@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,12 +31,29 @@ def local_session(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that all executors and the driver see: ``spark.checkpoint.dir``, or, only where that is
-    unset (tests, a local session), a folder below the warehouse."""
+    """Folder that all executors and the driver see: ``spark.checkpoint.dir``, or, in a local session
+    (tests) where that is unset, a folder below the warehouse. A cluster has to name one."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not configured and not (master == "local" or master.startswith("local[")):
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
     return (configured or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints").rstrip("/")
 
 
+class JobFolder:
+    """A folder of one job below the shared folder; it goes when the Python process ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self._remove)
+
+    def _remove(self) -> None:
+        context = self.spark.sparkContext
+        if context._jsc is not None and not context._jsc.sc().isStopped():
+            remove_folder(self.spark, self.path)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder in whichever file system it lies."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -37,21 +37,26 @@ def read_extract_heads(spark: SparkSession, path: str) -> DataFrame:
     """Like :func:`read_extract_files`, but a file is read only up to the end of its header.
 
     Files are listed by Spark and opened inside the tasks through Arrow's file systems, so
-    extracts far larger than a task's memory are fine, and a header may be of any length.
+    extracts far larger than a task's memory are fine. A header starts within the first ``SCAN_BYTES`` and ends
+    within them; a file without one is read that far, holds nothing of what was read, and is listed with NULL content.
     """
-    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
 
     def read_heads(batches):
         import pandas as pd
 
         for batch in batches:
             for row in batch.itertuples(index=False):
-                yield pd.DataFrame({"path": [row.path], "length": [row.length], "content": [_read_head(row.path)]})
+                yield pd.DataFrame({"path": [row.path], "length": [row.length], "content": pd.Series([_read_head(row.path)], dtype=object)})
 
     return listed.mapInPandas(read_heads, "path string, length bigint, content binary")
 
 
-def _read_head(path: str) -> bytes:
+SCAN_BYTES = 16 * 1024 * 1024
+_CHUNK_BYTES = 64 * 1024
+
+
+def _read_head(path: str) -> bytes | None:
     from pyarrow import fs
 
     scheme, _, rest = path.partition(":")
@@ -59,17 +64,31 @@ def _read_head(path: str) -> bytes:
         system, name = fs.LocalFileSystem(), "/" + rest.lstrip("/")
     else:
         system, name = fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + quote(rest, safe="/:@"))
-    head, marker = bytearray(), HEADER_END.encode()
     with system.open_input_stream(name) as stream:
-        while True:
-            chunk = stream.read(64 * 1024)
-            if not chunk:
-                break
-            start = max(0, len(head) - len(marker))
-            head.extend(chunk)
-            if head.find(marker, start) >= 0:
-                break
-    return bytes(head)
+        return _head_of(stream)
+
+
+def _head_of(stream) -> bytes | None:
+    """Bytes from the start mark to the end mark. Before the start mark only its possible beginning is held."""
+    first, last = HEADER_START.encode(), HEADER_END.encode()
+    held, begun, seen = bytearray(), False, 0
+    while seen < SCAN_BYTES:
+        chunk = stream.read(min(_CHUNK_BYTES, SCAN_BYTES - seen))
+        if not chunk:
+            break
+        seen += len(chunk)
+        searched = max(0, len(held) - len(last))
+        held.extend(chunk)
+        if not begun:
+            at = held.find(first)
+            begun = at >= 0
+            del held[: at if begun else max(0, len(held) - len(first))]
+            searched = 0
+        if begun:
+            end = held.find(last, searched)
+            if end >= 0:
+                return bytes(held[: end + len(last)])
+    return None
 
 
 def cut_headers(files: DataFrame) -> DataFrame:

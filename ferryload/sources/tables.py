@@ -88,5 +88,10 @@ def drop_table(tables: dict[str, DataFrame], *names: str) -> dict[str, DataFrame
 
 
 def part_files(df: DataFrame) -> DataFrame:
-    """The part files behind a file table, with their sizes, as rows."""
-    return df.select("_metadata.file_path", "_metadata.file_size").distinct()
+    """The part files behind a file table, with their sizes, as rows. Only the file list is read, no row of the table."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if not files:
+        return spark.createDataFrame([], "file_path string, file_size bigint")
+    listed = spark.read.format("binaryFile").load(files)
+    return listed.select(F.col("path").alias("file_path"), F.col("length").alias("file_size"))

@@ -101,6 +101,27 @@ def test_cycles_against_search(spark, seed, nodes, links):
     assert {(r["src"], r["dst"]): r["is_circular"] for r in got.collect()} == brute_circular(edges)
 
 
+@pytest.mark.parametrize("seed", [5])
+def test_chains_rings_and_loops_against_search(spark, seed):
+    pick = random.Random(seed)
+    chain = lambda name, n, start=None, end=None: list(zip([start or f"{name}0", *(f"{name}{i}" for i in range(1, n))], [*(f"{name}{i}" for i in range(1, n)), end or f"{name}{n}"]))
+    edges = [*chain("tail", 9), *chain("ring", 7, "ring0", "ring0"), *chain("loop", 5, "hub", "hub"), *chain("out", 6, "hub", "far"), *chain("back", 4, "far", "hub"),
+             *chain("leave", 3, "ring3", "tail4"), *chain("two", 4, "p", "q"), *chain("three", 3, "q", "p")]
+    edges += [(pick.choice(edges)[0], pick.choice(edges)[1]) for _ in range(seed - 3)]
+    got = catalog.circular_relationships(spark.createDataFrame(edges, "src string, dst string"))
+    assert {(r["src"], r["dst"]): r["is_circular"] for r in got.collect()} == brute_circular(edges)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    keep = catalog.cut_lineage
+    monkeypatch.setattr(catalog, "cut_lineage", lambda df: rounds.append(1) or keep(df))
+    edges = [(f"c{i}", f"c{i + 1}") for i in range(500)] + [(f"r{i}", f"r{(i + 1) % 60}") for i in range(60)]
+    got = catalog.circular_relationships(spark.createDataFrame(edges, "src string, dst string"))
+    assert got.groupBy(F.substring("src", 1, 1).alias("s"), "is_circular").count().collect().__len__() == 2
+    assert got.where("is_circular").count() == 60 and len(rounds) < 30
+
+
 def test_self_links_need_a_larger_cycle(spark):
     edges = [("a", "b"), ("b", "a"), ("b", "m"), ("m", "m"), ("m", "x"), ("x", "y"), ("y", "x"), ("y", "y")]
     got = catalog.circular_relationships(spark.createDataFrame(edges, "src string, dst string"))
@@ -113,6 +134,29 @@ def test_cycles_without_any(spark):
     assert [r["is_circular"] for r in got.collect()] == [False] * 4
 
 
+def test_expression_names_of_many_words(spark):
+    fields = spark.createDataFrame([("a", n) for n in ("Sales", "Sales Amount", "Sales Amount Net", "%Key", "Größe m", "a.b", "x ")] + [("b", "Net")], "app_id string, field_name string")
+    texts = ["Sum(Sales Amount Net)", "Sales_Amount + SalesX", "[%Key] & [Sales]", "Größe m/Größe", "a.bc + xa.b", "[nope] + Net", "[x ] + [a.b]", "", None]
+    expressions = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)], "app_id string, expression_id int, expression string")
+    found = sorted((r["expression_id"], r["field_name"], r["is_known"]) for r in catalog.expression_fields(expressions, fields).collect())
+    assert found == [(0, "Sales", True), (0, "Sales Amount", True), (0, "Sales Amount Net", True), (2, "%Key", True), (2, "Sales", True), (3, "Größe m", True),
+                     (5, "nope", False), (6, "a.b", True), (6, "x ", True)]
+
+
+def test_broken_references_within_an_app(spark):
+    edges = spark.createDataFrame([("a", "x", "y"), ("b", "x", "y"), ("a", "x", None)], "app_id string, source string, target string")
+    nodes = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("a", "x")], "app_id string, node_id string")
+    assert sorted((r["app_id"], r["target"]) for r in catalog.broken_references(edges, nodes).collect() if r["target"]) == [("b", "y")]
+    assert catalog.broken_references(edges, nodes).count() == 2 and catalog.broken_references(edges.drop("app_id"), nodes.drop("app_id")).count() == 1
+
+
+def test_measured_levels_keep_every_candidate(spark):
+    rows = spark.createDataFrame([("E", "de", "x"), ("E", "fr", "x"), ("A", "us", "x"), ("A", "de", None)], "region string, country string, state string")
+    listed = metrics.measured_levels(rows, [(0, 0, "region"), (0, 1, "country"), (0, 1, "state")]).collect()
+    assert {(r["lower_level"], r["upper_level"], r["lower_values"], r["ambiguous_values"], r["is_dependent"]) for r in listed} == {
+        ("region", None, None, None, None), ("country", "region", 3, 1, False), ("state", "region", 2, 1, False)}
+
+
 FIELDS = "app_id string, table_name string, position int, field_name string"
 
 

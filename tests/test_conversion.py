@@ -1,6 +1,7 @@
 """Conversion, profile and check fixtures."""
 
 import datetime as dt
+from datetime import date
 from decimal import Decimal
 
 import pytest
@@ -103,6 +104,39 @@ def test_profile_figures(spark):
     assert (words["min_value"], words["max_value"]) == ("apple", "pear")
 
 
+def test_native_types_profile_like_their_text(spark):
+    frame = spark.createDataFrame(
+        [(1, 2.5, Decimal("7.50"), date(2024, 3, 1), True, "a"), (0, -1.0, Decimal("7.00"), date(1999, 1, 2), False, "10"), (45000, 1e10, None, None, None, " "),
+         (None, float("nan"), Decimal("-3.25"), date(2024, 3, 1), True, "9")],
+        "i int, d double, n decimal(10,2), t date, b boolean, s string")
+    texts = frame.select(*[F.col(c).cast("string").alias(c) for c in frame.columns])
+    got, want = (sorted(profiling.profile(f).collect()) for f in (frame, texts))
+    assert got == want
+    facts = {r["column_name"]: r for r in profiling.column_facts(frame, exact=["i"]).collect()}
+    assert (facts["i"]["distinct_count"], facts["d"]["distinct_count"]) == (3, None)
+    assert {r["column_name"]: r["approx_distinct_count"] for r in profiling.quick_profile(frame).collect()} == {"i": 3, "d": 4, "n": 3, "t": 2, "b": 2, "s": 3}
+    assert [r["detected_runtime_type"] for r in profiling.profile(frame.limit(0), exact=[]).collect()] == ["STRING"] * 6
+
+
+def test_wide_profiles_take_several_passes(spark):
+    wide = spark.range(5).select(*[(F.col("id") * i).alias(f"c.{i}") for i in range(70)])
+    rows = {r["column_name"]: r for r in profiling.profile(wide).collect()}
+    assert len(rows) == 70 and rows["c.69"]["max_value"] == "276" and rows["c.0"]["distinct_count"] == 1
+
+
+def test_names_are_found_without_case(spark, tmp_path):
+    spark.createDataFrame([("7", "2"), ("x", "3")], "CustKey string, QTY string").write.parquet(str(tmp_path / "in"))
+    mapping = [{"source_column": s, "target_table": "t", "target_column": g, "target_type": "BIGINT", "conversion_rule": "cast_bigint"} for s, g in (("custkey", "CustKey"), ("Qty", "qty"))]
+    seen = Observation("seen")
+    rows, warnings = conversion.convert_table(spark.read.parquet(str(tmp_path / "in")), mapping, "b", "2024-01-01 00:00:00", seen)
+    assert warnings == [] and sorted((r["CustKey"] or 0, r["qty"]) for r in rows.collect()) == [(0, 3), (7, 2)]
+    assert seen.get == {"row_count": 2, "CustKey": 1, "qty": 0}
+    report = {r["check_id"]: r["status"] for r in checks.output_checks(rows.withColumnRenamed("CustKey", "custKEY"), mapping, 2).collect()}
+    assert report["approved_target_columns_exist"] == "passed" and report["numeric_values"] == "passed"
+    spoiled = checks.output_checks(rows.withColumn("QTY", F.lit("many")), mapping, 2).collect()
+    assert {r["check_id"]: r["status"] for r in spoiled}["numeric_values"] == "failed"
+
+
 def verdicts(frame, rows=2):
     return {r["check_id"]: r["status"] for r in checks.output_checks(frame, MAPPING, rows).collect()}
 
@@ -131,10 +165,17 @@ def test_small_checks(spark):
     assert {r["column_name"]: (r["null_percentage"], r["warning"]) for r in nulls.collect()} == {"a": (0.0, False), "b": (66.67, True)}
     empty = checks.null_percentages(spark.createDataFrame([], "a int"), ["a"]).first()
     assert empty["null_percentage"] == 0.0
-    assert checks.field_parity(ten, spark.createDataFrame([(1, 2)], "id int, x int"), ["id"], spark.createDataFrame([(1, 2)], "id int, x int")) == [
-        "CONCATENATE_FIELD_PARITY_MISMATCH: x", "CONCATENATE_SOURCE_ONLY_FIELD_LEAK: x"]
-    assert checks.join_key_issues(ten, three, "ID", "nope") == ["JOIN_KEY_MISSING_RIGHT: nope"]
-    assert len(checks.join_key_issues(spark.createDataFrame([(1,)], "CustKey int"), spark.createDataFrame([(1,)], "CustomerName int"), "CustKey", "CustomerName")) == 1
+    wide = spark.createDataFrame([(1, 2)], "id int, x int")
+    named = lambda df: {r["check_id"]: (r["names"], r["status"]) for r in df.collect()}
+    assert named(checks.field_parity(ten, wide, ["id"], wide)) == {
+        "CONCATENATE_FIELD_PARITY_MISMATCH": ("x", "failed"), "CONCATENATE_SOURCE_ONLY_FIELD_LEAK": ("x", "failed")}
+    assert named(checks.field_parity(ten, wide, ["ID"], ten))["CONCATENATE_FIELD_PARITY_MISMATCH"] == ("", "passed")
+    missing = named(checks.join_key_issues(ten, three, "ID", "nope"))
+    assert missing["JOIN_KEY_MISSING_RIGHT"] == ("nope", "failed") and "JOIN_KEY_UNMATCHED" not in missing
+    found = checks.join_key_issues(ten, three, "ID", "id").where("check_id = 'JOIN_KEY_UNMATCHED'").first()
+    assert (found["actual"], found["status"]) == (7.0, "failed")
+    assert named(checks.join_key_issues(spark.createDataFrame([(1,)], "CustKey int"), spark.createDataFrame([("x",)], "CustomerName string"), "CustKey", "CustomerName"))[
+        "JOIN_KEY_TO_TEXT"] == ("CustKey = CustomerName", "failed")
     kinds = checks.cardinality(ten.withColumn("k", F.lit(1)), "k", three, "id").first()
     assert (kinds["cardinality"], kinds["is_safe"]) == ("*:1", True)
     assert [r["is_grain"] for r in checks.grain_keys(ten, [["id"]]).collect()] == [True]

@@ -72,8 +72,14 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 def test_samples_are_limited_before_the_shuffle(spark):
-    counts = profiling.value_counts(spark.range(100).select(F.col("id").cast("string").alias("c")))
-    assert plan(profiling.samples(counts)).count("WindowGroupLimit") == 2
+    values = profiling.distinct_values(spark.range(100).select(F.col("id").cast("string").alias("c")), ["c"])
+    assert plan(profiling.samples(values)).count("WindowGroupLimit") == 2
+
+
+def test_a_profile_without_distinct_counts_moves_one_row_a_task(spark):
+    frame = spark.range(100).select("id", F.col("id").cast("string").alias("c"), (F.col("id") / 3).alias("d"))
+    text = plan(profiling.profile(frame, exact=[]))
+    assert text.count("Exchange SinglePartition") == 1 and "hashpartitioning" not in text and "Window" not in text
 
 
 def test_conversion_is_one_projection(spark, tmp_path):

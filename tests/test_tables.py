@@ -1,11 +1,14 @@
 """Sources, sinks, unions and joins on small fixtures."""
 
+import io
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from ferryload.operators import combine, joins
+from ferryload.session import shared_folder
 from ferryload.sources import headers, sinks
 from ferryload.sources import tables as S
 
@@ -149,19 +152,60 @@ def test_extract_headers(spark, tmp_path, reader):
     assert tables["sales.qvd"]["field_count"] == 3
 
 
+def test_headers_are_read_within_bounds(monkeypatch):
+    monkeypatch.setattr(headers, "SCAN_BYTES", 300_000)
+    monkeypatch.setattr(headers, "_CHUNK_BYTES", 1000)
+    text = headers.HEADER_START.encode() + b"x" * 5000 + headers.HEADER_END.encode()
+
+    class Endless(io.RawIOBase):
+        read_bytes = 0
+
+        def read(self, n=-1):
+            self.read_bytes += n
+            return b"\x00" * n
+
+    endless = Endless()
+    assert headers._head_of(endless) is None and endless.read_bytes == 300_000
+    for before in (0, 1, 990, 999, 1000, 5555):
+        assert headers._head_of(io.BytesIO(b"\x00" * before + text + b"y" * 9000)) == text
+    assert headers._head_of(io.BytesIO(text[:-1])) is None and headers._head_of(io.BytesIO(b"")) is None
+
+
+def test_stable_order(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "b int, A int, c int, `a.x` int")
+    assert combine.stable_columns(df).columns == ["A", "a.x", "b", "c"]
+    assert combine.stable_columns(df, ["C", "nope"]).columns == ["c", "A", "a.x", "b"]
+    assert list(combine.stable_tables({"z": df, "B": df, "a": df})) == ["a", "B", "z"]
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return default if key == "spark.checkpoint.dir" else "/warehouse"
+
+    def session_on(master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=Conf(), sparkContext=context)
+
+    assert shared_folder(session_on("local[4]")) == "/warehouse/_checkpoints"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session_on("spark://host:7077"))
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", "b1"), (2, "b", "b2")], "id int, name string, _batch_id string")
     path = sinks.write_typed(df, str(tmp_path), "t/x")
     sinks.write_typed(df, str(tmp_path), "t/x")
-    assert os.path.basename(path) == "t_x" and spark.read.parquet(path).count() == 4
+    assert os.path.basename(path) == "t_x" and spark.read.parquet(path).count() == 2  # the same batches again
     assert {d for d in os.listdir(path) if d.startswith("_batch")} == {"_batch_id=b1", "_batch_id=b2"}
-    assert S.part_files(spark.read.parquet(path)).count() >= 4
+    listed = S.part_files(spark.read.parquet(path))
+    assert listed.count() == 2 and listed.where("file_size > 0").count() == 2 and "Scan parquet" not in listed._jdf.queryExecution().toString()
     sinks.store(df, str(tmp_path / "out.csv"))
     assert S.read_table(spark, str(tmp_path / "out.csv"), "csv", "id int, name string, b string", header=True).count() == 2
     with pytest.raises(ValueError):
         sinks.store(df, str(tmp_path / "out.xlsx"))
     S.file_view(spark, path, "landed")
-    assert S.sql_source(spark, "SELECT count(*) AS n FROM landed WHERE id = :i", {"i": 1}).first()["n"] == 2
+    assert S.sql_source(spark, "SELECT count(*) AS n FROM landed WHERE id = :i", {"i": 1}).first()["n"] == 1
 
 
 def test_table_loads(spark, tmp_path):
@@ -176,6 +220,25 @@ def test_table_loads(spark, tmp_path):
     assert rows[1]["_source_file_name"].endswith(".parquet") and rows[1]["_ingestion_timestamp"] is not None and rows[1]["_record_hash"] is None
     sinks.raw_load(spark.table("loads.target").select("id"), "loads.raw")
     assert spark.table("loads.raw").count() == 2
+
+    def batch(name, *ids):
+        return spark.createDataFrame([(str(i), "1", name) for i in ids], "id string, amount string, _batch_id string")
+
+    def ids(table):
+        return sorted((r["_batch_id"], int(r["id"])) for r in spark.table(table).where("_batch_id IS NOT NULL").collect())
+
+    landed = str(tmp_path / "landed")
+    for rows in (batch("007", 1, 2), batch("b8", 3), batch("007", 4)):
+        sinks.typed_load(spark, sinks.write_typed(rows, landed, "t"), "loads.target", mapping)
+    assert ids("loads.target") == [("007", 4), ("b8", 3)]
+    spark.sql("CREATE TABLE loads.foreign (id BIGINT, amount DECIMAL(18,2), _batch_id STRING, _source_file_name STRING, _source_file_path STRING,"
+              " _ingestion_timestamp TIMESTAMP, _record_hash STRING) USING parquet")
+    for _ in range(2):
+        sinks.typed_load(spark, f"{landed}/t", "loads.foreign", mapping)
+    assert ids("loads.foreign") == [("007", 4), ("b8", 3)]
+    for rows in (batch("007", 1, 2), batch("b8", 3), batch("007", 4)):
+        sinks.raw_load(rows, "loads.batches")
+    assert ids("loads.batches") == [("007", 4), ("b8", 3)]
     spark.sql("DROP DATABASE loads CASCADE")
 
 
