@@ -145,14 +145,16 @@ class Spectrum:
             middle = self.shifted((low + high) / 2)
             for _ in range(2):
                 x = np.linalg.qr(middle.solve(x))[0]
+            done = False
             for _ in range(8):
                 value = float((x.T @ self.matrix @ x)[0, 0])
-                if not low <= value <= high:
+                if done or not low <= value <= high:
                     break
-                if np.linalg.norm(self.matrix @ x - value * x) <= self.rounding / 16:
-                    return np.array([value]), x
-                x = np.linalg.qr(self.shifted(value).solve(x))[0]
-            else:
+                done = np.linalg.norm(self.matrix @ x - value * x) <= self.rounding / 16
+                x = np.linalg.qr(self.shifted(value).solve(x))[0]  # the step after convergence still sharpens the vector
+            x = np.linalg.qr(x - found @ (found.T @ x))[0]
+            value = float((x.T @ self.matrix @ x)[0, 0])
+            if done and low <= value <= high:
                 return np.array([value]), x
             if high - low <= self.rounding:
                 return self._together(k, low, high, found)

@@ -93,3 +93,29 @@ def license_base(text):
         at += here
         labels |= {label} if here else set()
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
+
+
+def collocations(rows, least=30, top=2000, longest=4):
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text) rows, counted with dictionaries."""
+    counts, words_of_lang = {}, {}
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\x0a-\x0d]", text):
+            w = [x for x in re.split("[\x20\x09]+", piece) if x]
+            words_of_lang[lang] = words_of_lang.get(lang, 0) + len(w)
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    key = lang, tuple(w[i : i + k])
+                    counts[key] = counts.get(key, 0) + 1
+    out = {}
+    for (lang, p), a in counts.items():
+        if len(p) < 2 or a < least:
+            continue
+        inside = [(q, b) for (other, q), b in counts.items() if other == lang and b >= least and len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q)))]
+        if any(100 * b >= 80 * a for _, b in inside):
+            continue
+        score, cut = min((2000000 * a // (counts[lang, p[:k]] + counts[lang, p[k:]]), k) for k in range(1, len(p)))
+        out.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), counts[lang, p[:cut]], counts[lang, p[cut:]]))
+    return [(lang, rank, p.decode(), -a, l, r, words_of_lang[lang], -score)
+            for lang, found in out.items() for rank, (score, a, p, l, r) in enumerate(sorted(found)[:top], 1)]

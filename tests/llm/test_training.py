@@ -240,7 +240,7 @@ def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {n for n in range(1, 11)} == {int(x[2:].split("_")[0]) for x in names if x[:2] == "op" and x[2].isdigit()}
+    assert {n for n in range(1, 14)} == {int(x[2:].split("_")[0]) for x in names if x[:2] == "op" and x[2].isdigit()}
     assert set(queries.QUERIES) <= names and set(queries.ORACLE) <= set(entry.oracle_sql())
     assert neardup.BANDS * neardup.ROWS % neardup.BATCH == 0
 
