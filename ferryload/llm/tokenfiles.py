@@ -14,12 +14,12 @@ by `select`, which looks only at the bits between two samples. Images lie as row
 image) of Parquet files, as these are committed task by task in any store; the image itself is the file format.
 
 Texts are dealt to parts by ranges of doc_id, ties by the text's hash and then by the row's place, so that no id
-makes a part of its own. Only totals of the parts (one number per shuffle partition) reach the driver; a block knows its
-place in its part.
+makes a part of its own; a part holds about PART_BYTES of text, and there are at most MOST_PARTS. Only totals of the parts
+(one number each) reach the driver; a block knows its place in its part.
 
-The library gives the ids of every text. Where its tokenizer is byte-level BPE that parts words before blanks, a text is
-the words between its single blanks, each encoded once a task; texts in which a blank touches other white space, or that
-hold an added token, are encoded whole.
+The library gives the ids of every text. Where its tokenizer is byte-level BPE that parts words before blanks and before
+punctuation, a text is parted there, and each part is encoded once a task, as long as the task does not know too many;
+texts in which a blank touches other white space, or that hold an added token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from __future__ import annotations
 import json
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +44,10 @@ MAGIC, SAMPLE = b"EFIDS\x00\x00\x01", 256
 _HEADER = "<8sQQIIII"
 _BLOCKS = "part int, block int, first long, n_ids long, doc_ids array<long>, image binary"
 _READ = "part int, doc_id long, start long, n_tokens long, ids binary"
-_KNOWN_WORDS, _BATCH_WORDS = 500_000, 2_000
+PART_BYTES, MOST_PARTS = 64 << 20, 20_000
+_KNOWN_WORDS, _BATCH_WORDS, _SLICE_BYTES = 120_000, 2_000, 2 << 20
 _SPACE = r"[\t-\r\x1c-\x1f\x{85}\pZ]"
+_GLUED = r"([A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?])"  # a letter run ends here in every version of the pattern's classes
 
 
 class Encoder:
@@ -59,25 +62,28 @@ class Encoder:
                          and not model.get("dropout") and before.get("type") == "ByteLevel" and before.get("use_regex", True)
                          and not before.get("add_prefix_space", True))
         added = [re.escape(t["content"]) for t in config.get("added_tokens", [])]
-        self.not_words = "|".join([f"{_SPACE} | {_SPACE}", *added])
-        self._forget()
+        self.not_words = "|".join([f"{_SPACE} | {_SPACE}", r"\x00", *added])
+        self.recent, self.older = {}, {}
 
-    def _forget(self) -> None:
-        self.known, self.lengths, self.pool = {}, np.empty(0, np.int64), np.empty(0, np.uint32)
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for i in range(0, len(texts), _BATCH_WORDS)
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, each as 32-bit numbers."""
+        return [array("I", e.ids).tobytes() for i in range(0, len(texts), _BATCH_WORDS)
                 for e in self.tokenizer.encode_batch_fast(texts[i : i + _BATCH_WORDS], add_special_tokens=False)]
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """Numbers of words in the pool; new ones are encoded."""
-        new = [w for w in words if w not in self.known]
-        if new:
-            found = self._ids(new)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, found), np.int64, len(found))])
-            self.pool = np.concatenate([self.pool, np.array([i for ids in found for i in ids], np.uint32)])
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of words. Those that were used lately are known; a word that was not met for a while is forgotten."""
+        if len(self.recent) > _KNOWN_WORDS:
+            self.recent, self.older = {}, self.recent
+        recent, older = self.recent, self.older
+        new = [w for w in words if w not in recent and w not in older]
+        recent.update(zip(new, self._ids(new)))
+        out = []
+        for word in words:
+            ids = recent.get(word)
+            if ids is None:
+                ids = recent[word] = older[word]
+            out.append(ids)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
@@ -86,29 +92,28 @@ class Encoder:
         plain = np.zeros(len(texts), bool)
         if self.by_words:
             plain = ~pc.match_substring_regex(texts, self.not_words).to_numpy(zero_copy_only=False)
-        if len(self.known) > _KNOWN_WORDS:
-            self._forget()
-        split = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        parted = pc.replace_substring_regex(texts.filter(pa.array(plain)), _GLUED, "\\1 \x00\\2")  # a part with \x00 has no blank before it
+        split = pc.split_pattern(parted, " ")
         starts = split.offsets.to_numpy().astype(np.int64)
         words = split.flatten().dictionary_encode()
         at, forms = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
         is_first = np.zeros(len(at), bool)
         is_first[starts[:-1] - starts[0]] = True
-        numbers = np.full(2 * len(forms), -1, np.int64)  # a word behind a blank, a word at the start
-        for side, blank in ((~is_first, " "), (is_first, "")):
-            used = np.unique(at[side])
-            numbers[used + (0 if blank else len(forms))] = self._numbers([blank + forms[i] for i in used])
+        numbers = np.full(2 * len(forms), -1, np.int64)  # a part inside a text, a part at its start
+        later, first = np.unique(at[~is_first]), np.unique(at[is_first])
+        numbers[later], numbers[first + len(forms)] = np.arange(len(later)), len(later) + np.arange(len(first))
+        parts = [form[1:] if form[:1] == "\x00" else " " + form for form in map(forms.__getitem__, later)] + [forms[i] for i in first]
         unit = numbers[at + is_first * len(forms)]
 
-        others = [ids for text in texts.filter(pa.array(~plain)).to_pylist() for ids in self._ids([text])]
-        lengths = np.concatenate([self.lengths, np.fromiter(map(len, others), np.int64, len(others))])
-        pool = np.concatenate([self.pool, *(np.array(ids, np.uint32) for ids in others)])
+        found = self._known(parts) + [ids for text in texts.filter(pa.array(~plain)).to_pylist() for ids in self._ids([text])]
+        pool = np.frombuffer(b"".join(found), np.uint32)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         per_text = np.ones(len(texts), np.int64)
         per_text[plain] = np.diff(starts)
         units = np.empty(per_text.sum(), np.int64)
         of_plain = np.repeat(plain, per_text)
         units[of_plain] = unit
-        units[~of_plain] = len(self.lengths) + np.arange(len(others))
+        units[~of_plain] = len(parts) + np.arange(len(found) - len(parts))
 
         n = lengths[units]
         ends = np.cumsum(n)
@@ -119,6 +124,13 @@ class Encoder:
         return ids, np.diff(upto)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch, about _SLICE_BYTES of text at once."""
+    number = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // _SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]))
+
+
 def image_of(ids: np.ndarray, ends: np.ndarray, width: int) -> bytes:
     """A block's image; ``ends`` rise, the last one is len(ids)."""
     m, u = len(ends), len(ids)
@@ -184,7 +196,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, bl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, block, first = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
+        for batch in (part for whole_batch in batches for part in _slices(whole_batch)):
             ids, lengths = encoder.encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(lengths), end_id)
             ends = np.cumsum(lengths + 1)
@@ -205,7 +217,10 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, bl
     order = [F.col("doc_id").asc_nulls_first(), "tie", "place"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("tie"),
                        F.monotonically_increasing_id().alias("place"))
-    rows = rows.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    if parts is None:
+        size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        parts = min(max(spark.sparkContext.defaultParallelism, size // PART_BYTES), MOST_PARTS)
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     rows.select("doc_id", "text").mapInArrow(run, _BLOCKS).write.mode("overwrite").parquet(folder)
 
 
@@ -213,7 +228,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian, 32 bit each)."""
     blocks = spark.read.schema(_BLOCKS).parquet(folder)
     bases, base = {}, 0
-    for row in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():  # one row per shuffle partition of the writer
+    for row in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():  # one row per part
         bases[row["part"]], base = base, base + row["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
