@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ferryload.fixed_values import FLAG_TOKENS
+from ferryload import fixed_values as fixed
 from ferryload.functions.classes import field_category, target_type
 from ferryload.functions.text import column_name
 from ferryload.operators import joins, metrics, profiling, reconcile
@@ -64,7 +64,7 @@ def found(t: Tables, counted: bool = False):
     for all fields if ``counted``. The facts are one row per field and are read several times, so they are computed here."""
     facts = None
     for name, df in {"sales": sales(t), "shipments": shipments(t)}.items():
-        asked = [c for c in df.columns if counted or any(token in c.lower() for token in FLAG_TOKENS)]
+        asked = [c for c in df.columns if counted or any(token in c.lower() for token in fixed.FLAG_TOKENS)]
         part = profiling.column_facts(df, exact=asked).withColumn("table_name", F.lit(name))
         facts = part if facts is None else facts.unionByName(part)
     facts = facts.select("table_name", "column_name", "distinct_count", profiling.runtime_type(F.lit("")).alias("detected_runtime_type"))
@@ -185,14 +185,20 @@ _LISTED = ", ".join(f"('{n}', {i}, '{f}', '{k}')" for n, fields in MODEL.items()
 _PROFILES = " UNION ALL ".join(f"SELECT '{n}' AS table_name, * FROM ({profile_sql(n, f)})" for n, fields in MODEL.items() for f, _ in fields)
 
 
-def _any(column: str, tokens: str) -> str:
-    return f"regexp_matches(lower({column}), '{tokens.replace(' ', '|')}')"
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{word}'" for word in words)
+
+
+def _any(column: str, tokens: list[str]) -> str:
+    return f"regexp_matches(lower({column}), '{'|'.join(tokens)}')"
 
 
 _F = "source_column"
-_KEY, _DATE, _FLAG = _any(_F, "id key code"), _any(_F, "date timestamp"), _any(_F, "flag is_ has_ active enabled indicator")
-_MEASURE = _any(_F, "sales amount revenue budget forecast quantity qty units cost price value margin difference ops")
-_DIMENSION = _any(_F, "customer product platform category franchise region country state area tier market segment channel brand")
+_KEY, _DATE, _FLAG = _any(_F, fixed.KEY_TOKENS), _any(_F, fixed.DATE_TOKENS), _any(_F, fixed.FLAG_TOKENS)
+_MEASURE = _any(_F, fixed.MEASURE_TOKENS)
+_DIMENSION = _any(_F, fixed.DIMENSION_TOKENS)
+
+_PATTERNS = ", ".join(f"({p}, {level}, '{token}')" for p, tokens in enumerate(fixed.HIERARCHY_PATTERNS) for level, token in enumerate(tokens))
 
 FOUND = TABLES_SQL + f""",
 listed(table_name, position, source_column, kind) AS (VALUES {_LISTED}),
@@ -206,8 +212,8 @@ roles AS (
   SELECT *, CASE WHEN s IN ({RESERVED}) THEN s || '_col' ELSE s END AS target_column,
     CASE cl WHEN 'DATE_LIKE' THEN 'DATE' WHEN 'TEXT_LIKE' THEN 'STRING' WHEN 'KEY_LIKE' THEN 'STRING'
       WHEN 'FLAG_LIKE' THEN CASE WHEN distinct_count <= 2 THEN 'BOOLEAN' ELSE 'INT' END
-      WHEN 'NUMERIC_LIKE' THEN CASE WHEN {_any(_F, 'units count qty quantity')} THEN 'BIGINT'
-        WHEN {_any(_F, 'amount sales price cost value revenue margin difference ops')} THEN 'DECIMAL(18,2)' ELSE 'DOUBLE' END ELSE 'STRING' END AS target_type,
+      WHEN 'NUMERIC_LIKE' THEN CASE WHEN {_any(_F, fixed.COUNT_TOKENS)} THEN 'BIGINT'
+        WHEN {_any(_F, fixed.DECIMAL_TOKENS)} THEN 'DECIMAL(18,2)' ELSE 'DOUBLE' END ELSE 'STRING' END AS target_type,
     CASE WHEN cl = 'DATE_LIKE' THEN 'DATE' WHEN {_FLAG} OR rt = 'BOOLEAN_LIKE' OR cl = 'FLAG_LIKE' THEN 'FLAG' WHEN cl = 'KEY_LIKE' THEN 'IDENTIFIER'
       WHEN {_MEASURE} OR cl = 'NUMERIC_LIKE' OR rt IN ('INTEGER', 'DECIMAL') THEN 'MEASURE' ELSE 'DIMENSION' END AS entity_type,
     (cl = 'TEXT_LIKE' OR {_DIMENSION}) AS telling,
@@ -227,16 +233,15 @@ dates AS (SELECT table_name, first(target_column ORDER BY position) AS date_colu
 kpi0 AS (
   SELECT f.*, d.targets, date_column, 'By ' || array_to_string(list_append(d.names, date_name), ', ') AS grain,
     CASE WHEN entity_type = 'FLAG' THEN CASE WHEN target_type = 'BOOLEAN' THEN 'COUNT' ELSE 'SUM' END
-         WHEN {_any(_F, 'rate percentage percent ratio')} THEN 'AVG' ELSE 'SUM' END AS aggregation_type,
+         WHEN {_any(_F, fixed.AVG_TOKENS)} THEN 'AVG' ELSE 'SUM' END AS aggregation_type,
     list_aggregate(list_transform(string_split(s, '_'), lambda w: CASE w WHEN 'py' THEN 'Prior Year' WHEN 'qty' THEN 'Quantity' ELSE upper(w[1]) || w[2:] END), 'string_agg', ' ') AS kpi_name
   FROM found f LEFT JOIN dims d USING (table_name) LEFT JOIN dates USING (table_name) WHERE entity_type IN ('MEASURE', 'FLAG')),
 kpis AS (
   SELECT *, kpi_name || ' derived from `' || source_column || '`.' AS business_description, aggregation_type || '(' || target_column || ')' AS recommended_formula,
     CAST(CASE WHEN entity_type = 'FLAG' THEN CASE aggregation_type WHEN 'COUNT' THEN 0.68 ELSE 0.72 END WHEN aggregation_type = 'AVG' THEN 0.78
-      WHEN {_any(_F, 'sales amount revenue cost price value margin difference quantity qty units budget forecast ops')} THEN 0.86 ELSE 0.6 END AS DOUBLE) AS kpi_confidence,
+      WHEN {_any(_F, fixed.SUM_TOKENS)} THEN 0.86 ELSE 0.6 END AS DOUBLE) AS kpi_confidence,
     targets AS dimensions FROM kpi0),
-patterns(p, l, token) AS (VALUES (0, 0, 'region'), (0, 1, 'country'), (0, 2, 'state'), (1, 0, 'area'), (1, 1, 'tier'), (2, 0, 'category'), (2, 1, 'franchise'),
-  (2, 2, 'platform'), (3, 0, 'customer'), (3, 1, 'segment'), (3, 2, 'channel')),
+patterns(p, l, token) AS (VALUES {_PATTERNS}),
 hits AS (
   SELECT table_name, p, l, first(business_name ORDER BY position) AS b, first(source_column ORDER BY position) AS s, first(target_column ORDER BY position) AS t,
     first(distinct_count ORDER BY position) AS n
@@ -307,8 +312,8 @@ ORACLE = {
         SELECT table_name, 'KPI' AS term_type, kpi_name AS name, business_description AS business_definition, source_column AS source_columns,
           array_to_string(dimensions, '|') AS dimensions_used, date_column AS date_grain, kpi_confidence AS confidence FROM kpis
         UNION ALL SELECT table_name, 'DIMENSION', business_name, reason, source_column, '', 'not_applicable', confidence FROM found WHERE entity_type = 'DIMENSION'
-        UNION ALL SELECT table_name, 'HIERARCHY', business_name, 'Common business hierarchy token sequence detected from available fields.', source_column, '', 'not_applicable', 0.72 FROM hier)
-      SELECT *, 'Business owner to be assigned' AS owner FROM g""",
+        UNION ALL SELECT table_name, 'HIERARCHY', business_name, '{fixed.HIERARCHY_REASON}', source_column, '', 'not_applicable', 0.72 FROM hier)
+      SELECT *, '{fixed.GLOSSARY_OWNER}' AS owner FROM g""",
     "reconciliation_rules": f"WITH {FOUND} SELECT *, 'absolute_or_percentage_variance' AS comparison_type, '0.01%' AS tolerance FROM rules",
     "rules_by_metric": f"""
       WITH {FOUND} SELECT table_name, metric_name, count(*) AS total_checks, bool_or(dimension IS NULL) AS has_total_check, count(*) FILTER (date_grain = 'month') AS date_check_count,
@@ -333,6 +338,6 @@ ORACLE = {
       WITH {FOUND}, w AS (SELECT table_name, position, unnest(string_split(target_column, '_')) AS word, generate_subscripts(string_split(target_column, '_'), 1) AS i
         FROM found WHERE entity_type = 'MEASURE'),
       d AS (SELECT table_name, first(word ORDER BY position, i) AS domain FROM w
-        WHERE word NOT IN ('actual', 'budget', 'forecast', 'py', 'yoy', 'sales', 'amount', 'units') GROUP BY 1)
+        WHERE word NOT IN ({_quoted(fixed.DOMAIN_STOP_TOKENS)}) GROUP BY 1)
       SELECT table_name, domain, 'silver.fact_' || domain AS silver_table, 'gold.' || domain || '_kpis' AS gold_table FROM d""",
 }

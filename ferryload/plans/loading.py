@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ferryload.functions import conditions as C
 from ferryload.functions import dates as D
 from ferryload.functions import text as X
-from ferryload.fixed_values import RESERVED_WORDS
+from ferryload.fixed_values import COUNT_TOKENS, DATE_TOKENS, DECIMAL_TOKENS, FLAG_TOKENS, KEY_TOKENS, RESERVED_WORDS
 from ferryload.operators import catalog, checks, combine, conversion, joins, ordering
 from ferryload.plans.tables import Tables, day, exact_mean
 from ferryload.session import JobFolder
@@ -341,10 +341,10 @@ fields AS (
 ),
 classed AS (
   SELECT *, CASE
-    WHEN regexp_matches(lower(field_name), 'date|timestamp') THEN 'DATE_LIKE'
-    WHEN regexp_matches(lower(field_name), 'id|key|code') THEN 'KEY_LIKE'
+    WHEN regexp_matches(lower(field_name), '""" + "|".join(DATE_TOKENS) + """') THEN 'DATE_LIKE'
+    WHEN regexp_matches(lower(field_name), '""" + "|".join(KEY_TOKENS) + """') THEN 'KEY_LIKE'
     WHEN tags = '$text' THEN 'TEXT_LIKE'
-    WHEN regexp_matches(lower(field_name), 'flag|is_|has_|active|enabled|indicator') THEN 'FLAG_LIKE'
+    WHEN regexp_matches(lower(field_name), '""" + "|".join(FLAG_TOKENS) + """') THEN 'FLAG_LIKE'
     ELSE 'NUMERIC_LIKE' END AS inferred_category
   FROM fields
 )"""
@@ -374,8 +374,8 @@ suggested AS (
     CASE WHEN rn = 0 THEN base ELSE base || '_' || rn END AS target_column,
     CASE inferred_category WHEN 'DATE_LIKE' THEN 'DATE' WHEN 'TEXT_LIKE' THEN 'STRING' WHEN 'KEY_LIKE' THEN 'STRING'
       WHEN 'FLAG_LIKE' THEN CASE WHEN symbols <= 2 THEN 'BOOLEAN' ELSE 'INT' END
-      ELSE CASE WHEN regexp_matches(lower(field_name), 'units|count|qty|quantity') THEN 'BIGINT'
-                WHEN regexp_matches(lower(field_name), 'amount|sales|price|cost|value|revenue|margin|difference|ops') THEN 'DECIMAL(18,2)'
+      ELSE CASE WHEN regexp_matches(lower(field_name), '{"|".join(COUNT_TOKENS)}') THEN 'BIGINT'
+                WHEN regexp_matches(lower(field_name), '{"|".join(DECIMAL_TOKENS)}') THEN 'DECIMAL(18,2)'
                 ELSE 'DOUBLE' END END AS target_type
   FROM (SELECT *, row_number() OVER (PARTITION BY file_name, table_name, base ORDER BY position) - 1 AS rn FROM based)
 ),
