@@ -7,7 +7,7 @@ counted for one full cycle, so every shard counts for it once. The steps end whe
 full cycle.
 
 The scans count 64-bit hashes. Which phrases have reached the threshold, and in which step, is told by an array of
-SLOTS step numbers (16 MB, whatever the corpus) that is broadcast. It is a Bloom filter with steps for bits: two phrases
+SLOTS step numbers (8 MB, whatever the corpus) that is broadcast. It is a Bloom filter with steps for bits: two phrases
 in one slot make one of them active early, never late, and an early phrase still has one full cycle. Sums of phrases
 that share a hash are too large, never too small. So no frequent phrase is lost, and an exact count, by texts, of those
 that remain follows; a filter that is fuller than planned costs time, not results. Phrases that are complete below the
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from ferryload.llm.common import Workspace, mix, whole
 
-SLOTS = 1 << 24
+SLOTS = 1 << 23
 NEVER = 255
-_CHUNK_WORDS, _SLICE_BYTES = 1 << 21, 1 << 22
+_CHUNK_WORDS, _SLICE_BYTES = 1 << 20, 1 << 21
 # Marks of a piece's end become byte 255, which UTF-8 does not have; A-Z become a-z. Blank and tab part words.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes(255 if b in _ENDS else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -65,6 +65,14 @@ class Numbers(dict):
         value = self[word] = len(self)
         return value
 
+    def of(self, text: bytes) -> np.ndarray:
+        """Numbers of the words of ``text``, which may hold byte 255; each distinct word is looked up once."""
+        one = pa.Array.from_buffers(pa.string(), 1, [None, pa.py_buffer(np.array([0, len(text)], np.int32)), pa.py_buffer(text)])
+        words = pc.ascii_split_whitespace(one).flatten().dictionary_encode()
+        known = np.fromiter((self[w] if w else -1 for w in words.dictionary.cast(pa.binary()).to_pylist()), np.int32, len(words.dictionary))
+        ids = known[words.indices.to_numpy()]
+        return ids[ids >= 0]
+
 
 def chunks(docs: DataFrame, shards: int) -> DataFrame:
     """Word numbers of ``docs`` (lang, text), one row per language and about _CHUNK_WORDS words."""
@@ -86,9 +94,8 @@ def chunks(docs: DataFrame, shards: int) -> DataFrame:
             langs, texts = batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary())
             for lang, some in _slices(langs, texts):
                 numbers, parts = held.setdefault(lang, (Numbers(), []))
-                tokens = b"\xff".join([*some, b""]).translate(_TABLE).replace(b"\xff", b" \xff ").split()
-                parts.append(np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens)))
-                size += len(tokens)
+                parts.append(numbers.of(b"\xff".join([*some, b""]).translate(_TABLE).replace(b"\xff", b" \xff ")))
+                size += len(parts[-1])
                 if size >= _CHUNK_WORDS:
                     yield flush()
                     held.clear()
@@ -204,7 +211,7 @@ def frequent(docs: DataFrame, how: Phrases = Phrases()) -> tuple[DataFrame, Data
         counted = work.write(counted.where((F.col("n") >= how.least) | (F.col("last") > step)), f"step{step}")
         if step:
             work.drop(f"step{step - 1}")
-        shared.unpersist()
+        shared.destroy()  # the step is written
         fresh = _slots_of(counted.where((F.col("n") >= how.least) & (F.col("k") < how.longest)))
         fresh = fresh[steps[fresh] == NEVER]
         steps[fresh] = step + 1
@@ -223,7 +230,9 @@ def frequent(docs: DataFrame, how: Phrases = Phrases()) -> tuple[DataFrame, Data
                                                       phrases, pa.array(n.astype(np.int64))], names=["lang", "k", "phrase", "n"])
 
     sums = table.select("lang", "words", "ids").mapInArrow(count, _EXACT).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-    return work.write(sums.where(F.col("n") >= how.least), "frequent"), table.groupBy("lang").agg(F.sum("n_words").alias("n"))
+    found = work.write(sums.where(F.col("n") >= how.least), "frequent")
+    shared.destroy()
+    return found, table.groupBy("lang").agg(F.sum("n_words").alias("n"))
 
 
 def _scanner(shared, step: int, how: Phrases):
