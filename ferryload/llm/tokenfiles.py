@@ -43,9 +43,9 @@ from ferryload.llm.tokencount import load_tokenizer
 MAGIC, SAMPLE = b"EFIDS\x00\x00\x01", 256
 _HEADER = "<8sQQIIII"
 _BLOCKS = "part int, block int, first long, n_ids long, doc_ids array<long>, image binary"
-_READ = "part int, doc_id long, start long, n_tokens long, ids binary"
+_READ = "doc_id long, start long, n_tokens long, ids binary"
 PART_BYTES, MOST_PARTS = 64 << 20, 20_000
-_KNOWN_WORDS, _BATCH_WORDS, _SLICE_BYTES = 120_000, 2_000, 2 << 20
+_KNOWN_WORDS, _BATCH_WORDS, _SLICE_BYTES = 350_000, 2_000, 4 << 20
 _SPACE = r"[\t-\r\x1c-\x1f\x{85}\pZ]"
 _GLUED = r"([A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?])"  # a letter run ends here in every version of the pattern's classes
 
@@ -231,17 +231,15 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     for row in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():  # one row per part
         bases[row["part"]], base = base, base + row["n"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, first, doc_ids, image in zip(*(batch.column(c) for c in ("part", "first", "doc_ids", "image"))):
-                block = Block(image.as_buffer())
-                ends = block.ends(0, block.m)
-                starts = np.concatenate([[0], ends[:-1]])
-                ids = block.ids.astype("<u4").tobytes()
-                offsets = pa.py_buffer(np.concatenate([[0], ends * 4]).astype(np.int32).tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(block.m, part.as_py(), np.int32)), doc_ids.values, pa.array(starts + first.as_py() + bases[part.as_py()]),
-                     pa.array(ends - starts), pa.Array.from_buffers(pa.binary(), block.m, [None, offsets, pa.py_buffer(ids)])],
-                    names=["part", "doc_id", "start", "n_tokens", "ids"])
-
-    return blocks.select("part", "first", "doc_ids", "image").mapInArrow(run, _READ).drop("part")
+    def run(rows) -> Iterator[tuple]:
+        for part, first, doc_ids, image in rows:
+            block = Block(image)
+            ends = block.ends(0, block.m)
+            starts = np.concatenate([[0], ends[:-1]])
+            ids = block.ids.astype("<u4")
+            for doc_id, start, end in zip(doc_ids, starts.tolist(), ends.tolist()):
+                yield doc_id, bases[part] + first + start, end - start, ids[start:end].tobytes()
+
+    # Row by row: an Arrow batch would hold all images of a task at once.
+    made = blocks.select("part", "first", "doc_ids", "image").rdd.mapPartitions(run)
+    return spark.createDataFrame(made, _READ, verifySchema=False)
