@@ -44,8 +44,9 @@ MAGIC, SAMPLE = b"EFIDS\x00\x00\x01", 256
 _HEADER = "<8sQQIIII"
 _BLOCKS = "part int, block int, first long, n_ids long, doc_ids array<long>, image binary"
 _READ = "doc_id long, start long, n_tokens long, ids binary"
-PART_BYTES, MOST_PARTS = 64 << 20, 20_000
-_KNOWN_WORDS, _BATCH_WORDS, _SLICE_BYTES = 350_000, 2_000, 4 << 20
+PART_BYTES, MOST_PARTS = 24 << 20, 20_000
+_KNOWN_WORDS, _BATCH_WORDS, _SLICE_BYTES = 150_000, 2_000, 2 << 20
+_FILES = {"parquet.block.size": 16 << 20, "parquet.enable.dictionary": False}  # a reader holds one row group of images
 _SPACE = r"[\t-\r\x1c-\x1f\x{85}\pZ]"
 _GLUED = r"([A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?])"  # a letter run ends here in every version of the pattern's classes
 
@@ -221,7 +222,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, bl
         size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
         parts = min(max(spark.sparkContext.defaultParallelism, size // PART_BYTES), MOST_PARTS)
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    rows.select("doc_id", "text").mapInArrow(run, _BLOCKS).write.mode("overwrite").parquet(folder)
+    rows.select("doc_id", "text").mapInArrow(run, _BLOCKS).write.mode("overwrite").options(**_FILES).parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
