@@ -64,8 +64,12 @@ def words_of(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of a word, remembered while there are not too many."""
 
+    def __init__(self, most: int = 500_000):
+        super().__init__()
+        self.most = most
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= self.most:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

@@ -7,8 +7,9 @@ list of weights.
 
 The model is fitted on at most `most_rows` labelled rows, those with the smallest hashes of their doc_id. So the
 list of ids that picks their texts is small enough to be broadcast (1 MB), and no text is moved to find its label.
-The rows are dealt by that hash to shards of about `shard_rows`; a shard is learned in one task, in an order that
-depends on the rows alone, and the shards' weights are averaged. A model has at most 2^20 weights, which bounds what is
+Texts become coordinates where they lie, and only these are moved. The rows are dealt by hashes of id and text to shards
+of about `shard_rows` rows and `shard_bytes` of text; a shard is learned in one task, in an order that depends on the
+rows alone, and the shards' weights are averaged. A model has at most 2^20 weights, which bounds what is
 collected and broadcast (12 MB) whatever the corpus. Every document is scored on its whole text.
 """
 
@@ -18,9 +19,10 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from ferryload.llm.common import WordHashes, mix, whole
 
@@ -28,6 +30,7 @@ DIMENSIONS = 1 << 20
 _WEIGHTS = StructType([StructField("at", IntegerType()), StructField("weight", DoubleType())])
 # Every byte that is no ASCII letter, digit or part of a longer character parts words; A-Z become a-z.
 _TABLE = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+_KNOWN_WORDS = 100_000
 _BIAS, _FIRST = np.zeros(1, np.uint64), np.ones(1, bool)
 
 
@@ -35,7 +38,7 @@ _BIAS, _FIRST = np.zeros(1, np.uint64), np.ones(1, bool)
 class Ftrl:
     """alpha, beta: rate of a coordinate is alpha / (beta + sqrt(its squared gradients)). l1: penalty per square root of
     the rows of a shard, as chance gradients grow with that; l2: penalty. most_rows: bound of the labelled rows that are
-    learned from; shard_rows: rows learned in one task, in this many passes."""
+    learned from; shard_rows, shard_bytes: rows, and bytes of their texts, learned in one task, in this many passes."""
 
     alpha: float = 1.0
     beta: float = 1.0
@@ -44,6 +47,7 @@ class Ftrl:
     passes: int = 3
     most_rows: int = 40_000
     shard_rows: int = 20_000
+    shard_bytes: int = 48 << 20
     threshold: float = 0.3
 
 
@@ -84,18 +88,27 @@ def fit(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl()) -> np.ndarray:
     """Weights from the labelled rows of ``docs`` that are not held out. Without any, all weights are 0."""
     chosen = labels_of(labels).where(~held_out("doc_id")).withColumn("order", F.xxhash64("doc_id", F.lit(7)))
     chosen = chosen.orderBy("order", "doc_id").limit(how.most_rows)  # documented bound of the fit
-    shards = max(1, -(-chosen.count() // how.shard_rows))
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most most_rows ids
-
-    def shard(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["order", "doc_id", "text"], ignore_index=True)
-        hashes = WordHashes()
-        weights = learn([(features(t, hashes), int(y)) for t, y in zip(frame["text"], frame["label"])], how)
+    labelled = docs.select("doc_id", whole("text").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most most_rows ids
+    size = labelled.select(F.count("*").alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    shards = max(1, -(-size["rows"] // how.shard_rows), -(-(size["bytes"] or 0) // how.shard_bytes))
+
+    @F.pandas_udf(BinaryType())
+    def coordinates(texts: pd.Series) -> pd.Series:
+        hashes = WordHashes(_KNOWN_WORDS)
+        return pd.Series([features(t, hashes).tobytes() for t in texts], dtype=object)
+
+    def shard(table: pa.Table) -> pa.Table:
+        key = table.select(["order", "doc_id", "tie", "label"]).append_column("row", pa.array(np.arange(len(table))))
+        in_order = key.sort_by([(c, "ascending") for c in ("order", "doc_id", "tie")])
+        found = [np.frombuffer(v.as_buffer(), np.int32) for v in table["at"]]  # views of the table's bytes
+        weights = learn([(found[i], y) for i, y in zip(in_order["row"].to_pylist(), in_order["label"].to_pylist())], how)
         at = np.flatnonzero(weights)
-        return pd.DataFrame({"at": at.astype(np.int32), "weight": weights[at]})
+        return pa.table({"at": pa.array(at.astype(np.int32)), "weight": pa.array(weights[at])})
 
-    dealt = labelled.select("doc_id", whole("text").alias("text"), "label", "order", F.pmod("order", F.lit(shards)).alias("shard"))
-    found = dealt.groupBy("shard").applyInPandas(shard, _WEIGHTS).groupBy("at").agg(F.sum("weight").alias("weight")).toPandas()
+    tie = F.xxhash64("text")
+    dealt = labelled.select("order", "doc_id", tie.alias("tie"), F.col("label").cast("int").alias("label"), coordinates("text").alias("at"),
+                            F.pmod(F.xxhash64("order", tie), F.lit(shards)).alias("shard"))
+    found = dealt.groupBy("shard").applyInArrow(shard, _WEIGHTS).groupBy("at").agg(F.sum("weight").alias("weight")).toPandas()
     weights = np.zeros(DIMENSIONS, np.float64)
     weights[found["at"].to_numpy(np.int64)] = found["weight"].to_numpy(np.float64) / shards
     return weights
@@ -107,7 +120,7 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     @F.pandas_udf(DoubleType())
     def score(texts: pd.Series) -> pd.Series:
-        weight, hashes = shared.value, WordHashes()
+        weight, hashes = shared.value, WordHashes(_KNOWN_WORDS)
         sums = np.fromiter((weight[features(t, hashes)].sum(dtype=np.float64) for t in texts), np.float64, len(texts))
         return pd.Series(1.0 / (1.0 + np.exp(-np.clip(sums, -35, 35))))
 

@@ -160,6 +160,19 @@ def test_toxicity_hand_cases(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_fit_equals_plain_learning_in_any_number_of_shards(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    chosen = toxicity.labels_of(labels).where(~toxicity.held_out("doc_id")).join(docs.select("doc_id", "text"), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    rows = chosen.select(F.xxhash64("doc_id", F.lit(7)).alias("order"), "doc_id", F.xxhash64(text).alias("tie"), "label", text.alias("text")).collect()
+    rows = sorted((r.order, r.doc_id, r.tie, r.label, r.text) for r in rows)
+    words = toxicity.WordHashes(100)  # forgets words now and then
+    plain = toxicity.learn([(toxicity.features(r[4], words), r[3]) for r in rows], toxicity.Ftrl())
+    assert np.allclose(plain, toxicity.fit(docs, labels)) and np.count_nonzero(plain)
+    some = toxicity.fit(docs, labels, toxicity.Ftrl(shard_bytes=20_000))
+    assert np.count_nonzero(some) and not np.allclose(plain, some)
+
+
 def test_ftrl_is_sparse_and_learns():
     chance = np.random.default_rng(0)
     rows = []
