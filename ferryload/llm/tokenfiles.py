@@ -18,8 +18,9 @@ makes a part of its own; a part holds about PART_BYTES of text, and there are at
 (one number each) reach the driver; a block knows its place in its part.
 
 The library gives the ids of every text. Where its tokenizer is byte-level BPE that parts words before blanks and before
-punctuation, a text is parted there, and each part is encoded once a task, as long as the task does not know too many;
-texts in which a blank touches other white space, or that hold an added token, are encoded whole.
+punctuation, a text is parted before every blank that touches no other white space and before punctuation behind a letter,
+and each part is encoded once, as long as not too many are known. What is known stays with the Python process, in a
+dictionary that is broadcast empty. Texts that hold an added token are encoded whole.
 """
 
 from __future__ import annotations
@@ -45,9 +46,11 @@ _HEADER = "<8sQQIIII"
 _BLOCKS = "part int, block int, first long, n_ids long, doc_ids array<long>, image binary"
 _READ = "doc_id long, start long, n_tokens long, ids binary"
 PART_BYTES, MOST_PARTS = 24 << 20, 20_000
-_KNOWN_WORDS, _BATCH_WORDS, _SLICE_BYTES = 150_000, 2_000, 2 << 20
+_KNOWN_BYTES, _BATCH_WORDS, _SLICE_BYTES = 48 << 20, 2_000, 4 << 20
+_IDS = pa.list_(pa.uint32())
 _FILES = {"parquet.block.size": 16 << 20, "parquet.enable.dictionary": False}  # a reader holds one row group of images
 _SPACE = r"[\t-\r\x1c-\x1f\x{85}\pZ]"
+_RUNS = [(f"({_SPACE})\x00 ", r"\1 "), (f"({_SPACE})\x00 ", r"\1 "), (f"\x00 ({_SPACE})", r" \1")]  # the first leaves every other blank of a run
 _GLUED = r"([A-Za-zÀ-ÖØ-öø-ɏ])([.,;:!?])"  # a letter run ends here in every version of the pattern's classes
 
 
@@ -63,28 +66,33 @@ class Encoder:
                          and not model.get("dropout") and before.get("type") == "ByteLevel" and before.get("use_regex", True)
                          and not before.get("add_prefix_space", True))
         added = [re.escape(t["content"]) for t in config.get("added_tokens", [])]
-        self.not_words = "|".join([f"{_SPACE} | {_SPACE}", r"\x00", *added])
-        self.recent, self.older = {}, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts, each as 32-bit numbers."""
-        return [array("I", e.ids).tobytes() for i in range(0, len(texts), _BATCH_WORDS)
-                for e in self.tokenizer.encode_batch_fast(texts[i : i + _BATCH_WORDS], add_special_tokens=False)]
-
-    def _known(self, words: list[str]) -> list[bytes]:
-        """Ids of words. Those that were used lately are known; a word that was not met for a while is forgotten."""
-        if len(self.recent) > _KNOWN_WORDS:
-            self.recent, self.older = {}, self.recent
-        recent, older = self.recent, self.older
-        new = [w for w in words if w not in recent and w not in older]
-        recent.update(zip(new, self._ids(new)))
-        out = []
-        for word in words:
-            ids = recent.get(word)
-            if ids is None:
-                ids = recent[word] = older[word]
-            out.append(ids)
-        return out
+        self.not_words = "|".join([r"\x00", *added])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], _IDS)
+
+    def _library(self, texts: list[str]) -> pa.Array:
+        """Ids of texts as the library gives them."""
+        counts, ids = array("i", [0]), array("I")
+        for i in range(0, len(texts), _BATCH_WORDS):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + _BATCH_WORDS], add_special_tokens=False):
+                ids.extend(e.ids)
+                counts.append(len(ids))
+        return pa.ListArray.from_arrays(pa.array(np.frombuffer(counts, np.int32)), pa.array(np.frombuffer(ids, np.uint32)))
+
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """Numbers of distinct words; what is new is encoded. All are forgotten when there are too many."""
+        if self.words.nbytes + self.ids.nbytes > _KNOWN_BYTES:
+            self._forget()
+        found = pc.index_in(words, value_set=self.words)
+        is_new = pc.is_null(found)
+        new = words.filter(is_new)
+        numbers = found.fill_null(0).to_numpy().astype(np.int32)
+        numbers[is_new.to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(new))
+        self.words = pa.concat_arrays([self.words, new])
+        self.ids = pa.concat_arrays([self.ids, self._library(new.to_pylist())])
+        return numbers
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
@@ -93,36 +101,21 @@ class Encoder:
         plain = np.zeros(len(texts), bool)
         if self.by_words:
             plain = ~pc.match_substring_regex(texts, self.not_words).to_numpy(zero_copy_only=False)
-        parted = pc.replace_substring_regex(texts.filter(pa.array(plain)), _GLUED, "\\1 \x00\\2")  # a part with \x00 has no blank before it
-        split = pc.split_pattern(parted, " ")
-        starts = split.offsets.to_numpy().astype(np.int64)
+        parted = pc.replace_substring(texts.filter(pa.array(plain)), " ", "\x00 ")
+        for pattern, undone in _RUNS:
+            parted = pc.replace_substring_regex(parted, pattern, undone)
+        split = pc.split_pattern(pc.replace_substring_regex(parted, _GLUED, "\\1\x00\\2"), "\x00")
         words = split.flatten().dictionary_encode()
-        at, forms = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
-        is_first = np.zeros(len(at), bool)
-        is_first[starts[:-1] - starts[0]] = True
-        numbers = np.full(2 * len(forms), -1, np.int64)  # a part inside a text, a part at its start
-        later, first = np.unique(at[~is_first]), np.unique(at[is_first])
-        numbers[later], numbers[first + len(forms)] = np.arange(len(later)), len(later) + np.arange(len(first))
-        parts = [form[1:] if form[:1] == "\x00" else " " + form for form in map(forms.__getitem__, later)] + [forms[i] for i in first]
-        unit = numbers[at + is_first * len(forms)]
-
-        found = self._known(parts) + [ids for text in texts.filter(pa.array(~plain)).to_pylist() for ids in self._ids([text])]
-        pool = np.frombuffer(b"".join(found), np.uint32)
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         per_text = np.ones(len(texts), np.int64)
-        per_text[plain] = np.diff(starts)
-        units = np.empty(per_text.sum(), np.int64)
+        per_text[plain] = np.diff(split.offsets.to_numpy())
+        units = np.empty(per_text.sum(), np.int32)
         of_plain = np.repeat(plain, per_text)
-        units[of_plain] = unit
-        units[~of_plain] = len(parts) + np.arange(len(found) - len(parts))
-
-        n = lengths[units]
-        ends = np.cumsum(n)
-        begin = np.concatenate([[0], np.cumsum(lengths)])[units]
-        total = int(ends[-1]) if len(ends) else 0
-        ids = pool[np.arange(total) + np.repeat(begin - (ends - n), n)]
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
-        return ids, np.diff(upto)
+        units[of_plain] = self._known(words.dictionary)[words.indices.to_numpy()]
+        units[~of_plain] = len(self.ids) + np.arange(len(texts) - np.count_nonzero(plain))
+        others = self._library(texts.filter(pa.array(~plain)).to_pylist())
+        taken = pa.concat_arrays([self.ids, others]).take(pa.array(units))
+        upto = taken.offsets.to_numpy()[np.concatenate([[0], np.cumsum(per_text)])].astype(np.int64)
+        return taken.flatten().to_numpy(), np.diff(upto)
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -195,8 +188,12 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, bl
     spark = docs.sparkSession
     width = 2 if load_tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else 4
 
+    kept = spark.sparkContext.broadcast({})  # read once a Python process, which serves several tasks
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, block, first = Encoder(tokenizer_path), TaskContext.get().partitionId(), 0, 0
+        if "encoder" not in kept.value:
+            kept.value["encoder"] = Encoder(tokenizer_path)
+        encoder, part, block, first = kept.value["encoder"], TaskContext.get().partitionId(), 0, 0
         for batch in (part for whole_batch in batches for part in _slices(whole_batch)):
             ids, lengths = encoder.encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(lengths), end_id)

@@ -107,9 +107,11 @@ def test_elias_fano_ends(m, most):
         tokenfiles.Block(b"x" * len(image))
 
 
-def test_parts_of_words_have_the_ids_of_the_text():
+@pytest.mark.parametrize("known", [0, 1 << 20])
+def test_parts_of_words_have_the_ids_of_the_text(monkeypatch, known):
+    monkeypatch.setattr(tokenfiles, "_KNOWN_BYTES", known)
     pick = random.Random(5)
-    bits = ["a", "Ab", " ", "  ", "\n", "'s", "'ll", "é", "1", "23", ".", "!?", ",", " the", "\xa0", "\x85", "\x1c", "<|endoftext|>", "日本", "😀", "_", "²", "\x00", "İ", "ß"]
+    bits = ["a", "Ab", " ", "  ", "     ", "\t", "\n", "'s", "'ll", "é", "1", "23", ".", "!?", ",", " the", "\xa0", "\x85", "\x1c", "<|endoftext|>", "日本", "😀", "_", "²", "\x00", "İ", "ß"]
     some = ["".join(pick.choices(bits, k=pick.randrange(14))) for _ in range(5000)] + ["", "x" * 50_000]
     encoder = tokenfiles.Encoder(TOKENIZER)
     for _ in range(2):
