@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferryload.llm.common import whole
+from ferryload.llm.common import arrow_rows, whole
 from ferryload.llm.tokencount import load_tokenizer
 
 MAGIC, SAMPLE = b"EFIDS\x00\x00\x01", 256
@@ -46,7 +46,7 @@ _HEADER = "<8sQQIIII"
 _BLOCKS = "part int, block int, first long, n_ids long, doc_ids array<long>, image binary"
 _READ = "doc_id long, start long, n_tokens long, ids binary"
 PART_BYTES, MOST_PARTS = 24 << 20, 20_000
-_KNOWN_BYTES, _BATCH_WORDS, _SLICE_BYTES = 48 << 20, 2_000, 4 << 20
+_KNOWN_BYTES, _BATCH_WORDS, _SLICE_BYTES, _BATCH_ROWS = 24 << 20, 2_000, 4 << 20, 1_000
 _IDS = pa.list_(pa.uint32())
 _FILES = {"parquet.block.size": 16 << 20, "parquet.enable.dictionary": False}  # a reader holds one row group of images
 _SPACE = r"[\t-\r\x1c-\x1f\x{85}\pZ]"
@@ -113,16 +113,26 @@ class Encoder:
         units[of_plain] = self._known(words.dictionary)[words.indices.to_numpy()]
         units[~of_plain] = len(self.ids) + np.arange(len(texts) - np.count_nonzero(plain))
         others = self._library(texts.filter(pa.array(~plain)).to_pylist())
-        taken = pa.concat_arrays([self.ids, others]).take(pa.array(units))
+        taken = (pa.concat_arrays([self.ids, others]) if len(others) else self.ids).take(pa.array(units))
         upto = taken.offsets.to_numpy()[np.concatenate([[0], np.cumsum(per_text)])].astype(np.int64)
         return taken.flatten().to_numpy(), np.diff(upto)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch, about _SLICE_BYTES of text at once."""
-    number = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // _SLICE_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
-    yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]))
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of batches, about _SLICE_BYTES of text at once; small batches are put together."""
+    held, size = [], 0
+    for batch in batches:
+        number = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64) + size
+        cuts = (np.flatnonzero(np.diff(number // _SLICE_BYTES, prepend=0)) + 1).tolist()  # behind the row that fills a slice
+        at = 0
+        for cut in cuts:
+            yield pa.concat_batches([*held, batch.slice(at, cut - at)])
+            held, at = [], cut
+        size = int(number[-1]) % _SLICE_BYTES if len(number) else size
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
+    if held:
+        yield pa.concat_batches(held)
 
 
 def image_of(ids: np.ndarray, ends: np.ndarray, width: int) -> bytes:
@@ -194,8 +204,9 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, bl
         if "encoder" not in kept.value:
             kept.value["encoder"] = Encoder(tokenizer_path)
         encoder, part, block, first = kept.value["encoder"], TaskContext.get().partitionId(), 0, 0
-        for batch in (part for whole_batch in batches for part in _slices(whole_batch)):
+        for batch in _slices(batches):
             ids, lengths = encoder.encode(batch.column("text"))
+            pa.default_memory_pool().release_unused()
             ids = np.insert(ids, np.cumsum(lengths), end_id)
             ends = np.cumsum(lengths + 1)
             at = 0
@@ -219,7 +230,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, bl
         size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
         parts = min(max(spark.sparkContext.defaultParallelism, size // PART_BYTES), MOST_PARTS)
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    rows.select("doc_id", "text").mapInArrow(run, _BLOCKS).write.mode("overwrite").options(**_FILES).parquet(folder)
+    with arrow_rows(spark, _BATCH_ROWS):
+        rows.select("doc_id", "text").mapInArrow(run, _BLOCKS).write.mode("overwrite").options(**_FILES).parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
