@@ -8,7 +8,8 @@ full cycle.
 
 The scans count 64-bit hashes. Which phrases have reached the threshold, and in which step, is told by an array of
 SLOTS step numbers (8 MB, whatever the corpus) that is broadcast. It is a Bloom filter with steps for bits: two phrases
-in one slot make one of them active early, never late, and an early phrase still has one full cycle. Sums of phrases
+in one slot make one of them active early, never late, and an early phrase still has one full cycle, which begins when
+all its subphrases are active. Sums of phrases
 that share a hash are too large, never too small. So no frequent phrase is lost, and an exact count, by texts, of those
 that remain follows; a filter that is fuller than planned costs time, not results. Phrases that are complete below the
 threshold are dropped after their last step.
@@ -155,7 +156,7 @@ def active(steps: np.ndarray, ids: np.ndarray, hashes: np.ndarray, longest: int)
         at, start = at[follows], np.maximum(step[follows], step[follows + 1])
         h = longer(h[follows], hashes[ids[at + k - 1]], k)
         yield k, at, h, start
-        step = since(steps, h)
+        step = np.maximum(since(steps, h), start)  # a shared slot may be early: the phrase is not met before its subphrases
         keep = step != NEVER
         at, h, step = at[keep], h[keep], step[keep]
 

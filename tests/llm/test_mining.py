@@ -43,6 +43,20 @@ def test_phrases(spark, monkeypatch, shards, slots):
     assert sorted(tuple(r) for r in got.collect()) == sorted(plain_collocations([(lang, text) for _, text, lang in texts()], least=5, top=40))
 
 
+@pytest.mark.parametrize("slots", [1 << 12, 1 << 10])
+def test_a_half_full_filter_loses_no_phrase(spark, monkeypatch, slots):
+    """A phrase whose slots are set by others before its words are frequent is still counted for a full cycle."""
+    monkeypatch.setattr(phrases, "SLOTS", slots)
+    monkeypatch.setattr(phrases, "_CHUNK_WORDS", 700)
+    monkeypatch.setattr(phrases, "_SLICE_BYTES", 3000)
+    pick = random.Random(1)
+    words = [f"w{i}" for i in range(400)]
+    parts = [" ".join(pick.choices(words, k=pick.randint(3, 7))) for _ in range(300)]
+    rows = [("en" if i % 3 else "de", ". ".join(pick.choices(parts, [1 / (j + 3) for j in range(300)], k=12))) for i in range(900)]
+    got = phrases.collocations(spark.createDataFrame(rows, "lang string, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(plain_collocations(rows, least=30, top=2000))
+
+
 def test_phrases_of_nothing(spark):
     assert phrases.collocations(frame(spark, [])).collect() == [] and phrases.collocations(frame(spark, [(1, None, None), (2, "", "en")])).collect() == []
     with pytest.raises(ValueError, match="shards"):
