@@ -269,6 +269,7 @@ def expression_fields(expressions: DataFrame, fields: DataFrame, key: str = "exp
 
     Names are indexed by their first word: an expression meets the names that begin with one of its words, and whether the
     rest of the name follows is looked up inside the row. So the cost depends neither on expressions × fields nor on the longest name.
+    Joins hash a part of the names per task; the words of the expressions, of which there are many more, pass by unsorted.
     """
     app = ["app_id"] if "app_id" in expressions.columns and "app_id" in fields.columns else []
     pieces_of = lambda c: F.regexp_extract_all(c, F.lit(r"((?U)\w+|(?U)\W+)"), F.lit(1))
@@ -284,9 +285,9 @@ def expression_fields(expressions: DataFrame, fields: DataFrame, key: str = "exp
         F.array_distinct(F.regexp_extract_all("expression", F.lit(r"\[(.*?)\]"), F.lit(1))).alias("__brackets"))
     follows = F.coalesce(F.contains("__text", "__name"), F.lit(False))
     words = rows.select(*app, key, "__text", F.explode("__words").alias("__first"))
-    named = words.join(names.where("__first IS NOT NULL"), [*app, "__first"]).where(follows)
+    named = words.join(names.where("__first IS NOT NULL").hint("shuffle_hash"), [*app, "__first"]).where(follows)
     brackets = rows.select(*app, key, "__text", F.explode("__brackets").alias("field_name"))
-    looked_up = brackets.join(names.withColumn("is_known", F.lit(True)), [*app, "field_name"], "left").where(~follows)
+    looked_up = brackets.join(names.withColumn("is_known", F.lit(True)).hint("shuffle_hash"), [*app, "field_name"], "left").where(~follows)
     return named.select(*app, key, "field_name", F.lit(True).alias("is_known")).unionByName(
         looked_up.select(*app, key, "field_name", F.coalesce("is_known", F.lit(False)).alias("is_known")))
 
@@ -306,7 +307,7 @@ def lineage_edges(expressions: DataFrame, fields: DataFrame, uses: DataFrame | N
     edge = lambda df, s, t, kind: df.select(*app, s.alias("source"), t.alias("target"), F.lit(kind).alias("edge_type"))
     unknown = F.concat(F.lit("fld_"), "field_name")
     parts = [
-        edge(named.where("is_known").join(located, [*app, "field_name"]), F.col("expression_id"), node, "uses_field"),
+        edge(named.where("is_known").join(located.hint("shuffle_hash"), [*app, "field_name"]), F.col("expression_id"), node, "uses_field"),
         edge(named.where("NOT is_known"), F.col("expression_id"), unknown, "uses_field"),
         edge(located, node, F.concat(F.lit("tbl_"), F.col("table_name")), "belongs_to_table"),
     ]
