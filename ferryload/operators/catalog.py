@@ -317,10 +317,11 @@ def lineage_edges(expressions: DataFrame, fields: DataFrame, uses: DataFrame | N
 
 
 def broken_references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with an end that is not a node; with an ``app_id`` on both sides, not a node of the edge's app."""
+    """Edges with an end that is not a node; with an ``app_id`` on both sides, not a node of the edge's app. Joins hash
+    a part of the nodes per task; the edges pass by unsorted, and a node that many of them name is one row."""
     app = ["app_id"] if "app_id" in edges.columns and "app_id" in nodes.columns else []
     known = nodes.select(*app, "node_id").distinct()
-    end = lambda name: known.select(*app, F.col("node_id").alias(name), F.lit(True).alias(f"__{name}"))
+    end = lambda name: known.select(*app, F.col("node_id").alias(name), F.lit(True).alias(f"__{name}")).hint("shuffle_hash")
     ends = edges.join(end("source"), [*app, "source"], "left").join(end("target"), [*app, "target"], "left")
     return ends.where("__source IS NULL OR __target IS NULL").select(*edges.columns)
 

@@ -235,3 +235,15 @@ def test_apps_share_nothing(spark):
     objects = expressions.withColumnRenamed("expression_id", "object_id").withColumn("object_type", F.lit("meas"))
     targets = {(r["app_id"], r["target"]) for r in catalog.lineage_edges(objects, fields).where("edge_type = 'uses_field'").collect()}
     assert targets == {("a", "fld_t.Sales"), ("a", "fld_Gone")}
+
+
+def test_names_and_nodes_do_not_pass_through_the_driver(spark):
+    """Few expressions by size, so that Spark alone would send all their words to the driver."""
+    rows = lambda values, columns: spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+    fields = rows("('t', 'Sales Amount'), ('t', 'size'), ('u', 'size')", "table_name, field_name")
+    objects = rows("('1', 'm', 'Sum(Sales Amount) + size + [gone]')", "object_id, object_type, expression")
+    edges = catalog.lineage_edges(objects, fields)
+    nodes = rows("('m_1'), ('fld_t.size'), ('tbl_t'), ('fld_t.Sales Amount')", "node_id")
+    broken = catalog.broken_references(edges, nodes)
+    assert "Broadcast" not in broken._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["source"], r["target"]) for r in broken.collect()) == [("fld_u.size", "tbl_u"), ("m_1", "fld_gone"), ("m_1", "fld_u.size")]
