@@ -200,9 +200,10 @@ def _contract(links: DataFrame, inner: DataFrame) -> tuple[DataFrame, tuple[Data
         least = F.least("least", "__least")
         chain = cut_lineage(jumped.select(  # each step reads the last one three times
             "node", F.coalesce("__back", "back").alias("back"), F.coalesce("__ahead", "ahead").alias("ahead"), least.alias("least"),
-            (F.col("__ahead").isNotNull() | F.col("__back").isNotNull()).alias("open"), (least < F.col("least")).alias("fell")))
+            F.col("__ahead").isNotNull().alias("open"), (least < F.col("least")).alias("fell")))
         left = chain.agg(F.count_if("open").alias("open"), F.count_if("fell").alias("fell")).first()
-        # Outside a ring some pointer ends in each step until all have; in a ring names fall until all are the least.
+        # Of a chain of n nodes, n - 2^step pointers ahead are open, and as many back: fewer in each step until none is. In a
+        # ring all stay open, and names fall until all are the least.
         if not left["open"] or (left["open"] == before and not left["fell"]):
             break
         before = left["open"]
