@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
-from ferryload.llm.common import Workspace, WordHashes, mix, whole, window_hashes, words_of
+from ferryload.llm.common import Workspace, WordHashes, arrow_rows, mix, whole, window_hashes, words_of
 
 BANDS, ROWS, BATCH = 40, 5, 40
 MISS_PROBABILITY = 1e-7
@@ -36,6 +36,9 @@ PROBES = (1, 8, 8)
 PIVOTS = 256
 BIT_VALUES = 192
 PARITIES = 512
+_KNOWN_WORDS = 100_000
+#: Rows that Python gets at once: whole texts, or the full sets of a pair.
+_ARROW_ROWS = 1000
 
 _SKETCH = StructType([StructField("doc_id", StringType()), StructField("n_shingles", LongType()), StructField("fp", BinaryType()),
                       StructField("bands", ArrayType(LongType())), StructField("sig", BinaryType()), StructField("bits", ArrayType(LongType()))])
@@ -107,7 +110,7 @@ def bits_agree(percent: int, miss: float):
 
 def _sketches(size: int):
     def run(frames):
-        hashes, (factor, offset) = WordHashes(), minhash_seeds()
+        hashes, (factor, offset) = WordHashes(_KNOWN_WORDS), minhash_seeds()
         for frame in frames:
             rows = []
             for text in frame["text"]:
@@ -126,7 +129,7 @@ def _sketches(size: int):
 
 def _sets(size: int):
     def run(frames):
-        hashes = WordHashes()
+        hashes = WordHashes(_KNOWN_WORDS)
         for frame in frames:
             rows = [(fingerprint(s), s.tobytes()) for s in (shingle_set(t, size, hashes) for t in frame["text"]) if len(s)]
             yield pd.DataFrame(rows, columns=["fp", "shingles"])
@@ -205,6 +208,11 @@ def near_groups(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
     (null, empty, blanks) have no shingles and link with nothing. A null doc_id is larger than any; of repeated rows
     with one doc_id exactly one is kept. Other columns are not looked at.
     """
+    with arrow_rows(docs.sparkSession, _ARROW_ROWS):  # all that needs Python is written before this returns
+        return _near_groups(docs, size, percent)
+
+
+def _near_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     work = Workspace(docs.sparkSession, "neardup")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # ids pass through pandas as text: a null among them would turn the others into floating point

@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
-from ferryload.llm.common import WordHashes, mix, whole
+from ferryload.llm.common import Workspace, WordHashes, arrow_rows, mix, whole
 
 DIMENSIONS = 1 << 20
 _WEIGHTS = StructType([StructField("at", IntegerType()), StructField("weight", DoubleType())])
 # Every byte that is no ASCII letter, digit or part of a longer character parts words; A-Z become a-z.
 _TABLE = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _KNOWN_WORDS = 100_000
+#: Whole texts that Python gets at once.
+_ARROW_ROWS = 1000
 _BIAS, _FIRST = np.zeros(1, np.uint64), np.ones(1, bool)
 
 
@@ -108,7 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl()) -> np.ndarray:
     tie = F.xxhash64("text")
     dealt = labelled.select("order", "doc_id", tie.alias("tie"), F.col("label").cast("int").alias("label"), coordinates("text").alias("at"),
                             F.pmod(F.xxhash64("order", tie), F.lit(shards)).alias("shard"))
-    found = dealt.groupBy("shard").applyInArrow(shard, _WEIGHTS).groupBy("at").agg(F.sum("weight").alias("weight")).toPandas()
+    with arrow_rows(docs.sparkSession, _ARROW_ROWS):
+        found = dealt.groupBy("shard").applyInArrow(shard, _WEIGHTS).groupBy("at").agg(F.sum("weight").alias("weight")).toPandas()
     weights = np.zeros(DIMENSIONS, np.float64)
     weights[found["at"].to_numpy(np.int64)] = found["weight"].to_numpy(np.float64) / shards
     return weights
@@ -150,7 +153,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl()) -> DataFram
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, how: Ftrl = Ftrl()) -> DataFrame:
-    """``docs`` with all its columns, without the rows scored at or above the threshold."""
+    """``docs`` with all its columns, without the rows scored at or above the threshold. They are written to the shared
+    folder here, as whoever reads the result decides how many whole texts Python gets at once."""
+    work = Workspace(docs.sparkSession, "toxicity")
     columns = [F.col(c) for c in docs.columns]
     body = docs.select(F.struct(*columns).alias("_row"), F.col("text"))
-    return scored(body, fit(docs, labels, how)).where(F.col("score") < how.threshold).select("_row.*")
+    clean = scored(body, fit(docs, labels, how)).where(F.col("score") < how.threshold).select("_row.*")
+    with arrow_rows(docs.sparkSession, _ARROW_ROWS):
+        return work.write(clean, "clean")

@@ -124,3 +124,25 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
     stars = neardup.components(Workspace(spark, "test"), edges, "chain")
     assert stars.agg(F.count("*"), F.sum("v")).first()[:] == (n - 1, 0)
+
+
+def test_python_gets_few_texts_at_once(spark, monkeypatch):
+    keep = neardup._sketches
+
+    def watched(size):
+        run = keep(size)
+
+        def checked(frames):
+            def few(f):
+                assert len(f) <= 1000
+                return f
+
+            return run(few(f) for f in frames)
+
+        return checked
+
+    monkeypatch.setattr(neardup, "_sketches", watched)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.range(2500).selectExpr("id as doc_id", "concat('one two three four five six seven eight nine w', id div 2) as text").coalesce(1)
+    assert neardup.near_groups(rows, size=9, percent=100).where("kept").count() == 1250
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

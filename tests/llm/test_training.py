@@ -4,6 +4,7 @@ import zlib
 
 import brute
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -263,3 +264,24 @@ def test_sql(spark, name):
     from compare import differences, duck
 
     assert differences(queries.QUERIES[name](spark, SMALL), duck(SMALL), queries.ORACLE[name]) is None
+
+
+def test_toxicity_stage_hands_few_texts_to_python(spark, monkeypatch):
+    name, keep = "spark.sql.execution.arrow.maxRecordsPerBatch", toxicity.scored
+
+    def watched(docs, weights):
+        made = keep(docs, weights)
+
+        @F.pandas_udf("long")
+        def rows(texts: pd.Series) -> pd.Series:
+            return pd.Series([len(texts)] * len(texts), dtype="int64")
+
+        return made.withColumn("_row", F.col("_row").withField("n", rows(F.col("_row.text"))))
+
+    monkeypatch.setattr(toxicity, "scored", watched)
+    docs = spark.range(2500).selectExpr("id as doc_id", "concat('text ', id) as text").coalesce(1)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    before = spark.conf.get(name)
+    kept = toxicity.drop_toxic(docs, labels, toxicity.Ftrl(threshold=0.6))
+    assert kept.count() == 2500 and kept.agg(F.max("n")).first()[0] <= 1000
+    assert spark.conf.get(name) == before
